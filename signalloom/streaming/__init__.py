@@ -1,0 +1 @@
+"""Empty on purpose: every source is a bounded file, so there is no stream to process."""
