@@ -6,12 +6,12 @@ from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.ml.evaluation import Evaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalloom.functions.scalar import named
 
@@ -20,22 +20,24 @@ FEATURES = "__features"
 SUBSETS = {"auto": "all", "sqrt": "sqrt", "log2": "log2"}
 
 
-def assemble(df: DataFrame, columns: Sequence[str], warmup: str = "drop", arrays: bool = False) -> DataFrame:
-    """Gather feature columns into one vector.
+def assemble(df: DataFrame, columns: Sequence[str], warmup: str = "drop") -> DataFrame:
+    """Gather feature columns, numbers or arrays of numbers, into one vector.
 
     Rows whose features are incomplete, such as the first rows of a rolling
-    window, are dropped, or kept as NaN with `warmup="keep"`. With `arrays` the
-    columns are arrays of numbers, such as all lags of a signal.
+    window, are dropped, or kept as NaN with `warmup="keep"`.
     """
-    if arrays:
-        vector = array_to_vector(F.concat(*[named(c) for c in columns]))
-        complete = [~F.exists(named(c), lambda x: x.isNull()) for c in columns]
-        for c in complete:
-            df = df.filter(c)
-        return df.withColumn(FEATURES, vector)
-    # Column names may hold signs and pipes, which the assembler takes as they are.
-    return VectorAssembler(inputCols=list(columns), outputCol=FEATURES,
-                           handleInvalid="skip" if warmup == "drop" else "keep").transform(df)
+    known = lambda x: F.coalesce(x, F.lit(float("nan")))
+    parts, numbers = [], []
+    for c in columns:
+        if isinstance(df.schema[c].dataType, T.ArrayType):
+            parts.append(F.transform(named(c), known))
+        else:
+            numbers.append(known(named(c).cast("double")))
+    values = F.concat(F.array(*numbers), *parts) if parts else F.array(*numbers)
+    wide = df.withColumn(FEATURES, values)
+    if warmup == "drop":
+        wide = wide.filter(~F.exists(FEATURES, F.isnan))
+    return wide.withColumn(FEATURES, array_to_vector(FEATURES))
 
 
 def boosted_trees(params: Mapping[str, Any], target: str, seed: int = 1, out: str = "y_pred") -> GBTRegressor:
@@ -75,7 +77,10 @@ def fit_predict(df: DataFrame, estimator, train, target: str) -> tuple[Any, Data
 
 
 def importances(spark, model, columns: Sequence[str]) -> DataFrame:
-    """(rank, name, importance), most important first, names ascending on ties."""
+    """(rank, name, importance), most important first, names ascending on ties.
+
+    One name per vector entry: plain columns first, then the entries of arrays.
+    """
     values = [float(v) for v in model.featureImportances.toArray()]
     table = spark.createDataFrame(list(zip(columns, values)), "name string, importance double")
     place = F.row_number().over(Window.orderBy(F.col("importance").desc(), "name"))

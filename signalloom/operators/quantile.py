@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom.functions.scalar import named
-from signalloom.operators.series import attach
+from signalloom.operators.series import attach, join_written
 from signalloom.session import cut
 
-SMALL_ROWS = 2_000_000  # up to here one value map per group is bounded and cheaper
+SMALL_ROWS = 100_000    # up to here one value map per group is bounded and cheaper
+FINAL_ROWS = 4_000_000  # bins of up to this many rows are counted value by value
 FINE_BINS = 1 << 16
+MAX_ROUNDS = 3
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
@@ -55,46 +57,46 @@ def _select_ranks(values: DataFrame, group: list[str], probs: list[float]) -> Da
     """Rank selection by repeated counting.
 
     Each round counts values per bin (combined before the shuffle), finds the bins
-    that hold the wanted ranks, and goes on inside those only. The bins of a
-    group number at most 140,000 in the first round and 65,536 later, whatever
-    the data, and three rounds leave at most a few ten thousand distinct doubles
-    per bin, which the last round counts by value. So no step gathers an
-    unbounded group, and the wide rows are never shuffled or sorted.
+    that hold the wanted ranks, and goes on inside those only, until these bins
+    are small enough to count value by value. A group has at most 140,000 bins in
+    the first round and 65,536 per bin later, whatever the data, and after three
+    rounds a bin spans fewer distinct doubles than FINAL_ROWS. So no step gathers
+    an unbounded group, and the values are never shuffled or sorted as a whole.
     """
-    inside = values.withColumn("k0", _magnitude(F.col("x")))
-    levels = 3
-    state = None
-    for level in range(levels + 1):
-        keys = [*group, *[f"k{i}" for i in range(level)]]
-        last = level == levels
-        bin_key = "x" if last else f"k{level}"
-        if state is not None:
-            inside = attach(inside, state.select(*keys, "low", "high").distinct(), keys)
+    points = F.array(*[F.lit(p) for p in probs])
+    inside, keys, state = values, list(group), None
+    for level in range(MAX_ROUNDS + 1):
+        fullest = None if state is None else state.agg(F.max("rows")).first()[0]
+        last = level == MAX_ROUNDS or (state is not None and (fullest or 0) <= FINAL_ROWS)
+        if state is None:
+            bin_key = "k0"
+            inside = inside.withColumn(bin_key, _magnitude(F.col("x")))
+        else:
+            inside = join_written(inside, state.select(*keys, "low", "high"), keys)
+            bin_key = "x" if last else f"k{level}"
             if not last:
                 inside = inside.withColumn(bin_key, _fine(F.col("x"), F.col("low"), F.col("high")))
             inside = inside.drop("low", "high")
-        bins = inside.groupBy(*dict.fromkeys([*keys, bin_key])).agg(
-            F.count(F.lit(1)).alias("rows"), F.min("x").alias("low"), F.max("x").alias("high"))
+        bins = inside.groupBy(*keys, bin_key).agg(F.count(F.lit(1)).alias("rows"), *(
+            [] if last else [F.min("x").alias("low"), F.max("x").alias("high")]))
         up_to = Window.partitionBy(*keys).orderBy(bin_key).rowsBetween(Window.unboundedPreceding, 0)
         bins = bins.withColumn("upto", F.sum("rows").over(up_to))
         if state is None:
-            total = F.sum("rows").over(Window.partitionBy(*group))
-            wanted = F.array(*[F.lit(p) for p in probs])
-            place = lambda p, n: (n - 1) * p
-            ranks = F.flatten(F.transform(wanted, lambda p: F.array(
-                F.floor(place(p, F.col("n"))), F.least(F.floor(place(p, F.col("n"))) + 1, F.col("n") - 1))))
-            hits = (bins.withColumn("n", total)
-                    .select("*", F.explode(F.array_distinct(ranks)).alias("rank"))
-                    .withColumn("left", F.col("rank").cast("bigint")))
+            bins = bins.withColumn("n", F.sum("rows").over(Window.partitionBy(*group))).withColumn("before", F.lit(0))
+            floor = lambda p: F.floor((F.col("n") - 1) * p)
+            bins = bins.withColumn("ranks", F.array_distinct(F.flatten(F.transform(
+                points, lambda p: F.array(floor(p), F.least(floor(p) + 1, F.col("n") - 1))))))
         else:
-            hits = bins.join(state.select(*keys, "n", "rank", "left"), keys)
-        found = (F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("rows"))
-        state = cut(hits.filter(found).select(
-            *dict.fromkeys([*keys, bin_key]), "n", "rank",
-            (F.col("left") - (F.col("upto") - F.col("rows"))).alias("left"), "low", "high"))
-    ranked = state.select(*group, "n", "rank", F.col("low").alias("v"))
-    ends = ranked.groupBy(*group, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
-    points = F.array(*[F.lit(p) for p in probs])
+            bins = bins.join(state.select(*keys, "n", "before", "ranks"), keys)
+        bins = bins.withColumn("before", F.col("before") + F.col("upto") - F.col("rows"))
+        end = F.col("before") + F.col("rows")
+        bins = (bins.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("before")) & (r < end)))
+                .filter(F.size("ranks") > 0).drop("upto"))
+        if last:
+            break
+        state, keys = cut(bins), [*keys, bin_key]
+    found = bins.select(*group, "n", F.explode("ranks").alias("rank"), F.col("x").alias("v"))
+    ends = found.groupBy(*group, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
     place = (F.col("n") - 1) * F.col("prob")
     low = F.floor(place)
     below = F.element_at("at", low)

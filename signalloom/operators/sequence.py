@@ -22,7 +22,7 @@ def supervised_windows(df: DataFrame, spec: SeriesSpec, columns: Sequence[str],
 
     Gives n - steps rows per series, with `window array<struct>` and the target.
     """
-    feature = Feature("window", steps, 0, lambda w: _rows(columns).over(w.rowsBetween(-steps, -1)))
+    feature = Feature("window", steps, 0, lambda f: _rows(columns).over(f.ordered().rowsBetween(-steps, -1)))
     out = add_features(df.select(*[named(c) for c in dict.fromkeys((*spec.keys, pos, *columns, target))]),
                        spec, [feature], pos)
     return out.filter(F.size("window") == steps).select(*spec.keys, pos, "window", named(target))
@@ -36,8 +36,8 @@ def multistep_windows(df: DataFrame, spec: SeriesSpec, column: str, steps_in: in
     """
     reach = steps_in + steps_out - 1
     features = [
-        Feature("inputs", 0, reach, lambda w: _rows([column]).over(w.rowsBetween(0, steps_in - 1))),
-        Feature("targets", 0, reach, lambda w: _rows([column]).over(w.rowsBetween(steps_in, reach))),
+        Feature("inputs", 0, reach, lambda f: _rows([column]).over(f.ordered().rowsBetween(0, steps_in - 1))),
+        Feature("targets", 0, reach, lambda f: _rows([column]).over(f.ordered().rowsBetween(steps_in, reach))),
     ]
     out = add_features(df.select(*spec.keys, pos, named(column)), spec, features, pos)
     plain = [F.transform(c, lambda s: s[column]).alias(c) for c in ("inputs", "targets")]

@@ -28,7 +28,8 @@ BUCKET = "__bucket"
 CHUNK = "__chunk"
 LAST_BUCKET = (1 << 63) - 1
 TARGET_ROWS = 1 << 20
-SHORT_TABLE = 100_000
+PLAIN_ROWS = 4096  # default of spark.sql.windowExec.buffer.in.memory.threshold
+SHORT_TABLE = 1_000_000  # rows of a few numbers each, so some 100 MB at most
 
 
 @dataclass(frozen=True)
@@ -39,14 +40,14 @@ class SeriesSpec:
     order         integer order key; null sorts last
     tie           further columns that make the order total
     bucket_width  order-key values per bucket
-    chunk_rows    rows per chunk
+    chunk_rows    rows per chunk; chosen from the frame length when not given
     """
 
     keys: tuple[str, ...] = ("series",)
     order: str = "cycle"
     tie: tuple[str, ...] = ()
     bucket_width: int = TARGET_ROWS
-    chunk_rows: int = TARGET_ROWS
+    chunk_rows: int | None = None
 
     @property
     def sort(self) -> list[Column]:
@@ -72,19 +73,18 @@ def fit_spec(
     target_rows: int = TARGET_ROWS,
     min_pieces: int | None = None,
 ) -> SeriesSpec:
-    """Choose bucket and chunk sizes from the key range and the row count.
+    """Choose the bucket width from the key range and the row count.
 
     Reads only the key columns and returns a handful of numbers to the driver.
     The fullest bucket is counted, and the width shrinks until it is small
     enough; keys that stay crowded even so need `position_by_sort`.
     """
-    pieces = min_pieces or 2 * df.sparkSession.sparkContext.defaultParallelism
+    pieces = min_pieces or 4 * df.sparkSession.sparkContext.defaultParallelism
     low, high, rows = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
     count = max(1, -(-rows // target_rows), pieces)
     span = (high - low + 1) if low is not None else 1
     limit = max(target_rows, rows // pieces)
-    spec = SeriesSpec(tuple(keys), order, tuple(tie), max(1, -(-span // count)),
-                      max(1024, min(target_rows, -(-rows // pieces))))
+    spec = SeriesSpec(tuple(keys), order, tuple(tie), max(1, -(-span // count)))
     while True:
         fullest = (df.groupBy(*keys, spec.bucket.alias(BUCKET)).count()
                    .agg(F.max("count")).first()[0]) or 0
@@ -95,6 +95,11 @@ def fit_spec(
         spec = replace(spec, bucket_width=max(1, spec.bucket_width * limit // (2 * fullest)))
 
 
+def join_written(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a written table, broadcast if its row count says so."""
+    return df.join(F.broadcast(table) if table.count() <= SHORT_TABLE else table, list(keys), how)
+
+
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a per-group table to the rows of its groups.
 
@@ -102,8 +107,7 @@ def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inn
     short, so a group with most of the rows is not sent to one task; a long table
     means many groups, and then both sides are shuffled on the key.
     """
-    table = cut(table)
-    return df.join(F.broadcast(table) if table.count() <= SHORT_TABLE else table, list(keys), how)
+    return join_written(df, cut(table), keys, how)
 
 
 def bucketed(df: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -115,25 +119,33 @@ def _as_given(out: DataFrame, given: DataFrame) -> DataFrame:
     return out if BUCKET in given.columns else out.drop(BUCKET)
 
 
-def with_position(df: DataFrame, spec: SeriesSpec, pos: str = "pos", length: str | None = None) -> DataFrame:
+def with_position(df: DataFrame, spec: SeriesSpec, pos: str = "pos", length: str | None = None,
+                  write: bool = False) -> DataFrame:
     """Dense position 0..n-1 of each row in its series, and the series length on request.
 
     Rows are numbered inside their bucket; the rows of earlier buckets are added
-    from a table with one row per bucket. That table is joined on the same keys
-    the numbering is partitioned by, so the wide side is not shuffled again.
+    from a table with one row per bucket. By default that table is counted from
+    the input, which suits plain scans, and joined on the keys the numbering is
+    partitioned by, so the wide side is not shuffled again. With `write` the
+    numbered rows are written first and counted from there, which suits inputs
+    that are costly to compute or read more than once.
     """
     cut_up = bucketed(df, spec)
-    offset, total = "__offset", length or "__length"
+    inner, offset, total = "__inner", "__offset", length or "__length"
     earlier = spec.over_buckets().rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut_up.groupBy(*spec.keys, BUCKET).agg(F.count(F.lit(1)).alias("__rows"))
+    numbered = cut_up.withColumn(inner, F.row_number().over(spec.by_bucket()).cast("bigint") - 1)
+    if write:
+        numbered = cut(numbered, "placed")
+    counts = (numbered if write else cut_up).groupBy(*spec.keys, BUCKET).agg(F.count(F.lit(1)).alias("__rows"))
     offsets = counts.select(
         *spec.keys, BUCKET,
         F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias(offset),
         *([F.sum("__rows").over(Window.partitionBy(*spec.keys)).alias(total)] if length else []),
     )
-    numbered = cut_up.withColumn(pos, F.row_number().over(spec.by_bucket()).cast("bigint") - 1)
-    out = numbered.join(offsets, [*spec.keys, BUCKET]).withColumn(pos, F.col(pos) + F.col(offset))
-    names = [c for c in numbered.columns] + ([total] if length else [])
+    join_keys = [*spec.keys, BUCKET]
+    out = attach(numbered, offsets, join_keys) if write else numbered.join(offsets, join_keys)
+    out = out.withColumn(pos, F.col(inner) + F.col(offset))
+    names = [c for c in cut_up.columns if c != pos] + [pos] + ([total] if length else [])
     return _as_given(out.select(*[named(c) for c in names]), df)
 
 
@@ -141,7 +153,7 @@ def position_by_sort(df: DataFrame, spec: SeriesSpec, pos: str = "pos") -> DataF
     """Dense position for order keys of any shape, by one distributed sort.
 
     Range partitions are drawn from a sample and stay balanced whatever the key
-    looks like. The sorted rows are written to the checkpoint folder before they
+    looks like. The sorted rows are written to the shared folder before they
     are counted, so that counts and rows always belong together.
     """
     return ranked(df, spec.sort, pos, by=spec.keys).withColumn(pos, F.col(pos) - 1)
@@ -154,22 +166,21 @@ def ranked(df: DataFrame, order: Sequence[Column], rank: str = "rank", by: Seque
     order, numbered inside their partition, and shifted by the number of rows in
     earlier partitions (one small row per partition).
     """
-    inner, part = "__inner", "__part"
+    inner, part, offset = "__inner", "__part", "__offset"
     sorted_rows = cut(
         df.orderBy(*[named(k) for k in by], *order)
         .withColumn(part, F.spark_partition_id())
-        .withColumn(inner, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    )
-    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sorted_rows.groupBy(part).agg(F.count(F.lit(1)).alias("__rows")).select(
-        part, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__offset"))
-    placed = (sorted_rows.join(F.broadcast(offsets), part)  # as many rows as there are partitions
-              .withColumn(rank, F.col(inner) + F.col("__offset") + 1)
-              .select(*[named(c) for c in df.columns], rank))
-    if not by:
-        return placed
-    starts = placed.groupBy(*by).agg((F.min(rank) - 1).alias("__start"))
-    return (attach(placed, starts, by).withColumn(rank, F.col(rank) - F.col("__start"))
+        .withColumn(inner, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "sorted")
+    pieces = cut(sorted_rows.groupBy(part, *by).agg(F.count(F.lit(1)).alias("__rows"), F.min(inner).alias("__first")))
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = pieces.groupBy(part).agg(F.sum("__rows").alias("__rows")).select(
+        part, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias(offset))
+    shifts = pieces.join(F.broadcast(offsets), part)
+    if by:
+        start = F.min(F.col(offset) + F.col("__first")).over(Window.partitionBy(*by))
+        shifts = shifts.withColumn(offset, F.col(offset) - start)
+    return (attach(sorted_rows, shifts.select(part, *by, offset), [part, *by])
+            .withColumn(rank, F.col(inner) + F.col(offset) + 1)
             .select(*[named(c) for c in df.columns], rank))
 
 
@@ -177,14 +188,14 @@ def ranked(df: DataFrame, order: Sequence[Column], rank: str = "rank", by: Seque
 class Feature:
     """A column that looks at up to `back` earlier and `ahead` later rows.
 
-    `steps` are helper columns computed first, each from the frame around the
-    chunk; `build` gives the column from the ordered chunk window.
+    `steps` are helper columns computed first; `build` gives the column. Both
+    get the windows of the chunk.
     """
 
     name: str
     back: int
     ahead: int
-    build: Callable[[WindowSpec], Column]
+    build: Callable[["ChunkFrame"], Column]
     steps: tuple[tuple[str, Callable[["ChunkFrame"], Column]], ...] = field(default=())
 
 
@@ -195,6 +206,12 @@ class ChunkFrame:
     keys: tuple[str, ...]
     pos: str
 
+    @property
+    def clause(self) -> str:
+        """The plain window as SQL text, which is quicker to build for hundreds of columns."""
+        keys = ", ".join(f"`{k}`" for k in (*self.keys, CHUNK))
+        return f"OVER (PARTITION BY {keys} ORDER BY `{self.pos}`)"
+
     def ordered(self, *extra: Column, descending: bool = False) -> WindowSpec:
         order = F.col(self.pos).desc() if descending else F.col(self.pos)
         return Window.partitionBy(*self.keys, CHUNK, *extra).orderBy(order)
@@ -202,8 +219,13 @@ class ChunkFrame:
 
 def chunked(df: DataFrame, spec: SeriesSpec, back: int, ahead: int, pos: str = "pos",
             chunk_rows: int | None = None) -> DataFrame:
-    """Send each row to its chunk and to every chunk whose frames reach it."""
-    rows = chunk_rows or max(spec.chunk_rows, 4 * (back + ahead))
+    """Send each row to its chunk and to every chunk whose frames reach it.
+
+    Chunks hold no more rows than a window keeps in plain memory, unless the halo
+    would then make up more than a quarter.
+    """
+    halo = back + ahead
+    rows = chunk_rows or spec.chunk_rows or max(PLAIN_ROWS - halo, 4 * halo)
     return df.withColumn(CHUNK, F.explode(F.sequence(
         F.expr(f"(`{pos}` - {ahead}) div {rows}L"), F.expr(f"(`{pos}` + {back}) div {rows}L"))
     )).withColumn("__own", F.col(CHUNK) == F.expr(f"`{pos}` div {rows}L"))
@@ -226,6 +248,5 @@ def add_features(df: DataFrame, spec: SeriesSpec, features: Sequence[Feature], p
             helpers.setdefault(name, step(frame))
     if helpers:
         pieces = pieces.select("*", *[c.alias(n) for n, c in helpers.items()])
-    window = frame.ordered()
-    out = pieces.select("*", *[f.build(window).alias(f.name) for f in features])
+    out = pieces.select("*", *[f.build(frame).alias(f.name) for f in features])
     return unchunked(out).drop(*helpers)

@@ -11,12 +11,12 @@ from signalloom.functions.scalar import named
 from signalloom.operators.series import Feature, SeriesSpec, add_features
 
 
-def _lag(column: str, k: int, default: float | None) -> Feature:
-    return Feature(f"{column}_-{k}", k, 0, lambda w: F.lag(named(column), k, default).over(w))
-
-
-def _lead(column: str, k: int, default: float | None) -> Feature:
-    return Feature(f"{column}_+{k}", 0, k, lambda w: F.lead(named(column), k, default).over(w))
+def _shift(kind: str, column: str, k: int, default: float | None) -> Feature:
+    edge = "NULL" if default is None else f"{float(default)!r}D"
+    name = column.replace("`", "``")
+    back, ahead = (k, 0) if kind == "lag" else (0, k)
+    return Feature(f"{column}_{'-' if back else '+'}{k}", back, ahead,
+                   lambda frame: F.expr(f"{kind}(`{name}`, {k}, {edge}) {frame.clause}"))
 
 
 def shift_features(columns: Sequence[str], steps: int, both: bool = False,
@@ -28,9 +28,9 @@ def shift_features(columns: Sequence[str], steps: int, both: bool = False,
     """
     out: list[Feature] = []
     for k in range(1, steps + 1):
-        out += [_lag(c, k, default) for c in columns]
+        out += [_shift("lag", c, k, default) for c in columns]
         if both:
-            out += [_lead(c, k, default) for c in columns]
+            out += [_shift("lead", c, k, default) for c in columns]
     return out
 
 
@@ -44,24 +44,35 @@ def lag_array_features(columns: Sequence[str], steps: int, default: float = 0.0)
     """All lags of a signal as one array column `{column}_lags`, nearest first.
 
     For models with many lags: one wide column in place of hundreds of narrow
-    ones. Edge rows are padded with the default like the named form.
+    ones. Edge rows are padded with the default like the named form; a missing
+    value is NaN.
     """
     def build(c: str):
-        def column(w) -> Column:
-            seen = F.reverse(F.collect_list(F.struct(named(c).alias("x"))).over(w.rowsBetween(-steps, -1)))
-            values = F.transform(seen, lambda s: s["x"])
-            return F.concat(values, F.array_repeat(F.lit(default), F.lit(steps) - F.size(values)))
+        def column(frame) -> Column:
+            value = F.coalesce(named(c).cast("double"), F.lit(float("nan")))
+            seen = F.collect_list(value).over(frame.ordered().rowsBetween(-steps, -1))
+            return F.concat(F.reverse(seen), F.array_repeat(F.lit(float(default)), F.lit(steps) - F.size(seen)))
         return column
 
     return [Feature(f"{c}_lags", steps, 0, build(c)) for c in columns]
 
 
+def lag_names(columns: Sequence[str], steps: int) -> list[str]:
+    """Names of the lags in the arrays, in array order."""
+    return [f"{c}_-{k}" for c in columns for k in range(1, steps + 1)]
+
+
 def difference_features(columns: Sequence[str]) -> list[Feature]:
     """First difference `{column}_diff`; null on the first row."""
-    return [Feature(f"{c}_diff", 1, 0, (lambda c: lambda w: named(c) - F.lag(named(c)).over(w))(c)) for c in columns]
+    def build(c: str):
+        return lambda frame: named(c) - F.lag(named(c)).over(frame.ordered())
+
+    return [Feature(f"{c}_diff", 1, 0, build(c)) for c in columns]
 
 
 def undo_difference_features(differences: dict[str, str]) -> list[Feature]:
     """Add the previous original value back to each difference: {difference: original}."""
-    return [Feature(f"{d}_undone", 1, 0, (lambda d, c: lambda w: named(d) + F.lag(named(c)).over(w))(d, c))
-            for d, c in differences.items()]
+    def build(d: str, c: str):
+        return lambda frame: named(d) + F.lag(named(c)).over(frame.ordered())
+
+    return [Feature(f"{d}_undone", 1, 0, build(d, c)) for d, c in differences.items()]

@@ -115,7 +115,7 @@ SELECT axis, pos, size, total, nearest, farthest FROM (
 def lag_arrays(spark, sf_dir):
     run, spec = run_of(spark, sf_dir)
     wide = series.add_features(run.select("axis", "pos", "v"), spec, shift.lag_array_features(["v"], 75))
-    total = F.aggregate("v_lags", F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    total = F.aggregate("v_lags", F.lit(0.0), lambda s, x: s + F.nanvl(x, F.lit(0.0)))
     return wide.select("axis", "pos", F.size("v_lags").alias("size"), F.round(total, 4).alias("total"),
                        F.element_at("v_lags", 1).alias("nearest"), F.element_at("v_lags", 75).alias("farthest"))
 
@@ -265,11 +265,12 @@ taps AS MATERIALIZED (SELECT k, CAST(CASE WHEN k = 0 THEN '{gain!r}'::DOUBLE
                         ELSE '{gain!r}'::DOUBLE * (1 + '{decay!r}'::DOUBLE) * pow('{decay!r}'::DOUBLE, k - 1) END AS DOUBLE) AS h
          FROM range(0, {taps}) t(k)),
 pass1 AS MATERIALIZED (
-  SELECT o.axis, o.p, sum(h * i.x) AS x FROM ext o JOIN size USING (axis) CROSS JOIN taps
-  JOIN ext i ON i.axis = o.axis AND i.p = greatest(o.p - k, 0) GROUP BY o.axis, o.p),
+  SELECT o.axis, o.p, sum(h * i.x) AS x FROM (SELECT axis, p, greatest(p - k, 0) AS q, h FROM ext CROSS JOIN taps) o
+  JOIN ext i ON i.axis = o.axis AND i.p = o.q GROUP BY o.axis, o.p),
 pass2 AS MATERIALIZED (
-  SELECT o.axis, o.p, sum(h * i.x) AS x FROM pass1 o JOIN size USING (axis) CROSS JOIN taps
-  JOIN pass1 i ON i.axis = o.axis AND i.p = least(o.p + k, top) GROUP BY o.axis, o.p)"""
+  SELECT o.axis, o.p, sum(h * i.x) AS x
+  FROM (SELECT axis, p, least(p + k, top) AS q, h FROM pass1 JOIN size USING (axis) CROSS JOIN taps) o
+  JOIN pass1 i ON i.axis = o.axis AND i.p = o.q GROUP BY o.axis, o.p)"""
 
 
 @query("w11_low_pass", sql("run", f"""

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from signalloom.functions.scalar import named
-from signalloom.operators import lowpass, model, quantile, scale, score, search, sequence, series, shift, split
+from signalloom.operators import lowpass, model, quantile, rolling, scale, score, search, sequence, series, shift, split
 from signalloom.plans import prepare
 from signalloom.plans.clean_queries import OUTLIERS
 from signalloom.plans.feature_queries import _low_pass_sql
@@ -211,11 +211,15 @@ def flagship(spark, sf_dir):
 
 @query("x01_single_fit")
 def single_fit(spark, sf_dir):
-    """One boosted fit on rolling statistics and the lags of both inputs; its outliers, worst first."""
-    frame, names, spec = _marked_frame(spark, sf_dir, lags=10, sizes=(64, 128, 256))
+    """One boosted fit on rolling statistics and 75 lags of both inputs; its outliers, worst first."""
+    run, spec = run_of(spark, sf_dir)
+    features = rolling.rolling_bundle("v", "a", (64, 128, 256)) + shift.lag_array_features(["v", "a"], 75)
+    frame = split.hold_out(series.add_features(run, spec, features), ["axis", "pos"], by=["axis"])
+    data = series.cut(model.assemble(frame, ["v", "a", *[f.name for f in features]])
+                      .select("axis", "pos", "fr", "is_test", model.FEATURES))
     params = {"max_depth": 5, "learning_rate": 0.06, "subsample": 0.7, "colsample_bytree": 0.6, "colsample_bylevel": 0.9,
               "n_estimators": 5}
-    _, predicted = model.fit_predict(model.assemble(frame, names), model.boosted_trees(params, "fr"), ~F.col("is_test"), "fr")
+    _, predicted = model.fit_predict(data, model.boosted_trees(params, "fr"), ~F.col("is_test"), "fr")
     rated = score.score(predicted.select("axis", "pos", "fr", "y_pred"), "fr", "y_pred", THRESHOLD, by=spec.keys)
     return rated.outliers
 

@@ -28,11 +28,14 @@ def filled(signals: DataFrame, spec: SeriesSpec, columns: Sequence[str] = ("v",)
 
 def measurement_run(signals: DataFrame, spec: SeriesSpec, pattern: str, columns: Sequence[str] = ("v",),
                     keep: Column | None = None) -> DataFrame:
-    """Filled rows whose tag matches, with their residual target, position `pos` and run length `n_rows`."""
+    """Filled rows whose tag matches, with their residual target, position `pos` and run length `n_rows`.
+
+    The run is written once, as fits, predictions and features all read it.
+    """
     run = filled(signals, spec, columns).filter(tag_matches(F.col("tag"), pattern))
     if keep is not None:
         run = run.filter(keep)
-    return with_position(add_residual(run), spec, length="n_rows").drop(BUCKET)
+    return with_position(add_residual(run), spec, length="n_rows", write=True).drop(BUCKET)
 
 
 def model_frame(run: DataFrame, spec: SeriesSpec, lags: int = 3, both: bool = False,
