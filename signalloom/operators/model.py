@@ -16,17 +16,20 @@ from pyspark.sql import types as T
 from signalloom.functions.scalar import named
 
 FEATURES = "__features"
+LOWEST = -1e300
 # What the feature-subset names of forests mean in MLlib.
 SUBSETS = {"auto": "all", "sqrt": "sqrt", "log2": "log2"}
 
 
-def assemble(df: DataFrame, columns: Sequence[str], warmup: str = "drop") -> DataFrame:
+def assemble(df: DataFrame, columns: Sequence[str], warmup: str = "keep") -> DataFrame:
     """Gather feature columns, numbers or arrays of numbers, into one vector.
 
-    Rows whose features are incomplete, such as the first rows of a rolling
-    window, are dropped, or kept as NaN with `warmup="keep"`.
+    Rows with missing features, such as the first rows of a rolling window, are
+    kept: a missing value becomes one below all others, which a tree can split
+    off. With `warmup="drop"` such rows are left out.
     """
-    known = lambda x: F.coalesce(x, F.lit(float("nan")))
+    missing = F.lit(LOWEST)
+    known = lambda x: F.coalesce(F.nanvl(x, missing), missing)
     parts, numbers = [], []
     for c in columns:
         if isinstance(df.schema[c].dataType, T.ArrayType):
@@ -36,7 +39,7 @@ def assemble(df: DataFrame, columns: Sequence[str], warmup: str = "drop") -> Dat
     values = F.concat(F.array(*numbers), *parts) if parts else F.array(*numbers)
     wide = df.withColumn(FEATURES, values)
     if warmup == "drop":
-        wide = wide.filter(~F.exists(FEATURES, F.isnan))
+        wide = wide.filter(~F.array_contains(FEATURES, missing))
     return wide.withColumn(FEATURES, array_to_vector(FEATURES))
 
 

@@ -247,6 +247,7 @@ def add_features(df: DataFrame, spec: SeriesSpec, features: Sequence[Feature], p
         for name, step in feature.steps:
             helpers.setdefault(name, step(frame))
     if helpers:
-        pieces = pieces.select("*", *[c.alias(n) for n, c in helpers.items()])
+        # Helpers split chunks further; placed by chunk first, all windows share one exchange.
+        pieces = pieces.repartition(*spec.keys, CHUNK).select("*", *[c.alias(n) for n, c in helpers.items()])
     out = pieces.select("*", *[f.build(frame).alias(f.name) for f in features])
     return unchunked(out).drop(*helpers)

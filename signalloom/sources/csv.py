@@ -16,9 +16,10 @@ def scan_signals(spark: SparkSession, path: str, types: dict[str, str], index: s
 
     `types` gives a Spark type per header name. Fields are read as text so that
     every missing-value token becomes NULL, then cast; text that does not fit its
-    type is an error. Only the named columns are parsed.
+    type is an error. Only the named columns are parsed. All files under `path`
+    have the columns of the first one; the header of the index may be empty.
     """
-    raw = spark.read.csv(path, header=True, sep=",", inferSchema=False, enforceSchema=False)
+    raw = spark.read.csv(path, header=True, sep=",", inferSchema=False)
     rename = rename or {}
     columns = []
     if index:
