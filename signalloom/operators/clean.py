@@ -22,7 +22,8 @@ def forward_fill(df: DataFrame, spec: SeriesSpec, columns: Sequence[str] | None
     fixed = {*spec.keys, spec.order, *spec.tie, BUCKET}
     columns = [c for c in (columns or df.columns) if c not in fixed]
     cut_up = bucketed(df, spec)
-    place = F.struct(*[part.alias(f"p{i}") for i, part in enumerate(
+    # A lone order key stays a plain number, which keeps this aggregate in hash tables.
+    place = named(spec.order) if not spec.tie else F.struct(*[part.alias(f"p{i}") for i, part in enumerate(
         p for c in (spec.order, *spec.tie) for p in (named(c).isNull(), named(c)))])
     lasts = cut_up.groupBy(*spec.keys, BUCKET).agg(
         *[F.max_by(named(c), F.when(named(c).isNotNull(), place)).alias(f"__last{i}") for i, c in enumerate(columns)])

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import NamedTuple
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from signalloom.functions.scalar import absolute_error, exceeds, named
 from signalloom.operators.scale import Scaler
 from signalloom.operators.series import attach, ranked
+from signalloom.session import cut
 
 LOCAL_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
 
@@ -34,8 +36,9 @@ def outliers(df: DataFrame, error: str = "err", threshold: float = 200.0, pos: s
     """All rows over the threshold with their rank, worst first; equal errors by position.
 
     Only the survivors are sorted, in a distributed way, however many they are.
+    They are written first, as the sort reads its input twice.
     """
-    over = df.filter(exceeds(named(error), threshold))
+    over = cut(df.filter(exceeds(named(error), threshold)), "outliers")
     return ranked(over, [named(error).desc(), named(pos).asc()], "rank", by)
 
 
@@ -55,12 +58,24 @@ def worst_rows(df: DataFrame, k: int, error: str = "err", pos: str = "pos", by:
     return known.withColumn("rank", place).filter(F.col("rank") <= k)
 
 
-class Score(NamedTuple):
-    """Score table, ranked outliers and the predictions they come from."""
+@dataclass(frozen=True)
+class Score:
+    """Rated predictions; the score table and the ranked outliers are built when asked for."""
 
-    summary: DataFrame
-    outliers: DataFrame
     predictions: DataFrame
+    actual: str
+    predicted: str
+    threshold: float
+    pos: str
+    by: tuple[str, ...]
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return metrics(self.predictions, self.actual, self.predicted, self.threshold, self.by)
+
+    @cached_property
+    def outliers(self) -> DataFrame:
+        return outliers(self.predictions, "err", self.threshold, self.pos, self.by)
 
 
 def score(df: DataFrame, actual: str, predicted: str, threshold: float = 200.0, pos: str = "pos",
@@ -74,7 +89,7 @@ def score(df: DataFrame, actual: str, predicted: str, threshold: float = 200.0,
         df = df.withColumn(actual, scaler.backward(name, named(actual))).withColumn(
             predicted, scaler.backward(name, named(predicted)))
     rated = df.withColumn("err", absolute_error(named(actual), named(predicted)))
-    return Score(metrics(rated, actual, predicted, threshold, by), outliers(rated, "err", threshold, pos, by), rated)
+    return Score(rated, actual, predicted, threshold, pos, tuple(by))
 
 
 def baseline(df: DataFrame, target: str, feature: str, by: Sequence[str] = (), out: str = "y_pred",

@@ -257,9 +257,9 @@ SELECT axis, pos, back, ahead FROM (
   FROM split WINDOW w AS (PARTITION BY axis ORDER BY pos)) WHERE NOT is_test""", more=_SPLIT))
 def training_companion(spark, sf_dir):
     run, spec = run_of(spark, sf_dir)
-    shifted = shift.add_shifts(run.select("axis", "pos", "v"), spec, ["v"], 3, both=True)
-    marked = split.hold_out(shifted, ["axis", "pos"], by=["axis"])
-    return marked.filter(~F.col("is_test")).select("axis", "pos", named("v_-3").alias("back"), named("v_+3").alias("ahead"))
+    marked = split.hold_out(run.select("axis", "pos", "v"), ["axis", "pos"], by=["axis"])
+    shifted = shift.add_shifts(marked, spec, ["v"], 3, both=True)
+    return shifted.filter(~F.col("is_test")).select("axis", "pos", named("v_-3").alias("back"), named("v_+3").alias("ahead"))
 
 
 @query("j03_positional_take", sql("pred", "SELECT axis, rank, pos, cycle, v, a FROM outliers", more=OUTLIERS))

@@ -14,10 +14,16 @@ from signalloom.plans.feature_queries import _low_pass_sql
 from signalloom.plans.registry import RUN, THRESHOLD, predicted_of, query, rnd, run_of, signals, spec_for, sql, sql_rnd
 
 
-def _marked_frame(spark, sf_dir, lags=3, both=False, sizes=(64,)):
+def _marked_run(spark, sf_dir):
+    """Rows are marked before features are added, while they are narrow."""
     run, spec = run_of(spark, sf_dir)
+    return split.hold_out(run, ["axis", "pos"], by=["axis"]), spec
+
+
+def _marked_frame(spark, sf_dir, lags=3, both=False, sizes=(64,)):
+    run, spec = _marked_run(spark, sf_dir)
     frame, names = prepare.model_frame(run, spec, lags, both, sizes)
-    return split.hold_out(frame, ["axis", "pos"], by=["axis"]), names, spec
+    return frame, names, spec
 
 
 # --- predictors ----------------------------------------------------------------------------
@@ -156,8 +162,7 @@ def grid_candidates(spark, sf_dir):
 
 @query("l08_random_search")
 def random_search(spark, sf_dir):
-    run, spec = run_of(spark, sf_dir)
-    marked = split.hold_out(run, ["axis", "pos"], by=["axis"])
+    marked, spec = _marked_run(spark, sf_dir)
     space = {"max_depth": range(3, 5), "learning_rate": [0.05, 0.06, 0.075], "subsample": [0.5, 0.7], "colsample_bytree": [0.6, 0.9],
              "colsample_bylevel": [0.7], "min_child_weight": [1, 2], "n_estimators": [3], "shifting": [0, 1],
              "step_size": range(2, 5), "forward": [0, 1], "scaling": [0, 1], "scaling_method": ["MinMax", "MinMax(-1.1)", "Standard"]}
@@ -212,10 +217,9 @@ def flagship(spark, sf_dir):
 @query("x01_single_fit")
 def single_fit(spark, sf_dir):
     """One boosted fit on rolling statistics and 75 lags of both inputs; its outliers, worst first."""
-    run, spec = run_of(spark, sf_dir)
+    run, spec = _marked_run(spark, sf_dir)
     features = rolling.rolling_bundle("v", "a", (64, 128, 256)) + shift.lag_array_features(["v", "a"], 75)
-    frame = split.hold_out(series.add_features(run, spec, features), ["axis", "pos"], by=["axis"])
-    data = series.cut(model.assemble(frame, ["v", "a", *[f.name for f in features]])
+    data = series.cut(model.assemble(series.add_features(run, spec, features), ["v", "a", *[f.name for f in features]])
                       .select("axis", "pos", "fr", "is_test", model.FEATURES))
     params = {"max_depth": 5, "learning_rate": 0.06, "subsample": 0.7, "colsample_bytree": 0.6, "colsample_bylevel": 0.9,
               "n_estimators": 5}
