@@ -33,7 +33,7 @@ def _pass(x: str, place: Column, frame: ChunkFrame, decay: float, gain: float, d
     y[j] = decay^j (y[0] + sum of u[i] decay^-i), starting in the steady state of
     the first value. The weights grow with i, so early rounding fades away.
     """
-    window = frame.ordered(descending=descending)
+    window = frame.backwards() if descending else frame.ordered()
     whole = window.rowsBetween(Window.unboundedPreceding, 0)
     before = F.lag(x).over(window)
     # The first row carries the steady state, y[0] = x[0].

@@ -10,13 +10,14 @@ functions here split every series, however long, into bounded pieces:
   sent to the neighbours that need them (the halo), so that any frame of bounded
   length is complete inside its chunk.
 
-Series keys must not be null; the scans in `signalloom.sources` see to that.
+Series keys must not be null, as joins on them would lose rows: the scans in
+`signalloom.sources` always name a series, and `fit_spec` refuses null keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -80,7 +81,10 @@ def fit_spec(
     enough; keys that stay crowded even so need `position_by_sort`.
     """
     pieces = min_pieces or 4 * df.sparkSession.sparkContext.defaultParallelism
-    low, high, rows = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    unnamed = F.count_if(F.greatest(F.lit(False), *[named(k).isNull() for k in keys]))
+    low, high, rows, lost = df.agg(F.min(order), F.max(order), F.count(F.lit(1)), unnamed).first()
+    if lost:
+        raise ValueError(f"{lost} rows have a null series key")
     count = max(1, -(-rows // target_rows), pieces)
     span = (high - low + 1) if low is not None else 1
     limit = max(target_rows, rows // pieces)
@@ -188,33 +192,87 @@ def ranked(df: DataFrame, order: Sequence[Column], rank: str = "rank", by: Seque
 class Feature:
     """A column that looks at up to `back` earlier and `ahead` later rows.
 
-    `steps` are helper columns computed first; `build` gives the column. Both
-    get the windows of the chunk.
+    `build` gives the column from the windows of the chunk. `blocks` are helper
+    columns it needs: aggregates that grow through blocks of a fixed number of
+    rows, forwards or backwards. `running` ones grow through the whole chunk.
     """
 
     name: str
     back: int
     ahead: int
     build: Callable[["ChunkFrame"], Column]
-    steps: tuple[tuple[str, Callable[["ChunkFrame"], Column]], ...] = field(default=())
+    blocks: tuple["BlockColumn", ...] = ()
+    running: tuple["RunningColumn", ...] = ()
+
+
+@dataclass(frozen=True)
+class BlockColumn:
+    """`aggregate` over the rows of the block up to the current one, from the far end if `backwards`."""
+
+    name: str
+    rows: int
+    backwards: bool
+    aggregate: Callable[[], Column]
+
+
+@dataclass(frozen=True)
+class RunningColumn:
+    """`aggregate` over the rows of the chunk up to the current one."""
+
+    name: str
+    aggregate: Callable[[], Column]
 
 
 @dataclass(frozen=True)
 class ChunkFrame:
-    """Windows available inside a chunk; `extra` splits a chunk further."""
+    """Windows available inside a chunk.
+
+    `chains` are block lengths, each a multiple of the next. Windows of a chain
+    name all its block numbers, either to split by or to order by. As block
+    numbers rise with the position this changes no result, but lets Spark see
+    that one sort serves them all.
+    """
 
     keys: tuple[str, ...]
     pos: str
+    chains: tuple[tuple[int, ...], ...] = ()
+
+    @staticmethod
+    def chain(lengths: set[int]) -> tuple[tuple[int, ...], ...]:
+        chains: list[list[int]] = []
+        for n in sorted(lengths, reverse=True):
+            fitting = next((c for c in chains if c[-1] % n == 0), None)
+            fitting.append(n) if fitting else chains.append([n])
+        return tuple(map(tuple, chains))
+
+    @property
+    def numbers(self) -> list[Column]:
+        """Block numbers counted up, and down for windows that run backwards."""
+        return [F.expr(f"{sign}(`{self.pos}` div {n}L)").alias(f"{name}{n}")
+                for c in self.chains for n in c for name, sign in (("__up", ""), ("__down", "0L - "))]
+
+    @property
+    def _order(self) -> list[str]:
+        return [*[f"__up{n}" for n in (self.chains[0] if self.chains else ())], self.pos]
 
     @property
     def clause(self) -> str:
         """The plain window as SQL text, which is quicker to build for hundreds of columns."""
         keys = ", ".join(f"`{k}`" for k in (*self.keys, CHUNK))
-        return f"OVER (PARTITION BY {keys} ORDER BY `{self.pos}`)"
+        return f"OVER (PARTITION BY {keys} ORDER BY {', '.join(f'`{c}`' for c in self._order)})"
+
+    def ordered(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys, CHUNK).orderBy(*self._order)
+
+    def backwards(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys, CHUNK).orderBy(F.col(self.pos).desc())
 
-    def ordered(self, *extra: Column, descending: bool = False) -> WindowSpec:
-        order = F.col(self.pos).desc() if descending else F.col(self.pos)
-        return Window.partitionBy(*self.keys, CHUNK, *extra).orderBy(order)
+    def block(self, n: int, backwards: bool) -> WindowSpec:
+        chain = next(c for c in self.chains if n in c)
+        numbers = [f"{'__down' if backwards else '__up'}{m}" for m in chain]
+        at = chain.index(n) + 1
+        last = F.col(self.pos).desc() if backwards else F.col(self.pos).asc()
+        return Window.partitionBy(*self.keys, CHUNK, *numbers[:at]).orderBy(*numbers[at:], last)
 
 
 def chunked(df: DataFrame, spec: SeriesSpec, back: int, ahead: int, pos: str = "pos",
@@ -240,14 +298,20 @@ def add_features(df: DataFrame, spec: SeriesSpec, features: Sequence[Feature], p
     """Append all features with one exchange and one ordering of the chunks."""
     back = max((f.back for f in features), default=0)
     ahead = max((f.ahead for f in features), default=0)
-    frame = ChunkFrame(spec.keys, pos)
+    helpers = {b.name: b for f in features for b in f.blocks}
+    frame = ChunkFrame(spec.keys, pos, ChunkFrame.chain({b.rows for b in helpers.values()}))
     pieces = chunked(df, spec, back, ahead, pos)
-    helpers: dict[str, Column] = {}
-    for feature in features:
-        for name, step in feature.steps:
-            helpers.setdefault(name, step(frame))
     if helpers:
-        # Helpers split chunks further; placed by chunk first, all windows share one exchange.
-        pieces = pieces.repartition(*spec.keys, CHUNK).select("*", *[c.alias(n) for n, c in helpers.items()])
+        # Blocks split chunks further; placed by chunk first, all windows share one exchange.
+        pieces = pieces.repartition(*spec.keys, CHUNK).select("*", *frame.numbers)
+        for backwards in (True, False):
+            for chain in reversed(frame.chains):
+                pieces = pieces.select("*", *[
+                    b.aggregate().over(frame.block(b.rows, backwards).rowsBetween(Window.unboundedPreceding, 0)).alias(n)
+                    for n, b in helpers.items() if b.backwards == backwards and b.rows in chain])
+    running = {r.name: r for f in features for r in f.running}
+    if running:
+        so_far = frame.ordered().rowsBetween(Window.unboundedPreceding, 0)
+        pieces = pieces.select("*", *[r.aggregate().over(so_far).alias(n) for n, r in running.items()])
     out = pieces.select("*", *[f.build(frame).alias(f.name) for f in features])
-    return unchunked(out).drop(*helpers)
+    return unchunked(out).select(*[named(c) for c in df.columns], *[named(f.name) for f in features])

@@ -8,23 +8,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Useful on any cluster: wide feature projections compile to methods too long for
+# the JVM's own compiler, and to more classes than the default cache holds.
+TUNING = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.codegen.cache.maxEntries": "1000",
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "signalloom") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
         # Small tables, many derived columns: keep one task per core busy.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
-        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.sql.codegen.cache.maxEntries", "1000")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in TUNING.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
