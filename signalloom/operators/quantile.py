@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom.functions.scalar import named
-from signalloom.operators.series import attach, join_written
+from signalloom.operators.series import attach, join_groups, join_written
 from signalloom.session import cut
 
 SMALL_ROWS = 100_000    # up to here one value map per group is bounded and cheaper
@@ -87,7 +87,7 @@ def _select_ranks(values: DataFrame, group: list[str], probs: list[float]) -> Da
             bins = bins.withColumn("ranks", F.array_distinct(F.flatten(F.transform(
                 points, lambda p: F.array(floor(p), F.least(floor(p) + 1, F.col("n") - 1))))))
         else:
-            bins = bins.join(state.select(*keys, "n", "before", "ranks"), keys)
+            bins = join_groups(bins, state.select(*keys, "n", "before", "ranks"), keys)
         bins = bins.withColumn("before", F.col("before") + F.col("upto") - F.col("rows"))
         end = F.col("before") + F.col("rows")
         bins = (bins.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("before")) & (r < end)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from signalloom.functions.scalar import named
 from signalloom.operators.quantile import exact_quantiles
-from signalloom.operators.series import attach
+from signalloom.operators.series import attach, join_groups
 
 # Accepted scaler names and what they mean.
 METHODS = {
@@ -48,7 +48,7 @@ def column_statistics(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
     spread = (exact_quantiles(df, columns, [0.25, 0.5, 0.75], by, method).groupBy(*by, "name")
               .agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
                      for p, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))]))
-    return table.join(spread, [*by, "name"], "left")
+    return join_groups(table, spread, [*by, "name"], "left")
 
 
 def _pair(kind: str, s: dict[str, Column]) -> tuple[Column, Column]:

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -99,9 +101,19 @@ def fit_spec(
         spec = replace(spec, bucket_width=max(1, spec.bucket_width * limit // (2 * fullest)))
 
 
+def join_groups(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner",
+                short: bool = False) -> DataFrame:
+    """Join on group keys where null is a group like any other, as in groupBy; a `short` table is broadcast."""
+    renamed = table.select(*[named(c).alias(f"__key{keys.index(c)}") if c in keys else named(c) for c in table.columns])
+    if short:
+        renamed = F.broadcast(renamed)
+    same = reduce(and_, [named(k).eqNullSafe(F.col(f"__key{i}")) for i, k in enumerate(keys)])
+    return df.join(renamed, same, how).drop(*[f"__key{i}" for i in range(len(keys))])
+
+
 def join_written(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a written table, broadcast if its row count says so."""
-    return df.join(F.broadcast(table) if table.count() <= SHORT_TABLE else table, list(keys), how)
+    return join_groups(df, table, list(keys), how, short=table.count() <= SHORT_TABLE)
 
 
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from signalloom.functions.scalar import named
 from signalloom.operators import lowpass, model, quantile, rolling, scale, score, search, sequence, series, shift, split
-from signalloom.plans import prepare
+from signalloom.plans import prepare, spaces
 from signalloom.plans.clean_queries import OUTLIERS
 from signalloom.plans.feature_queries import _low_pass_sql
 from signalloom.plans.registry import RUN, THRESHOLD, predicted_of, query, rnd, run_of, signals, spec_for, sql, sql_rnd
@@ -33,8 +33,7 @@ def _marked_frame(spark, sf_dir, lags=3, both=False, sizes=(64,)):
 def boosted_trees(spark, sf_dir):
     frame, names, spec = _marked_frame(spark, sf_dir)
     data = model.assemble(frame, names)
-    params = {"learning_rate": 0.06, "subsample": 0.7, "colsample_bytree": 0.6, "colsample_bylevel": 0.9, "max_depth": 4,
-              "n_estimators": 5}
+    params = {**spaces.SINGLE_FIT, "max_depth": 4, "n_estimators": 5}
     _, predicted = model.fit_predict(data, model.boosted_trees(params, "fr"), ~F.col("is_test"), "fr")
     return score.score(predicted, "fr", "y_pred", THRESHOLD, by=spec.keys).summary
 
@@ -218,16 +217,35 @@ def flagship(spark, sf_dir):
 def single_fit(spark, sf_dir):
     """One boosted fit on rolling statistics and 75 lags of both inputs; its outliers, worst first."""
     run, spec = _marked_run(spark, sf_dir)
-    features = rolling.rolling_bundle("v", "a", (64, 128, 256)) + shift.lag_array_features(["v", "a"], 75)
+    features = (rolling.rolling_bundle("v", "a", spaces.ROLLING_SIZES)
+                + shift.lag_array_features(["v", "a"], spaces.SINGLE_FIT["step_size"]))
     data = series.cut(model.assemble(series.add_features(run, spec, features), ["v", "a", *[f.name for f in features]])
                       .select("axis", "pos", "fr", "is_test", model.FEATURES))
-    params = {"max_depth": 5, "learning_rate": 0.06, "subsample": 0.7, "colsample_bytree": 0.6, "colsample_bylevel": 0.9,
-              "n_estimators": 5}
+    params = {**spaces.SINGLE_FIT, "max_depth": 5, "n_estimators": 5}
     _, predicted = model.fit_predict(data, model.boosted_trees(params, "fr"), ~F.col("is_test"), "fr")
     rated = score.score(predicted.select("axis", "pos", "fr", "y_pred"), "fr", "y_pred", THRESHOLD, by=spec.keys)
     return rated.outliers
 
 
+@query("x05_forest_search")
+def forest_search(spark, sf_dir):
+    """Sampled forests compared by k folds of the training rows; the best one's four worst rows over all rows."""
+    marked, spec = _marked_run(spark, sf_dir)
+    frame, names = prepare.model_frame(marked, spec, 3, True, ())
+    data = series.cut(model.assemble(frame, names).select("axis", "pos", "is_test", "fr", model.FEATURES))
+    # Folds are contiguous in the order of the training rows.
+    train = series.with_position(data.filter(~F.col("is_test")).drop("is_test"),
+                                 series.fit_spec(data, ["axis"], "pos"), "place", "n_train")
+    train = series.cut(train.withColumn("fold", split.fold_number(F.col("place"), F.col("n_train"), 3)))
+    space = {**spaces.FOREST_SPACE, "n_estimators": search.Whole(3, 6), "max_depth": search.Whole(4, 6)}
+    candidates = [{k: v for k, v in r.asDict().items() if k != "candidate"}
+                  for r in search.sample_candidates(spark, space, 2).orderBy("candidate").collect()]
+    found = search.cross_validate(train, model.forest, candidates, "fr", folds=3)
+    predicted = found.bestModel.transform(data)
+    rated = score.score(predicted.select("axis", "pos", "fr", "y_pred"), "fr", "y_pred", THRESHOLD, by=spec.keys)
+    return score.worst_rows(rated.predictions, 4)
+
+
 _SEQUENCE_SQL = f"""
 SELECT axis, is_test, count(*) AS n_rows, round(sum(size), 0) AS n_cells, {sql_rnd('min(fr)')} AS low, {sql_rnd('max(fr)')} AS high FROM (
   SELECT axis, pos, fr, CAST(60 AS DOUBLE) AS size,

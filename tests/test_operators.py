@@ -293,3 +293,34 @@ def test_grid_is_the_full_product(spark):
 def test_first_of_equal_scores_wins(spark):
     scores = spark.createDataFrame([(2, "c", 1.0), (1, "b", 1.0), (0, "a", 3.0)], "candidate bigint, name string, worst_error double")
     assert search.best_candidate(scores, ["name"]).first()["name"] == "b"
+
+
+# --- groups --------------------------------------------------------------------------------
+
+
+def test_null_is_a_group_like_any_other(spark):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"g": [None, "a"] * 150, "id": range(300), "x": rng.normal(size=300), "y": rng.normal(size=300)})
+    df = spark.createDataFrame([tuple(r) for r in pdf.itertuples(index=False)], "g string, id bigint, x double, y double")
+    one, other = pdf[pdf.g.isna()], pdf[pdf.g.notna()]
+    for method in ("percentile", "select"):
+        got = {(r.g, r.prob): r.value for r in quantile.exact_quantiles(df, ["x"], [0.25, 0.5], ["g"], method).collect()}
+        assert len(got) == 4 and math.isclose(got[None, 0.25], one.x.quantile(0.25)) and math.isclose(got["a", 0.5], other.x.median())
+    marked = split.hold_out(df, ["id"], 0.4, by=["g"])
+    assert {r.g: r.k for r in marked.groupBy("g").agg(F.count_if("is_test").alias("k")).collect()} == {None: 60, "a": 60}
+    scaled = pandas_sorted(scale.scale_by(df, ["x"], ["Robust"], ["g"]), ["id"])
+    want = (one.x - one.x.median()) / (one.x.quantile(0.75) - one.x.quantile(0.25))
+    assert len(scaled) == 300 and same(scaled.x[pdf.g.isna()], want)
+    line = np.polyfit(one.x, one.y, 1)
+    fitted = pandas_sorted(score.baseline(df, "y", "x", ["g"]), ["id"])
+    assert same(fitted.y_pred[pdf.g.isna()], np.polyval(line, one.x))
+    top = score.worst_rows(df.withColumnRenamed("x", "err"), 2, pos="id", by=["g"]).collect()
+    assert sorted(r.id for r in top if r.g is None) == sorted(one.nlargest(2, "x").id)
+    ranks = series.ranked(df.select("g", "x"), [F.col("x").desc()], "rank", ["g"]).toPandas()
+    assert len(ranks) == 300 and ranks.groupby("g", dropna=False)["rank"].max().tolist() == [150, 150]
+
+
+def test_null_series_keys_are_refused(spark):
+    df = spark.createDataFrame([(None, 1), ("a", 2)], "series string, cycle bigint")
+    with pytest.raises(ValueError):
+        series.fit_spec(df, ["series"], "cycle")
