@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from signalloom.functions import scalar
 from signalloom.functions.scalar import named
 from signalloom.operators import clean, diag, model, project, score, series, shift, split
-from signalloom.plans.registry import (RUN, THRESHOLD, predicted_of, query, rnd, run_of, signals, spec_for, sql, sql_rnd,
-                                       table)
+from signalloom.plans.registry import (RUN, THRESHOLD, predicted_of, query, rnd, run_of, signals, spec_for, sql, sql_rnd)
 from signalloom.session import scratch_path
 from signalloom.sources import csv
 

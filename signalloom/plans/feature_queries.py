@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from signalloom.functions.scalar import named
 from signalloom.operators import lowpass, quantile, rolling, scale, score, sequence, series, shift, split
 from signalloom.plans.registry import (RUN, THRESHOLD, predicted_of, query, rnd, run_of, signals, spec_for, sql, sql_rnd,
                                        table)

@@ -11,7 +11,7 @@ from signalloom.operators import lowpass, model, quantile, rolling, scale, score
 from signalloom.plans import prepare, spaces
 from signalloom.plans.clean_queries import OUTLIERS
 from signalloom.plans.feature_queries import _low_pass_sql
-from signalloom.plans.registry import RUN, THRESHOLD, predicted_of, query, rnd, run_of, signals, spec_for, sql, sql_rnd
+from signalloom.plans.registry import THRESHOLD, predicted_of, query, rnd, run_of, sql, sql_rnd
 
 
 def _marked_run(spark, sf_dir):
