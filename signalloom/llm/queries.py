@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat, mixing
+from signalloom.llm import chat, embedding, mixing, warc
 from signalloom.llm.common import pick, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,44 @@ def op9_chat_windows(spark, sf_dir):
 def op5_mix_sources(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+WARC_SQL = """
+WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+hashed AS (SELECT page_id, octet_length(payload) AS n, sha1(payload) AS h FROM rows),
+firsts AS (SELECT h, min(page_id) AS first FROM hashed GROUP BY h),
+bits AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111',
+    4 * strpos('0123456789abcdef', substr(h, i, 1)) - 3, 4)), 'string_agg', '') AS b FROM hashed JOIN firsts USING (h))
+SELECT page_id, n::BIGINT AS payload_bytes,
+    list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT
+          + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+    CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM bits
+"""
+
+
+@query("op2_warc_archives", WARC_SQL)
+def op2_warc_archives(spark, sf_dir):
+    folder, manifest = warc.write_archives(pick(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
+    read = warc.read_archives(folder, manifest, payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+EMBEDDING_SQL = """
+WITH RECURSIVE good AS (
+    SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id)::BIGINT AS n_links, min(reach.b) AS component_id, vec_id = min(reach.b) AS kept
+FROM embeddings JOIN reach ON reach.a = vec_id GROUP BY vec_id
+"""
+
+
+@query("op7_embedding_neardup", EMBEDDING_SQL)
+def op7_embedding_neardup(spark, sf_dir):
+    return embedding.near_duplicates(pick(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
