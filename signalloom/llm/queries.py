@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat, embedding, mixing, warc
-from signalloom.llm.common import pick, table, word_count
+from signalloom.llm import chat, embedding, mixing, toxicity, warc
+from signalloom.llm.common import pick, remainder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -114,3 +114,13 @@ FROM embeddings JOIN reach ON reach.a = vec_id GROUP BY vec_id
 @query("op7_embedding_neardup", EMBEDDING_SQL)
 def op7_embedding_neardup(spark, sf_dir):
     return embedding.near_duplicates(pick(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
+    labels = pick(table(spark, sf_dir, "labels"), "doc_id", "toxic")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs.where(~held_out), labels)
+    scored = toxicity.score(docs.withColumn("held_out", held_out), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
