@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat, embedding, mixing, toxicity, warc
+from signalloom.llm import chat, decontaminate, embedding, language, mixing, toxicity, warc
 from signalloom.llm.common import pick, remainder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,19 @@ def op3_toxicity(spark, sf_dir):
     model = toxicity.fit(docs.where(~held_out), labels)
     scored = toxicity.score(docs.withColumn("held_out", held_out), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op6_language")
+def op6_language(spark, sf_dir):
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = language.fit(docs.where(~held_out))
+    found = language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op10_decontaminate")
+def op10_decontaminate(spark, sf_dir):
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = decontaminate.find(docs, pick(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+    return found.select("doc_id", "item_ids", "n_matches", "distance")
