@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat, decontaminate, embedding, language, mixing, toxicity, warc
+from signalloom.llm import chat, decontaminate, embedding, language, lm, mixing, toxicity, warc
 from signalloom.llm.common import pick, remainder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,12 @@ def op10_decontaminate(spark, sf_dir):
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     found = decontaminate.find(docs, pick(table(spark, sf_dir, "benchmark"), "item_id", "text"))
     return found.select("doc_id", "item_ids", "n_matches", "distance")
+
+
+@query("op8_lm_score")
+def op8_lm_score(spark, sf_dir):
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = docs.withColumn("held_out", remainder(F.col("doc_id"), 7) == 2)
+    training = docs.where(~F.col("held_out"))
+    counts, known = lm.count_words(training)
+    return lm.score(docs, ["doc_id", "held_out"], counts, known, lm.train(training, known))
