@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat, decontaminate, embedding, language, lm, mixing, toxicity, warc
+from signalloom.llm import chat, decontaminate, embedding, language, lm, minhash, mixing, toxicity, warc
 from signalloom.llm.common import pick, remainder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,23 @@ def op8_lm_score(spark, sf_dir):
     training = docs.where(~F.col("held_out"))
     counts, known = lm.count_words(training)
     return lm.score(docs, ["doc_id", "held_out"], counts, known, lm.train(training, known))
+
+
+NEARDUP_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w] ELSE list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3]) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+twice AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, twice.b FROM reach JOIN twice ON reach.b = twice.a)
+SELECT d.doc_id, coalesce(max(n), 0)::BIGINT AS n_shingles, min(reach.b) AS component_id, d.doc_id = min(reach.b) AS kept
+FROM documents d JOIN reach ON reach.a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@query("op4_minhash_neardup", NEARDUP_SQL)
+def op4_minhash_neardup(spark, sf_dir):
+    return minhash.near_duplicates(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), size=4, similarity=0.8)
