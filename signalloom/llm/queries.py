@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat, decontaminate, embedding, language, lm, minhash, mixing, toxicity, warc
+from signalloom.llm import chat, decontaminate, embedding, language, lm, minhash, mixing, suffix, toxicity, warc
 from signalloom.llm.common import pick, remainder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,8 @@ FROM documents d JOIN reach ON reach.a = d.doc_id LEFT JOIN sizes s ON s.doc_id
 @query("op4_minhash_neardup", NEARDUP_SQL)
 def op4_minhash_neardup(spark, sf_dir):
     return minhash.near_duplicates(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), size=4, similarity=0.8)
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix.remove_repeats(pick(table(spark, sf_dir, "documents"), "doc_id", "text")).drop("kept")
