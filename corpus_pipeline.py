@@ -1,12 +1,81 @@
-"""A corpus from `documents`: filtered, deduplicated, decontaminated and mixed."""
+"""A corpus from `documents`: filtered, deduplicated, decontaminated and mixed.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All
+but the last return the columns of `documents`; each runs the operator of its name.
+
+Documents without an id cannot be named by a later stage; the first one rejects them.
+After near-dedup ids are unique.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from signalloom.llm import decontaminate, language, minhash, mixing, suffix
+from signalloom.llm.common import cut, pick, table, word_count
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The pipeline's near-duplicates: words of a shingle and similarity.
+SHINGLE, SIMILARITY = 5, 0.8
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in some language: those without an id, without a text or without a letter go."""
+    docs = pick(docs, *COLUMNS).where("doc_id IS NOT NULL")
+    found = language.predict(docs, language.fit(docs))
+    return found.where(F.col("lang_pred") != language.UND).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest id; one row per id."""
+    docs = pick(docs, *COLUMNS)
+    found = minhash.near_duplicates(docs, SHINGLE, SIMILARITY)
+    kept = found.where("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def _decode(batches):
+    for batch in batches:
+        texts = [None if k is None else k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()]
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "rest": pa.array(texts, pa.string())})
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one holds; those of which nothing is left go."""
+    docs = pick(docs, *COLUMNS)
+    found = suffix.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept")
+    rest = found.mapInArrow(_decode, "doc_id long, rest string")
+    docs = docs.join(rest, "doc_id", "left")
+    docs = docs.where(F.col("rest").isNull() | (F.col("rest") != ""))
+    shorter = F.col("rest").isNotNull()
+    return docs.withColumns({"text": F.coalesce("rest", "text"), "n_chars": F.when(shorter, F.length("rest").cast("long")).otherwise(F.col("n_chars"))}).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    found = decontaminate.find(pick(docs, *COLUMNS), pick(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+    return found.where("n_matches = 0").select(*COLUMNS)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for every copy of a document that it takes, with its number, size and its source's target."""
+    docs = pick(docs, *COLUMNS)
+    plan = mixing.mix(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    plan = plan.where("copies > 0").select("doc_id", "size", "source_size", "target", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return docs.join(plan, "doc_id").select(*COLUMNS, "copy", "size", "source_size", "target")
+
 
-from signalloom.llm.common import cut, table
+STAGES = [
+    ("language ID", language_id),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", exact_dedup),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources", source_mix),
+]
 
-STAGES: list = []
+#: SQL has neither the language model, the edit distance of substrings nor the mix's hash.
 ORACLE_SQL = None
 
 
