@@ -80,10 +80,12 @@ def build_dictionary(samples: list[bytes]) -> bytes:
     size = min(DICT_BYTES, sum(map(len, samples)) // 8)
     if len(samples) < 8 or size < 1024:
         return b""
-    try:
-        return zstandard.train_dictionary(size, samples, k=512, d=8).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    for segment in (512, 64):  # long segments suit pages, short ones suit a few short records
+        try:
+            return zstandard.train_dictionary(size, samples, k=segment, d=8).as_bytes()
+        except zstandard.ZstdError:
+            continue
+    return b""
 
 
 class _Archive:
@@ -91,7 +93,7 @@ class _Archive:
 
     def __init__(self, filesystem, folder: str, name: str, level: int):
         self.name, self.level, self.held, self.waiting, self.at, self.raw = name, level, 0, [], 0, 0
-        self.out, self.compressor = filesystem.open_output_stream(f"{folder}/{name}"), None
+        self.out, self.compressor = filesystem.open_output_stream(f"{folder}/{name}", compression=None), None
 
     def add(self, key: tuple, record: bytes) -> list[tuple]:
         self.raw += len(record)
@@ -201,7 +203,7 @@ def _reader(folder: str, payloads: bool):
                             ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
             for name in batch.column("file").to_pylist():
-                with filesystem.open_input_stream(f"{path}/{name}") as stream:
+                with filesystem.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     found, held = [], 0
                     for data in read_frames(stream):
                         record = parse_record(data)
