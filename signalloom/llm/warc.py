@@ -179,7 +179,7 @@ def read_frames(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
     """The records of an archive, one after the other, with no more of it in memory than one."""
     import zstandard
 
-    data = stream.read(chunk)
+    data = stream.read(max(chunk, 8))
     decompressor = zstandard.ZstdDecompressor()
     if len(data) >= 8 and struct.unpack("<I", data[:4])[0] == MAGIC:
         size = struct.unpack("<I", data[4:8])[0]
