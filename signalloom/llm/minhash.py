@@ -6,12 +6,13 @@ neighbours. A region is all sets with one prefix; it is `DEPTHS[0]` hashes long,
 where more than `REGION` sets share it the next longer one is taken, region by region.
 A region is one task's work, and never larger than its bound while hashes are left.
 
-Within a region, hash agreement estimates similarity. Sets propose partners, best
-estimates first, in rounds of growing rank; only pairs that may still reach the
-threshold (four standard deviations) and whose sets are not connected yet are proposed,
-so large groups of copies never become all their pairs. Proposed pairs are confirmed on
-the full shingle sets; confirmed links make connected components, regions without open
-pairs drop out, and rounds go on until no pair is left. No partner is cut off.
+Within a region, hash agreement estimates similarity. Sets propose their `BEST` partners
+by estimate (four standard deviations below the threshold at least) as far as these are
+not connected yet; the pairs are confirmed on the full shingle sets, and confirmed links
+make connected components. In regions that have partners of later rank in other
+components, one task then counts the common shingles of all of them exactly, block by
+block, and returns a spanning forest of the links it finds. So large groups of copies
+never become their pairs, and no partner is cut off.
 
 Recall: sets of similarity s meet in a region with 1 - (1 - s^3)^16, or 0.99999 at 0.8;
 in regions that had to go deeper it is less.
@@ -38,8 +39,10 @@ from signalloom.llm.shingles import min_hashes, shingle_sets
 HASHES, TREES = 128, 16
 DEPTHS = (3, 4, 6, 8, 12, 16, 32, 64, 128)
 REGION = 8192
-#: Ranks of partners proposed in each round; the first uses a quarter of the trees.
-RANKS = (1, 2, 8, 32, 128, 512, 1 << 30)
+#: Partners that a set proposes; a first round takes one, in a quarter of the trees.
+BEST = 4
+#: Rows and shingles of a block in which common shingles are counted.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 2048
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -125,92 +128,158 @@ def regions(signed: DataFrame, most: int = REGION) -> DataFrame:
     return cut(done.unionByName(parts).select("node", "tree", "prefix"), "regions")
 
 
-class _Found:
-    """Rows to hand on: pairs, and the members of regions that have pairs of a later rank."""
+def _agreement(low8: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """Equal hashes of the sets `mine` with all sets; 0 with itself."""
+    agree = np.zeros((len(mine), len(low8)), np.uint8)
+    for k in range(low8.shape[1]):
+        agree += low8[mine, k][:, None] == low8[:, k][None, :]
+    agree[np.arange(len(mine)), mine] = 0
+    return agree
 
-    def __init__(self):
-        self.rows: list[tuple] = []
 
-    def add(self, a: np.ndarray, b: np.ndarray | None, tree: int, prefix: int) -> None:
-        if len(a):
-            self.rows.append((a, np.zeros_like(a) if b is None else b, np.full(len(a), b is not None), np.full(len(a), tree, np.int32), np.full(len(a), prefix)))
-
-    def batch(self) -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*self.rows, strict=True)] if self.rows else [np.zeros(0, t) for t in (np.int64, np.int64, bool, np.int32, np.int64)]
-        a, b, pair, tree, prefix = columns
-        self.rows = []
-        return pa.record_batch({"a": pa.array(a), "b": pa.array(b, mask=~pair), "tree": pa.array(tree, pa.int32()), "prefix": pa.array(prefix)})
-
-
-def _propose(node: np.ndarray, part: np.ndarray, low8: np.ndarray, ranks: tuple[int, int], least: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of a region whose second is at the wanted ranks of their first, and whether pairs of a later rank are left.
-
-    The ranks are those among all partners, connected or not, so that rounds do not overlap.
-    """
-    first, last = ranks
-    a, b, more = [], [], False
-    step = max(1, (1 << 20) // len(node))
-    for at in range(0, len(node), step):
-        mine = np.arange(at, min(len(node), at + step))
-        agree = np.zeros((len(mine), len(node)), np.uint8)
-        for k in range(low8.shape[1]):
-            agree += low8[mine, k][:, None] == low8[:, k][None, :]
-        agree[np.arange(len(mine)), mine] = 0
+def _propose(part: np.ndarray, low8: np.ndarray, best: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a region, the second among the best of the first and in another part; and who has such partners of later rank, or is one."""
+    a, b, late = [], [], np.zeros(len(part), bool)
+    step = max(1, (1 << 20) // len(part))
+    for at in range(0, len(part), step):
+        mine = np.arange(at, min(len(part), at + step))
+        agree = _agreement(low8, mine)
         near = agree >= least
-        open_ = (near & (part[mine][:, None] != part[None, :])).any(axis=1)
-        for r in np.flatnonzero(open_):
+        apart = part[mine][:, None] != part[None, :]
+        for r in np.flatnonzero((near & apart).any(axis=1)):
             found = np.flatnonzero(near[r])
             found = found[np.argsort(-agree[r][found].astype(np.int64), kind="stable")]
             other = part[found] != part[mine[r]]
-            chosen = found[first:last][other[first:last]]
+            chosen = found[:best][other[:best]]
             a.append(np.full(len(chosen), mine[r]))
             b.append(chosen)
-            more = more or bool(other[last:].any())
-    if not a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), more
-    return np.concatenate(a), np.concatenate(b), more
+            later = found[best:][other[best:]]
+            if len(later):
+                late[later] = late[mine[r]] = True
+    none = np.zeros(0, np.int64)
+    return np.concatenate(a) if a else none, np.concatenate(b) if b else none, late
 
 
-def _proposer(ranks: tuple[int, int], least: int):
-    """Over rows sorted by region: the pairs of every region."""
+class _Regions:
+    """Takes rows sorted by region and hands on whole regions."""
 
-    def region(held: list[tuple], found: _Found) -> None:
-        node, part, low, tree, prefix = (np.concatenate(c) for c in zip(*held, strict=True))
-        order = np.argsort(node, kind="stable")
-        node, part, low = node[order], part[order], low[order]
-        a, b, more = _propose(node, part, low, ranks, least)
-        found.add(np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), tree[0], prefix[0])
-        if more:
-            found.add(node, None, tree[0], prefix[0])
+    def __init__(self, columns: tuple[str, ...]):
+        self.columns, self.held = columns, []
 
-    def propose(batches):
-        held: list[tuple] = []
+    def whole(self, batches):
+        """(tree, prefix, rows by column) of every region."""
+        now = None
         for batch in batches:
-            tree, prefix, node, part = (batch.column(c).to_numpy() for c in ("tree", "prefix", "node", "part"))
-            if not len(node):
+            tree, prefix = batch.column("tree").to_numpy(), batch.column("prefix").to_numpy()
+            if not len(tree):
                 continue
-            low = np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(len(node), -1)
-            edges = np.flatnonzero((tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1])) + 1
-            found = _Found()
-            for start, stop in zip([0, *edges], [*edges, len(node)], strict=True):
-                if held and (held[0][3][0] != tree[start] or held[0][4][0] != prefix[start]):
-                    region(held, found)
-                    held = []
-                if stop - start == 2 and not held and stop < len(node):  # the usual region, without the matrices
-                    if ranks[0] == 0 and part[start] != part[start + 1] and (low[start] == low[start + 1]).sum() >= least:
-                        pair = np.sort(node[start:stop])
-                        found.add(pair[:1], pair[1:], tree[start], prefix[start])
-                    continue
-                held.append((node[start:stop], part[start:stop], low[start:stop], tree[start:stop], prefix[start:stop]))
-            yield found.batch()
-        if held:
-            found = _Found()
-            region(held, found)
-            yield found.batch()
+            rows = [batch.column(c) for c in self.columns]
+            edges = [0, *(np.flatnonzero((tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1])) + 1).tolist(), len(tree)]
+            for start, stop in zip(edges, edges[1:], strict=False):
+                key = (int(tree[start]), int(prefix[start]))
+                if key != now and self.held:
+                    yield *now, self._joined()
+                now = key
+                self.held.append([c.slice(start, stop - start) for c in rows])
+        if self.held:
+            yield *now, self._joined()
+
+    def _joined(self) -> list[pa.Array]:
+        held, self.held = self.held, []
+        return [pa.concat_arrays(c) if len(c) > 1 else c[0] for c in zip(*held, strict=True)]
+
+
+def _low8(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def _proposer(best: int, least: int):
+    """Pairs to confirm (a, b), and the sets that have more partners (a, b null), of every region."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = (np.int64, np.int64, bool, np.int32, np.int64)
+        a, b, pair, tree, prefix = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, t) for t in types)
+        return pa.record_batch({"a": pa.array(a), "b": pa.array(b, mask=~pair), "tree": pa.array(tree, pa.int32()), "prefix": pa.array(prefix)})
+
+    def propose(batches):
+        rows: list[tuple] = []
+        for tree, prefix, (node, part, low) in _Regions(("node", "part", "low")).whole(batches):
+            node, part, low8 = node.to_numpy(), part.to_numpy(), _low8(low)
+            if len(node) == 2:  # the usual region, without the matrices
+                close = part[0] != part[1] and (low8[0] == low8[1]).sum() >= least
+                a, b, late = (np.array([0]), np.array([1]), np.zeros(2, bool)) if close else (np.zeros(0, int), np.zeros(0, int), np.zeros(2, bool))
+            else:
+                a, b, late = _propose(part, low8, best, least)
+            late = node[late]
+            n, m = len(a), len(late)
+            if n + m:
+                rows.append((np.append(np.minimum(node[a], node[b]), late), np.append(np.maximum(node[a], node[b]), late * 0),
+                             np.append(np.ones(n, bool), np.zeros(m, bool)), np.full(n + m, tree, np.int32), np.full(n + m, prefix)))
+            if len(rows) >= 10_000:
+                yield batch(rows)
+                rows = []
+        yield batch(rows)
 
     return propose
 
 
+def common_counts(sets: list[np.ndarray]):
+    """Blocks of rows, and the number of shingles that each has in common with every set."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, number, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times[number] > 1
+    renumber = np.cumsum(times > 1) - 1
+    number, owner = renumber[number[shared]], owner[shared]
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    n_shared = int((times > 1).sum())
+    edges = np.searchsorted(number, np.arange(0, n_shared + BLOCK_SHINGLES, BLOCK_SHINGLES))
+    for at in range(0, len(sets), BLOCK_ROWS):
+        mine = np.arange(at, min(len(sets), at + BLOCK_ROWS))
+        common = np.zeros((len(mine), len(sets)), np.float32)
+        for k in range(len(edges) - 1):
+            part = slice(edges[k], edges[k + 1])
+            has = np.zeros((len(sets), BLOCK_SHINGLES), np.float32)
+            has[owner[part], number[part] - k * BLOCK_SHINGLES] = 1
+            common += has[mine] @ has.T
+        yield mine, common
+
+
+def _closer(least: int, percent: int):
+    """A spanning forest of the links between different parts of every region, confirmed on the sets."""
+
+    def close(batches):
+        for _, _, (node, part, low, shingles) in _Regions(("node", "part", "low", "shingles")).whole(batches):
+            node, part, low8 = node.to_numpy(), part.to_numpy(), _low8(low)
+            sets = [np.asarray(s) for s in shingles.to_numpy(zero_copy_only=False)]
+            sizes = np.array([len(s) for s in sets])
+            _, label = np.unique(part, return_inverse=True)
+            ends = []
+            for mine, common in common_counts(sets):
+                linked = 100 * common >= percent * (sizes[mine][:, None] + sizes[None, :] - common)
+                linked &= (label[mine][:, None] != label[None, :]) & (_agreement(low8, mine) >= least)
+                i, j = np.nonzero(linked)
+                # One link for each pair of parts is enough to connect them.
+                _, first = np.unique(label[mine[i]] * (label.max() + 1) + label[j], return_index=True)
+                ends.append((mine[i[first]], j[first]))
+            i, j = (np.concatenate(c) for c in zip(*ends, strict=True))
+            if len(i):
+                top = np.arange(label.max() + 1)
+                kept = []
+                for k, (x, y) in enumerate(zip(label[i].tolist(), label[j].tolist(), strict=True)):
+                    while top[x] != x:
+                        x = top[x]
+                    while top[y] != y:
+                        y = top[y]
+                    if x != y:
+                        top[max(x, y)] = min(x, y)
+                        kept.append(k)
+                yield pa.record_batch({"a": pa.array(node[i[kept]]), "b": pa.array(node[j[kept]])})
+
+    return close
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose full sets reach the similarity."""
     one, two = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
@@ -231,29 +300,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, reg
     texts = docs.join(needed, "doc_id").select("node", "text")
     sets = cut(texts.mapInArrow(_setter(size), "node long, shingles array<long>"), "sets")
     low = nodes.select("node", "low")
-    links, parts, before = None, None, 0
     spread = (similarity * (1 - similarity) / HASHES) ** 0.5
     least = int(HASHES * max(0.0, similarity - 4 * spread))
-    for turn, rank in enumerate(RANKS):
-        here = open_rows.where(F.col("tree") % 4 == 0) if turn == 0 else open_rows
-        if parts is None:
-            labelled = here.withColumn("part", F.col("node"))
-        else:
-            labelled = here.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-            split = labelled.groupBy("tree", "prefix").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").drop("p", "q")
-            labelled = labelled.join(split, ["tree", "prefix"])
-        labelled = labelled.join(low, "node").select("node", "tree", "prefix", "part", "low")
-        dealt = labelled.repartition("tree", "prefix").sortWithinPartitions("tree", "prefix")
-        found = dealt.mapInArrow(_proposer((before, rank), least), "a long, b long, tree int, prefix long")
-        found = cut(found, "proposed")
-        pairs = found.where("b IS NOT NULL").select("a", "b").distinct()
-        new = cut(_confirm(pairs, sets, similarity), "confirmed")
-        links = new if links is None else links.unionByName(new)
-        parts = cut(components(links), "parts")
-        if turn > 0:
-            open_rows, before = found.where("b IS NULL").select(F.col("a").alias("node"), "tree", "prefix"), rank
-            if open_rows.isEmpty():
-                break
+
+    def with_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        """Rows of regions that hold more than one part."""
+        rows = rows.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        split = rows.groupBy("tree", "prefix").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").drop("p", "q")
+        return rows.join(split, ["tree", "prefix"]).join(low, "node").select("node", "tree", "prefix", "part", "low")
+
+    def by_region(rows: DataFrame) -> DataFrame:
+        return rows.repartition("tree", "prefix").sortWithinPartitions("tree", "prefix")
+
+    def proposed(rows: DataFrame, best: int) -> DataFrame:
+        return cut(by_region(rows).mapInArrow(_proposer(best, least), "a long, b long, tree int, prefix long"), "proposed")
+
+    def confirmed(found: DataFrame) -> DataFrame:
+        return cut(_confirm(found.where("b IS NOT NULL").select("a", "b").distinct(), sets, similarity), "confirmed")
+
+    first = open_rows.where(F.col("tree") % 4 == 0).withColumn("part", F.col("node")).join(low, "node").select("node", "tree", "prefix", "part", "low")
+    links = confirmed(proposed(first, 1))
+    parts = cut(components(links), "parts")
+    found = proposed(with_parts(open_rows, parts), BEST)
+    links = links.unionByName(confirmed(found))
+    parts = cut(components(links), "parts")
+    late = with_parts(found.where("b IS NULL").select(F.col("a").alias("node"), "tree", "prefix"), parts)
+    if not late.isEmpty():
+        closed = by_region(late.join(sets, "node")).mapInArrow(_closer(least, round(similarity * 100)), "a long, b long")
+        parts = components(links.unionByName(cut(closed, "closed")))
     return _answer(signed, nodes, parts)
 
 
