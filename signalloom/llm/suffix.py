@@ -214,7 +214,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of the marked anchors; of equal pieces only the first, the others as runs without a piece."""
     seen: set[int] = set()
     span = LENGTH - GRAM
-    for batch in (b for x in batches for b in slices([x], "packed", 1 << 20)):
+    for batch in slices(batches, "packed", 1 << 18):
         texts, docs, ids, marks = _unpacked(batch), batch.column("doc").to_pylist(), batch.column("id").to_pylist(), batch.column("marks").to_pylist()
         chosen = [k for k, d in enumerate(docs) if not (d in seen or seen.add(d))]  # rows that repeat id and text
         chosen.sort(key=lambda k: (ids[k], docs[k]))
@@ -415,7 +415,7 @@ def _sort_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (b for x in batches for b in slices([x], "packed", 1 << 20)):
+    for batch in slices(batches, "packed", 1 << 18):
         rows = []
         for text, found in zip(_unpacked(batch), batch.column("runs").to_pylist(), strict=True):
             edge = np.zeros(len(text) + 1, np.int32)
