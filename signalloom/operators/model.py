@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from signalloom.functions.scalar import named
+from signalloom.operators.score import worst
 
 FEATURES = "__features"
 LOWEST = -1e300
+MAX_BINS = 256  # candidate splits per feature; a setting may give another number
 # What the feature-subset names of forests mean in MLlib.
 SUBSETS = {"auto": "all", "sqrt": "sqrt", "log2": "log2"}
 
@@ -48,10 +50,10 @@ def boosted_trees(params: Mapping[str, Any], target: str, seed: int = 1, out: st
     columns = float(params.get("colsample_bytree", 1.0)) * float(params.get("colsample_bylevel", 1.0))
     return GBTRegressor(
         featuresCol=FEATURES, labelCol=target, predictionCol=out, seed=seed,
-        stepSize=float(params.get("learning_rate", 0.1)), subsamplingRate=float(params.get("subsample", 1.0)),
+        stepSize=float(params.get("learning_rate", 0.3)), maxBins=int(params.get("max_bins", MAX_BINS)), subsamplingRate=float(params.get("subsample", 1.0)),
         featureSubsetStrategy="all" if columns >= 1 else str(columns),
-        maxDepth=int(params.get("max_depth", 5)), minInstancesPerNode=int(params.get("min_child_weight", 1)),
-        maxIter=int(params.get("n_estimators", 20)))
+        maxDepth=int(params.get("max_depth", 6)), minInstancesPerNode=int(params.get("min_child_weight", 1)),
+        maxIter=int(params.get("n_estimators", 100)))
 
 
 def forest(params: Mapping[str, Any], target: str, seed: int = 1, out: str = "y_pred") -> RandomForestRegressor:
@@ -59,14 +61,15 @@ def forest(params: Mapping[str, Any], target: str, seed: int = 1, out: str = "y_
     return RandomForestRegressor(
         featuresCol=FEATURES, labelCol=target, predictionCol=out, seed=seed,
         numTrees=int(params.get("n_estimators", 100)), maxDepth=int(params.get("max_depth", 10)),
-        minInstancesPerNode=leaf, bootstrap=bool(params.get("bootstrap", True)),
+        minInstancesPerNode=leaf, maxBins=int(params.get("max_bins", MAX_BINS)), bootstrap=bool(params.get("bootstrap", True)),
         featureSubsetStrategy=SUBSETS[params.get("max_features", "auto")])
 
 
 def decision_tree(params: Mapping[str, Any], target: str, seed: int = 1, out: str = "y_pred") -> DecisionTreeRegressor:
     return DecisionTreeRegressor(
         featuresCol=FEATURES, labelCol=target, predictionCol=out, seed=seed,
-        maxDepth=int(params.get("max_depth", 10)), minInstancesPerNode=int(params.get("min_samples_leaf", 1)))
+        maxDepth=int(params.get("max_depth", 10)), minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
+        maxBins=int(params.get("max_bins", MAX_BINS)))
 
 
 # Estimator names as the entry scripts give them.
@@ -85,7 +88,7 @@ def importances(spark, model, columns: Sequence[str]) -> DataFrame:
     One name per vector entry: plain columns first, then the entries of arrays.
     """
     values = [float(v) for v in model.featureImportances.toArray()]
-    table = spark.createDataFrame(list(zip(columns, values)), "name string, importance double")
+    table = spark.createDataFrame(list(zip(columns, values, strict=True)), "name string, importance double")
     place = F.row_number().over(Window.orderBy(F.col("importance").desc(), "name"))
     return table.select(place.alias("rank"), "name", "importance")
 
@@ -95,7 +98,10 @@ def top_features(ranking: DataFrame, k: int = 10) -> DataFrame:
 
 
 class WorstErrorEvaluator(Evaluator):
-    """Largest absolute error, for model selection; smaller is better."""
+    """Largest absolute error, for model selection; smaller is better.
+
+    Infinite as soon as one prediction is missing, or where there is no row.
+    """
 
     labelCol = Param(Params._dummy(), "labelCol", "target column", TypeConverters.toString)
     predictionCol = Param(Params._dummy(), "predictionCol", "prediction column", TypeConverters.toString)
@@ -106,8 +112,8 @@ class WorstErrorEvaluator(Evaluator):
 
     def _evaluate(self, dataset: DataFrame) -> float:
         error = F.abs(named(self.getOrDefault("labelCol")) - named(self.getOrDefault("predictionCol")))
-        value = dataset.agg(F.max(error)).first()[0]
-        return float("nan") if value is None else float(value)
+        value = dataset.agg(worst(error)).first()[0]
+        return float("inf") if value is None else float(value)
 
     def isLargerBetter(self) -> bool:
         return False

@@ -41,8 +41,19 @@ def axis_inputs(df: DataFrame, at: Sequence[str], signals: Sequence[str], axes:
         F.max(F.when(named(axis) == k, named(s))).alias(f"{s}|{k}") for k in axes for s in signals])
 
 
-def reorder_by(df: DataFrame, ranking: DataFrame, name: str = "name", rank: str = "rank", k: int | None = None) -> DataFrame:
-    """Columns in the order of a ranking table, which has one row per column."""
+def reorder_by(df: DataFrame, ranking: DataFrame, name: str = "name", rank: str = "rank", k: int | None = None,
+               keep: Sequence[str] = ()) -> DataFrame:
+    """The columns `keep`, then columns in the order of a ranking table, which has one row per column."""
     rows = ranking.select(name, rank).orderBy(rank).collect()
     names = [r[0] for r in rows if r[0] in df.columns]
-    return choose(df, names[:k] if k else names)
+    return choose(df, [*keep, *(names[:k] if k else names)])
+
+
+def paired(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of both sides with equal keys; a row of either side that has no partner is an error."""
+    one = left.withColumn("__left", F.lit(True))
+    two = right.withColumn("__right", F.lit(True))
+    both = one.join(two, list(keys), "full")
+    alone = F.col("__left").isNull() | F.col("__right").isNull()
+    checked = F.when(alone, F.raise_error(F.lit("a row has no partner on the other side"))).otherwise(F.lit(True))
+    return both.withColumn("__ok", checked.cast("boolean")).filter("__ok").drop("__left", "__right", "__ok")

@@ -11,34 +11,20 @@ from signalloom.functions.scalar import named
 from signalloom.operators.series import attach, join_groups, join_written
 from signalloom.session import cut
 
-SMALL_ROWS = 100_000    # up to here one value map per group is bounded and cheaper
-FINAL_ROWS = 4_000_000  # bins of up to this many rows are counted value by value
 FINE_BINS = 1 << 16
-MAX_ROUNDS = 3
+ROUNDS = 4
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-                    method: str = "auto") -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Quantiles in long form: (by..., name, prob, value), nulls and NaN left out.
 
-    `percentile` keeps a map of all distinct values in one task per group, which
-    is bounded only for small input. `select` narrows down on the wanted ranks by
-    counting: see `_select_ranks`. `auto` counts the rows and decides.
+    One way for every size: the wanted ranks are found by counting, see `_select_ranks`.
     """
     entries = [F.struct(F.lit(c).alias("name"), F.when(~F.isnan(named(c).cast("double")), named(c).cast("double")).alias("x"))
                for c in columns]
     values = (df.select(*by, F.explode(F.array(*entries)).alias("e")).select(*by, "e.name", "e.x")
               .filter(F.col("x").isNotNull()))
-    if method == "auto":
-        method = "percentile" if df.count() <= SMALL_ROWS else "select"
-    if method == "percentile":
-        points = F.array(*[F.lit(float(p)) for p in probs])
-        return (values.groupBy(*by, "name").agg(F.percentile("x", points).alias("v"))
-                .select(*by, "name", F.posexplode("v").alias("i", "value"))
-                .select(*by, "name", F.element_at(points, F.col("i") + 1).alias("prob"), "value"))
-    if method != "select":
-        raise ValueError(f"unknown quantile method {method}")
-    return _select_ranks(values, [*by, "name"], [float(p) for p in probs])
+    return _select_ranks(cut(values, "values"), [*by, "name"], [float(p) for p in probs])
 
 
 def _magnitude(x: Column) -> Column:
@@ -57,17 +43,16 @@ def _select_ranks(values: DataFrame, group: list[str], probs: list[float]) -> Da
     """Rank selection by repeated counting.
 
     Each round counts values per bin (combined before the shuffle), finds the bins
-    that hold the wanted ranks, and goes on inside those only, until these bins
-    are small enough to count value by value. A group has at most 140,000 bins in
-    the first round and 65,536 per bin later, whatever the data, and after three
-    rounds a bin spans fewer distinct doubles than FINAL_ROWS. So no step gathers
-    an unbounded group, and the values are never shuffled or sorted as a whole.
+    that hold the wanted ranks, and goes on inside those only. A bin whose values are
+    all equal is the answer, so ties end early. A group has at most 140,000 bins in the
+    first round and 65,536 per bin later, whatever the data. Bins shrink by 65,536 per
+    round, so after four rounds a bin holds few distinct doubles, which are counted one
+    by one. No step gathers an unbounded group, and values are never sorted as a whole.
     """
     points = F.array(*[F.lit(p) for p in probs])
-    inside, keys, state = values, list(group), None
-    for level in range(MAX_ROUNDS + 1):
-        fullest = None if state is None else state.agg(F.max("rows")).first()[0]
-        last = level == MAX_ROUNDS or (state is not None and (fullest or 0) <= FINAL_ROWS)
+    inside, keys, state, done = values, list(group), None, None
+    for level in range(ROUNDS + 1):
+        last = level == ROUNDS
         if state is None:
             bin_key = "k0"
             inside = inside.withColumn(bin_key, _magnitude(F.col("x")))
@@ -79,10 +64,12 @@ def _select_ranks(values: DataFrame, group: list[str], probs: list[float]) -> Da
             inside = inside.drop("low", "high")
         bins = inside.groupBy(*keys, bin_key).agg(F.count(F.lit(1)).alias("rows"), *(
             [] if last else [F.min("x").alias("low"), F.max("x").alias("high")]))
+        if last:
+            bins = bins.withColumn("low", F.col("x")).withColumn("high", F.col("x"))
         up_to = Window.partitionBy(*keys).orderBy(bin_key).rowsBetween(Window.unboundedPreceding, 0)
         bins = bins.withColumn("upto", F.sum("rows").over(up_to))
         if state is None:
-            bins = bins.withColumn("n", F.sum("rows").over(Window.partitionBy(*group))).withColumn("before", F.lit(0))
+            bins = bins.withColumn("n", F.sum("rows").over(Window.partitionBy(*group))).withColumn("before", F.lit(0).cast("bigint"))
             floor = lambda p: F.floor((F.col("n") - 1) * p)
             bins = bins.withColumn("ranks", F.array_distinct(F.flatten(F.transform(
                 points, lambda p: F.array(floor(p), F.least(floor(p) + 1, F.col("n") - 1))))))
@@ -92,9 +79,13 @@ def _select_ranks(values: DataFrame, group: list[str], probs: list[float]) -> Da
         end = F.col("before") + F.col("rows")
         bins = (bins.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("before")) & (r < end)))
                 .filter(F.size("ranks") > 0).drop("upto"))
-        if last:
+        bins = cut(bins, "bins")
+        answer = bins.filter(F.col("low") == F.col("high")).select(*group, "n", "ranks", F.col("low").alias("x"))
+        done = answer if done is None else done.unionByName(answer)
+        state, keys = bins.filter(F.col("low") < F.col("high")), [*keys, bin_key]
+        if last or state.isEmpty():
             break
-        state, keys = cut(bins), [*keys, bin_key]
+    bins = done
     found = bins.select(*group, "n", F.explode("ranks").alias("rank"), F.col("x").alias("v"))
     ends = found.groupBy(*group, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
     place = (F.col("n") - 1) * F.col("prob")
@@ -105,8 +96,7 @@ def _select_ranks(values: DataFrame, group: list[str], probs: list[float]) -> Da
             .select(*group, "prob", (below + (above - below) * (place - low)).alias("value")))
 
 
-def quantile_bins(df: DataFrame, columns: dict[str, str], bins: int = 4, by: Sequence[str] = (),
-                  method: str = "auto") -> DataFrame:
+def quantile_bins(df: DataFrame, columns: dict[str, str], bins: int = 4, by: Sequence[str] = ()) -> DataFrame:
     """Add bin numbers 0..bins-1: {source column: bin column}.
 
     Bins are cut at equally spaced quantiles of the whole column, closed on the
@@ -114,7 +104,7 @@ def quantile_bins(df: DataFrame, columns: dict[str, str], bins: int = 4, by: Seq
     stay null. Two equal edges are an error.
     """
     probs = [i / bins for i in range(bins + 1)]
-    edges = exact_quantiles(df, list(columns), probs, by, method)
+    edges = exact_quantiles(df, list(columns), probs, by)
     table = edges.groupBy(*by).agg(*[
         F.array_sort(F.collect_list(F.when(F.col("name") == c, F.col("value")))).alias(f"__edge{i}")
         for i, c in enumerate(columns)])

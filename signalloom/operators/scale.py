@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.functions.scalar import named
+from signalloom.functions.scalar import named, null_nan
 from signalloom.operators.quantile import exact_quantiles
 from signalloom.operators.series import attach, join_groups
 
@@ -33,11 +33,13 @@ def scaler_kind(method: str) -> str:
     return METHODS[method]
 
 
-def column_statistics(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), quartiles: bool = True,
-                      method: str = "auto") -> DataFrame:
-    """(by..., name, min, max, mean, std, q25, median, q75), one row per column; std is the population one."""
+def column_statistics(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), quartiles: bool = True) -> DataFrame:
+    """(by..., name, min, max, mean, std, q25, median, q75), one row per column; std is the population one.
+
+    Nulls and NaN are left out of all of them.
+    """
     def moments(c: str) -> Column:
-        x = named(c).cast("double")
+        x = null_nan(named(c).cast("double"))
         return F.struct(F.lit(c).alias("name"), F.min(x).alias("min"), F.max(x).alias("max"),
                         F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
 
@@ -45,7 +47,7 @@ def column_statistics(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
              .select(*by, F.inline("e")))
     if not quartiles:
         return table
-    spread = (exact_quantiles(df, columns, [0.25, 0.5, 0.75], by, method).groupBy(*by, "name")
+    spread = (exact_quantiles(df, columns, [0.25, 0.5, 0.75], by).groupBy(*by, "name")
               .agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n)
                      for p, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))]))
     return join_groups(table, spread, [*by, "name"], "left")
@@ -64,15 +66,14 @@ def _pair(kind: str, s: dict[str, Column]) -> tuple[Column, Column]:
     return s["median"], one(s["q75"] - s["q25"])
 
 
-def scaling_table(df: DataFrame, columns: Sequence[str], methods: Sequence[str], by: Sequence[str] = (),
-                  method: str = "auto") -> DataFrame:
+def scaling_table(df: DataFrame, columns: Sequence[str], methods: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(by..., name, center, scale) of a chain of scalers.
 
     Later scalers of the chain see scaled values. Their statistics follow from
     the first ones because all maps are affine and rising, so one pass is enough.
     """
     kinds = [scaler_kind(m) for m in methods]
-    stats = column_statistics(df, columns, by, "robust" in kinds, method)
+    stats = column_statistics(df, columns, by, "robust" in kinds)
     center, scale = F.lit(0.0), F.lit(1.0)
     for kind in kinds:
         seen = {}
@@ -93,9 +94,9 @@ class Scaler:
     scale: dict[str, float]
 
     @staticmethod
-    def fit(df: DataFrame, columns: Sequence[str], methods: Sequence[str], method: str = "auto") -> "Scaler":
+    def fit(df: DataFrame, columns: Sequence[str], methods: Sequence[str]) -> "Scaler":
         """Two numbers per column come to the driver."""
-        rows = scaling_table(df, columns, methods, method=method).collect()
+        rows = scaling_table(df, columns, methods).collect()
         return Scaler({r["name"]: r["center"] for r in rows}, {r["name"]: r["scale"] for r in rows})
 
     def forward(self, column: str, value: Column | None = None) -> Column:
@@ -114,12 +115,12 @@ class Scaler:
 
 
 def scale_by(df: DataFrame, columns: Sequence[str], methods: Sequence[str], by: Sequence[str],
-             method: str = "auto", invert: bool = False, fitted: DataFrame | None = None) -> DataFrame:
+             invert: bool = False, fitted: DataFrame | None = None) -> DataFrame:
     """Scale each group with its own statistics, such as train and test apart.
 
     `fitted` is a table of `scaling_table`; with `invert` the same table undoes it.
     """
-    table = scaling_table(df, columns, methods, by, method) if fitted is None else fitted
+    table = scaling_table(df, columns, methods, by) if fitted is None else fitted
     wide = table.groupBy(*by).agg(*[
         F.max(F.when(F.col("name") == c, F.col(part))).alias(f"__{part}{i}")
         for i, c in enumerate(columns) for part in ("center", "scale")])

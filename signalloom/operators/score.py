@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.functions.scalar import absolute_error, exceeds, named
@@ -14,21 +14,25 @@ from signalloom.operators.scale import Scaler
 from signalloom.operators.series import attach, ranked
 from signalloom.session import cut
 
-LOCAL_LIMIT = 1000  # default of spark.sql.optimizer.windowGroupLimitThreshold
-
-
 def worst(error: Column) -> Column:
     """Largest error; null as soon as one error is missing."""
-    return F.when(F.count_if(error.isNull() | F.isnan(error)) == 0, F.max(error))
+    return _known(error, F.max(error))
+
+
+def _known(error: Column, value: Column) -> Column:
+    return F.when(F.count_if(error.isNull() | F.isnan(error)) == 0, value)
 
 
 def metrics(df: DataFrame, actual: str, predicted: str, threshold: float = 200.0, by: Sequence[str] = ()) -> DataFrame:
-    """Rows, worst error, rows over the threshold, mean squared and mean absolute error in one pass."""
+    """Rows, worst error, rows over the threshold, mean squared and mean absolute error in one pass.
+
+    As soon as one error is missing, all three errors are null.
+    """
     error = absolute_error(named(actual), named(predicted))
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_rows"), worst(error).alias("worst_error"),
         F.count_if(exceeds(error, threshold)).alias("n_over"),
-        F.avg(error * error).alias("mse"), F.avg(error).alias("mae"))
+        _known(error, F.avg(error * error)).alias("mse"), _known(error, F.avg(error)).alias("mae"))
 
 
 def outliers(df: DataFrame, error: str = "err", threshold: float = 200.0, pos: str = "pos",
@@ -43,19 +47,9 @@ def outliers(df: DataFrame, error: str = "err", threshold: float = 200.0, pos: s
 
 
 def worst_rows(df: DataFrame, k: int, error: str = "err", pos: str = "pos", by: Sequence[str] = ()) -> DataFrame:
-    """The k rows of largest error, overall or per group, as a top-k report.
-
-    Up to LOCAL_LIMIT Spark cuts each group down to k rows in every task before
-    the exchange, so a group that holds most rows is no burden on the last one.
-    """
+    """The k rows of largest error with their `rank`, overall or per group, by one distributed sort for any k."""
     known = df.filter(named(error).isNotNull() & ~F.isnan(named(error)))
-    if not by:
-        return known.orderBy(named(error).desc(), named(pos).asc()).limit(k)
-    worst_first = [named(error).desc(), named(pos).asc()]
-    if k > LOCAL_LIMIT:
-        return ranked(known, worst_first, "rank", by).filter(F.col("rank") <= k)
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*worst_first))
-    return known.withColumn("rank", place).filter(F.col("rank") <= k)
+    return ranked(known, [named(error).desc(), named(pos).asc()], "rank", by).filter(F.col("rank") <= k)
 
 
 @dataclass(frozen=True)

@@ -23,6 +23,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalloom.functions.scalar import named
 from signalloom.session import cut
@@ -32,7 +33,7 @@ CHUNK = "__chunk"
 LAST_BUCKET = (1 << 63) - 1
 TARGET_ROWS = 1 << 20
 PLAIN_ROWS = 4096  # default of spark.sql.windowExec.buffer.in.memory.threshold
-SHORT_TABLE = 1_000_000  # rows of a few numbers each, so some 100 MB at most
+SHORT_BYTES = 64 << 20  # a written table of up to this size in memory is broadcast
 
 
 @dataclass(frozen=True)
@@ -80,7 +81,8 @@ def fit_spec(
 
     Reads only the key columns and returns a handful of numbers to the driver.
     The fullest bucket is counted, and the width shrinks until it is small
-    enough; keys that stay crowded even so need `position_by_sort`.
+    enough; keys that stay crowded even so need `position_by_sort`. No bucket holds more
+    than `target_rows` rows, whatever the size of the input.
     """
     pieces = min_pieces or 4 * df.sparkSession.sparkContext.defaultParallelism
     unnamed = F.count_if(F.greatest(F.lit(False), *[named(k).isNull() for k in keys]))
@@ -89,16 +91,15 @@ def fit_spec(
         raise ValueError(f"{lost} rows have a null series key")
     count = max(1, -(-rows // target_rows), pieces)
     span = (high - low + 1) if low is not None else 1
-    limit = max(target_rows, rows // pieces)
     spec = SeriesSpec(tuple(keys), order, tuple(tie), max(1, -(-span // count)))
     while True:
         fullest = (df.groupBy(*keys, spec.bucket.alias(BUCKET)).count()
                    .agg(F.max("count")).first()[0]) or 0
-        if fullest <= 2 * limit:
+        if fullest <= target_rows:
             return spec
         if spec.bucket_width == 1:
             raise ValueError("one order key holds too many rows: use position_by_sort first")
-        spec = replace(spec, bucket_width=max(1, spec.bucket_width * limit // (2 * fullest)))
+        spec = replace(spec, bucket_width=max(1, spec.bucket_width * target_rows // (2 * fullest)))
 
 
 def join_groups(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner",
@@ -111,9 +112,17 @@ def join_groups(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str =
     return df.join(renamed, same, how).drop(*[f"__key{i}" for i in range(len(keys))])
 
 
+def is_short(table: DataFrame) -> bool:
+    """Is a written table small enough to broadcast, by its rows, its width and the length of its texts and arrays?"""
+    long = [f for f in table.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType))]
+    size = lambda f: F.octet_length(named(f.name)) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.size(named(f.name)) * 32
+    rows, *sums = table.agg(F.count(F.lit(1)), *[F.sum(F.greatest(size(f), F.lit(0))) for f in long]).first()
+    return 16 * rows * len(table.schema) + sum(x or 0 for x in sums) <= SHORT_BYTES
+
+
 def join_written(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join a written table, broadcast if its row count says so."""
-    return join_groups(df, table, list(keys), how, short=table.count() <= SHORT_TABLE)
+    """Join a written table, broadcast if its size in bytes says so."""
+    return join_groups(df, table, list(keys), how, short=is_short(table))
 
 
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom.functions.scalar import named
-from signalloom.operators.series import attach
+from signalloom.operators.series import attach, join_groups, join_written
+from signalloom.session import cut
 
-HASH_PREFIX = 4  # hex digits: 65,536 buckets of equal expected size
+HASH_STEP = 4        # hex digits: 65,536 buckets of equal expected size
+CUT_ROWS = 100_000   # rows that are ranked to find the hash at the cut
 
 
 def row_hash(columns: Sequence[str], seed: int) -> Column:
@@ -23,27 +25,42 @@ def hold_out(df: DataFrame, key: Sequence[str], share: float = 0.4, seed: int =
     """Mark exactly ceil(share n) rows per group as test rows: those with the smallest hashes.
 
     The rows are not sorted or shuffled. Counting rows per hash prefix tells in
-    which prefix the cut lies; only the rows of that prefix (one in 65,536) are
-    ranked to find the hash at the cut, and all rows are compared with it. The key
-    must be unique within a group.
+    which prefix the cut lies, and again inside it, until a bounded number of rows is
+    ranked to find the hash at the cut; all rows are compared with it. The key must be
+    unique within a group; two rows of one hash at the cut are an error.
     """
-    prefix = F.substring("__h", 1, HASH_PREFIX).alias("__prefix")
-    hashed = df.select(*by, row_hash(key, seed).alias("__h")).select("*", prefix)
+    hashed = cut(df.select(*by, row_hash(key, seed).alias("__h")), "hashes")
     groups = list(by)
-    counts = hashed.groupBy(*groups, "__prefix").agg(F.count(F.lit(1)).alias("__rows"))
     if not groups:
-        counts = counts.withColumn("__all", F.lit(0))
-        hashed = hashed.withColumn("__all", F.lit(0))
-        groups = ["__all"]
-    running = Window.partitionBy(*groups).orderBy("__prefix").rowsBetween(Window.unboundedPreceding, 0)
-    need = F.ceil(F.sum("__rows").over(Window.partitionBy(*groups)) * F.lit(float(share)))
-    cut_bucket = (counts.select("*", F.sum("__rows").over(running).alias("__upto"), need.alias("__need"))
-                  .filter((F.col("__upto") >= F.col("__need")) & (F.col("__upto") - F.col("__rows") < F.col("__need")))
-                  .select(*groups, "__prefix", (F.col("__need") - F.col("__upto") + F.col("__rows")).alias("__place")))
+        hashed, groups = hashed.withColumn("__all", F.lit(0)), ["__all"]
+    # Narrow down on the hash at the cut: one more hex digit block per round, inside the block that holds it.
+    state, digits = None, 0
+    while True:
+        digits += HASH_STEP
+        inside = hashed.withColumn("__prefix", F.substring("__h", 1, digits))
+        if state is not None:
+            before = state.withColumnRenamed("__prefix", "__old")
+            inside = join_written(inside.withColumn("__old", F.substring("__h", 1, digits - HASH_STEP)), before.select(*groups, "__old"), [*groups, "__old"]).drop("__old")
+        counts = inside.groupBy(*groups, "__prefix").agg(F.count(F.lit(1)).alias("__rows"))
+        running = Window.partitionBy(*groups).orderBy("__prefix").rowsBetween(Window.unboundedPreceding, 0)
+        if state is None:
+            counts = counts.withColumn("__place", F.ceil(F.sum("__rows").over(Window.partitionBy(*groups)) * F.lit(float(share))))
+        else:
+            counts = join_groups(counts, state.select(*groups, "__place"), groups)
+        counts = counts.withColumn("__upto", F.sum("__rows").over(running))
+        holds = (F.col("__upto") >= F.col("__place")) & (F.col("__upto") - F.col("__rows") < F.col("__place"))
+        state = cut(counts.filter(holds).select(
+            *groups, "__prefix", "__rows", (F.col("__place") - F.col("__upto") + F.col("__rows")).alias("__place")), "cut")
+        most = state.agg(F.max("__rows")).first()[0] or 0
+        if most <= CUT_ROWS:
+            break
+        if digits >= 32:
+            raise ValueError(f"the key of a hold-out is not unique: {most} rows have one hash")
     order = Window.partitionBy(*groups, "__prefix").orderBy("__h")
-    limit = (attach(hashed, cut_bucket, [*groups, "__prefix"])
-             .select("*", F.row_number().over(order).alias("__rn")).filter(F.col("__rn") == F.col("__place"))
-             .select(*groups, F.col("__h").alias("__limit")))
+    last = join_written(hashed.withColumn("__prefix", F.substring("__h", 1, digits)), state.drop("__rows"), [*groups, "__prefix"])
+    ranked_rows = last.select("*", F.row_number().over(order).alias("__rn"), F.lead("__h").over(order).alias("__next"))
+    twice = F.when(F.col("__h") == F.col("__next"), F.raise_error(F.lit("the key of a hold-out is not unique"))).otherwise(F.col("__h"))
+    limit = ranked_rows.filter(F.col("__rn") == F.col("__place")).select(*groups, twice.alias("__limit"))
     if not by:
         row = limit.first()
         bound = F.lit(row["__limit"]) if row else F.lit("")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from signalloom.functions import scalar
 from signalloom.functions.scalar import named
-from signalloom.operators import clean, diag, model, project, score, series, shift, split
+from signalloom.operators import clean, diag, project, score, series, shift, split
 from signalloom.plans.registry import (RUN, THRESHOLD, predicted_of, query, rnd, run_of, signals, spec_for, sql, sql_rnd)
 from signalloom.session import scratch_path
-from signalloom.sources import csv
+from signalloom.sources import csv, layouts
 
 # --- sources and sinks ---------------------------------------------------------------------
 
@@ -28,6 +29,21 @@ def csv_scan(spark, sf_dir):
     return read.select("idx", stamp.alias("second"), "tag", "v", "a")
 
 
+@query("s01b_csv_scan_dates", sql("sig", """
+SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS second, cycle, CAST(axis + 1 AS INTEGER) AS axis, tag, v, a FROM sig"""))
+def csv_scan_dates(spark, sf_dir):
+    """The numbered-axis layout: dates as index, whole numbers written with a fraction of zero."""
+    path = scratch_path(spark, "signals")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    csv.write_signals(signals(spark, sf_dir).select(
+        stamp.alias("idx"), stamp.alias(layouts.TIME_2022), F.concat(F.col("cycle"), F.lit(".0")).alias(layouts.CYCLE_2022),
+        F.concat(F.col("axis") + 1, F.lit(".0")).alias(layouts.AXIS_2022), F.col("tag").alias(layouts.TAG_2022),
+        F.col("v").alias("DES_POS|1"), F.col("a").alias("CURRENT|1")), path)
+    read = layouts.scan_2022(spark, path, ["DES_POS|1", "CURRENT|1"], index_type="timestamp_ntz")
+    return read.select(F.date_format("idx", "yyyy-MM-dd HH:mm:ss").alias("second"), "cycle", "axis", "tag",
+                       named("DES_POS|1").alias("v"), named("CURRENT|1").alias("a"))
+
+
 def _outliers(spark, sf_dir):
     predicted, spec = predicted_of(spark, sf_dir)
     return score.outliers(predicted.select("axis", "pos", "err"), threshold=THRESHOLD, by=spec.keys)
@@ -41,22 +57,44 @@ OUTLIERS = f"""outliers AS (
 def number_scan(spark, sf_dir):
     path = scratch_path(spark, "numbers")
     _outliers(spark, sf_dir).select("pos").write.csv(path, header=False)
-    return csv.scan_numbers(spark, path, ["x"], "int")
+    return csv.scan_numbers(spark, path, {"x": "int"})
+
+
+_LETTERS = "['X', 'Y', 'Z'][axis + 1]"
 
 
 @query("s03_prediction_sink", sql("pred", f"SELECT axis, pos, {sql_rnd('y_pred')} AS y_pred FROM pred"))
 def prediction_sink(spark, sf_dir):
     path = scratch_path(spark, "predictions")
     csv.write_predictions(predicted_of(spark, sf_dir)[0], path)
-    read = csv.scan_numbers(spark, path, ["pos", "y_pred"], partitioned_by="axis")
-    return read.select("axis", F.col("pos").cast("bigint").alias("pos"), rnd("y_pred").alias("y_pred"))
+    read = csv.scan_numbers(spark, path, {"pos": "bigint", "y_pred": "double"}, {"axis": "int"})
+    return read.select("axis", "pos", rnd("y_pred").alias("y_pred"))
+
+
+def _lettered(df):
+    return df.withColumn("axis", F.element_at(F.array(*map(F.lit, "XYZ")), F.col("axis") + 1))
+
+
+@query("s03b_prediction_sink_letters", sql("pred", f"SELECT {_LETTERS} AS axis, pos, {sql_rnd('y_pred')} AS y_pred FROM pred"))
+def prediction_sink_letters(spark, sf_dir):
+    path = scratch_path(spark, "predictions")
+    csv.write_predictions(_lettered(predicted_of(spark, sf_dir)[0]), path)
+    read = csv.scan_numbers(spark, path, {"pos": "bigint", "y_pred": "double"}, {"axis": "string"})
+    return read.select("axis", "pos", rnd("y_pred").alias("y_pred"))
 
 
 @query("s04_outlier_sink", sql("pred", "SELECT axis, rank, pos FROM outliers", more=OUTLIERS))
 def outlier_sink(spark, sf_dir):
     path = scratch_path(spark, "outliers")
     csv.write_outliers(_outliers(spark, sf_dir), path)
-    return csv.scan_numbers(spark, path, ["rank", "pos"], "bigint", "axis")
+    return csv.scan_numbers(spark, path, {"rank": "bigint", "pos": "bigint"}, {"axis": "int"})
+
+
+@query("s04b_outlier_sink_letters", sql("pred", f"SELECT {_LETTERS} AS axis, rank, pos FROM outliers", more=OUTLIERS))
+def outlier_sink_letters(spark, sf_dir):
+    path = scratch_path(spark, "outliers")
+    csv.write_outliers(_lettered(_outliers(spark, sf_dir)), path)
+    return csv.scan_numbers(spark, path, {"rank": "bigint", "pos": "bigint"}, {"axis": "string"})
 
 
 _COLUMNS = [("series", "string"), ("axis", "int"), ("cycle", "bigint"), ("ts", "timestamp_ntz"), ("tag", "string"),
@@ -116,13 +154,19 @@ def step_names(spark, sf_dir):
     return shift.add_shifts(run.select("axis", "pos", "v", "a"), spec, ["v", "a"], 2, both=True)
 
 
-@query("p07_reorder", sql("run", "SELECT v, a, fm, CAST(cycle AS DOUBLE) AS place FROM run"))
+@query("p07_reorder", sql("run", """
+SELECT axis, pos, list_reduce(list_transform(list_reverse_sort([{r: abs(corr_v), n: 'v'}, {r: abs(corr_a), n: 'a'}, {r: abs(corr_p), n: 'place'}]),
+         lambda x: x.n), lambda x, y: x || ' ' || y) AS in_order, v, a, CAST(cycle AS DOUBLE) AS place
+FROM run, (SELECT corr(v, fr) AS corr_v, corr(a, fr) AS corr_a, corr(cycle, fr) AS corr_p FROM run)"""))
 def reorder(spark, sf_dir):
-    run, _ = run_of(spark, sf_dir)
-    wide = run.select("v", "a", "fm", F.col("cycle").cast("double").alias("place"))
-    vectors = model.assemble(run.select("v", "a", "fm", F.col("cycle").cast("double").alias("place"), "fr"), wide.columns)
-    tree = model.decision_tree({"max_depth": 6}, "fr").fit(vectors)
-    return project.reorder_by(wide, model.importances(spark, tree, wide.columns))
+    """Columns by the strength of their correlation with the target, and the order as data."""
+    run, _ = run_of(spark, sf_dir, columns=("v", "a", "fr"))
+    wide = run.select("axis", "pos", "v", "a", F.col("cycle").cast("double").alias("place"), "fr")
+    strength = score.correlations(wide, ["v", "a", "place", "fr"]).filter((F.col("a") != "fr") & (F.col("b") == "fr"))
+    place = F.row_number().over(Window.orderBy(F.abs("r").desc(), F.col("a").desc()))  # one row per column
+    ranking = strength.select(F.col("a").alias("name"), place.alias("rank"))
+    ordered = project.reorder_by(wide, ranking, keep=["axis", "pos"])
+    return ordered.withColumn("in_order", F.lit(" ".join(ordered.columns[2:])))
 
 
 @query("p08_parse_time", sql("sig", "SELECT cycle, strftime(ts, '%Y-%m-%d %H:%M:%S') AS second, "
@@ -166,7 +210,7 @@ def forward_fill(spark, sf_dir):
     return clean.forward_fill(gaps, spec_for(spark, sf_dir, ("series",))).drop("series")
 
 
-@query("c01b_forward_fill_one", sql("filled", "SELECT axis, cycle, tag, v FROM filled"))
+@query("c01b_forward_fill_one", sql("sig", f"SELECT axis, cycle, tag, {_LAST.format('v', 'axis')} AS v FROM sig"))
 def forward_fill_one(spark, sf_dir):
     df = signals(spark, sf_dir).select("axis", "cycle", "tag", "v")
     return clean.forward_fill(df, spec_for(spark, sf_dir), ["v"])
@@ -209,7 +253,7 @@ def edge_default(spark, sf_dir):
 @query("f01_axis_filter", sql("filled", "SELECT cycle, v, a FROM filled WHERE axis = 1"))
 def axis_filter(spark, sf_dir):
     df = signals(spark, sf_dir).select("axis", "cycle", "v", "a")
-    return clean.forward_fill(df, spec_for(spark, sf_dir), ["v"]).filter(F.col("axis") == 1).select("cycle", "v", "a")
+    return clean.forward_fill(df, spec_for(spark, sf_dir)).filter(F.col("axis") == 1).select("cycle", "v", "a")
 
 
 @query("f02_tag_filter", sql("sig", """
@@ -220,10 +264,12 @@ def tag_filter(spark, sf_dir):
     return df.filter(scalar.tag_matches(F.col("tag"), "^(cl|vi|si)"))
 
 
-@query("f03_tag_filter_strict", sql("sig", f"SELECT cycle, tag FROM sig WHERE regexp_matches(tag, '{RUN}')"))
+@query("f03_tag_filter_strict", sql("filled", f"SELECT cycle, tag FROM filled WHERE regexp_matches(tag, '{RUN}')", "series"))
 def tag_filter_strict(spark, sf_dir):
-    df = signals(spark, sf_dir).select("cycle", "tag")
-    return df.filter(scalar.tag_matches(F.col("tag"), RUN, strict=True))
+    """A null tag would be an error here, so the gaps are filled first."""
+    df = signals(spark, sf_dir).select("series", "cycle", "tag")
+    return clean.forward_fill(df, spec_for(spark, sf_dir, ("series",))).filter(
+        scalar.tag_matches(F.col("tag"), RUN, strict=True)).select("cycle", "tag")
 
 
 @query("f04_threshold", sql("pred", f"SELECT axis, pos FROM pred WHERE err > {THRESHOLD}"))
@@ -255,7 +301,7 @@ SELECT axis, pos, back, ahead FROM (
   SELECT axis, pos, is_test, lag(v, 3, CAST(0 AS DOUBLE)) OVER w AS back, lead(v, 3, CAST(0 AS DOUBLE)) OVER w AS ahead
   FROM split WINDOW w AS (PARTITION BY axis ORDER BY pos)) WHERE NOT is_test""", more=_SPLIT))
 def training_companion(spark, sf_dir):
-    run, spec = run_of(spark, sf_dir)
+    run, spec = run_of(spark, sf_dir, columns=("v",))
     marked = split.hold_out(run.select("axis", "pos", "v"), ["axis", "pos"], by=["axis"])
     shifted = shift.add_shifts(marked, spec, ["v"], 3, both=True)
     return shifted.filter(~F.col("is_test")).select("axis", "pos", named("v_-3").alias("back"), named("v_+3").alias("ahead"))
@@ -263,21 +309,22 @@ def training_companion(spark, sf_dir):
 
 @query("j03_positional_take", sql("pred", "SELECT axis, rank, pos, cycle, v, a FROM outliers", more=OUTLIERS))
 def positional_take(spark, sf_dir):
-    run, _ = run_of(spark, sf_dir)
-    return _outliers(spark, sf_dir).drop("err").join(run.select("axis", "pos", "cycle", "v", "a"), ["axis", "pos"])
+    predicted, spec = predicted_of(spark, sf_dir)
+    over = score.outliers(predicted.select("axis", "pos", "err"), threshold=THRESHOLD, by=spec.keys).drop("err")
+    return over.join(predicted.select("axis", "pos", "cycle", "v", "a"), ["axis", "pos"])
 
 
 @query("j04_pair_predictions", sql("pred", f"""
-SELECT axis, count(*) AS n_rows, count(*) AS n_paired, {sql_rnd('max(err)')} AS worst_error FROM pred GROUP BY axis"""))
+SELECT axis, count(*) AS n_rows, count(*) AS n_loaded, {sql_rnd('max(err)')} AS worst_error FROM pred GROUP BY axis"""))
 def pair_predictions(spark, sf_dir):
+    """Predictions read back from their files, paired with the rows by position; neither side may have rows of its own."""
     predicted, _ = predicted_of(spark, sf_dir)
     path = scratch_path(spark, "predictions")
     csv.write_predictions(predicted, path)
-    loaded = csv.scan_numbers(spark, path, ["pos", "y_loaded"], partitioned_by="axis")
-    run, _ = run_of(spark, sf_dir)
-    paired = run.select("axis", F.col("pos").cast("double").alias("pos"), "fr").join(loaded, ["axis", "pos"], "left")
+    loaded = csv.scan_numbers(spark, path, {"pos": "bigint", "y_loaded": "double"}, partitioned_by={"axis": "int"})
+    paired = project.paired(predicted.select("axis", "pos", "fr"), loaded, ["axis", "pos"])
     return paired.groupBy("axis").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("y_loaded").alias("n_paired"),
+        F.count(F.lit(1)).alias("n_rows"), F.count("y_loaded").alias("n_loaded"),
         rnd(score.worst(scalar.absolute_error(F.col("fr"), F.col("y_loaded")))).alias("worst_error"))
 
 

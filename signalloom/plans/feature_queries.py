@@ -71,7 +71,7 @@ def correlation(spark, sf_dir):
     return score.correlations(df, _NUMBERS).withColumn("r", rnd("r", 9))
 
 
-@query("a08_value_counts", sql("sig", f"SELECT regexp_matches(tag, '{RUN}') AS hit, count(*) AS n_rows FROM sig GROUP BY 1"))
+@query("a08_value_counts", sql("sig", f"SELECT coalesce(regexp_matches(tag, '{RUN}'), false) AS hit, count(*) AS n_rows FROM sig GROUP BY 1"))
 def value_counts(spark, sf_dir):
     return score.value_counts(signals(spark, sf_dir), scalar.tag_matches(F.col("tag"), RUN))
 
@@ -203,9 +203,7 @@ def quantile_bins(spark, sf_dir):
     f"SELECT l_returnflag, '{c}' AS name, CAST({q} AS DOUBLE) AS prob, {sql_rnd(f'quantile_cont({c}, {q})')} AS value "
     f"FROM lineitem GROUP BY l_returnflag" for c in _NUMBERS[:2] for q in (0.0, 0.25, 0.5, 0.75, 1.0)))
 def quantiles_selected(spark, sf_dir):
-    """The rank selection that large tables use, forced on this one."""
-    table_ = quantile.exact_quantiles(table(spark, sf_dir, "lineitem"), _NUMBERS[:2], [0, .25, .5, .75, 1],
-                                      ["l_returnflag"], method="select")
+    table_ = quantile.exact_quantiles(table(spark, sf_dir, "lineitem"), _NUMBERS[:2], [0, .25, .5, .75, 1], ["l_returnflag"])
     return table_.select("l_returnflag", "name", "prob", rnd("value").alias("value"))
 
 
@@ -301,10 +299,11 @@ def fold_number(spark, sf_dir):
 # --- positions and rankings ----------------------------------------------------------------
 
 
-@query("o01_position", sql("sig", "SELECT cycle, row_number() OVER (ORDER BY cycle) - 1 AS pos, count(*) OVER () AS n_rows FROM sig WHERE tag <> 'view'"))
+@query("o01_position", sql("sig", "SELECT 3 * cycle + cycle % 2 AS cycle, row_number() OVER (ORDER BY cycle) - 1 AS pos, count(*) OVER () AS n_rows FROM sig"))
 def position(spark, sf_dir):
+    """Dense positions of all rows, by an order key with gaps."""
     spec = spec_for(spark, sf_dir, ("series",))
-    df = signals(spark, sf_dir).filter(F.col("tag") != "view").select("series", "cycle")
+    df = signals(spark, sf_dir).select("series", (3 * F.col("cycle") + F.col("cycle") % 2).alias("cycle"))
     return series.with_position(df, spec, length="n_rows").drop("series")
 
 
@@ -337,19 +336,21 @@ def outliers(spark, sf_dir):
     return over.select("axis", "rank", "pos", rnd("err").alias("err"))
 
 
-@query("o05_worst_rows", sql("pred", f"SELECT axis, pos, cycle, {sql_rnd('err')} AS err FROM pred ORDER BY pred.err DESC, pos LIMIT 4"))
+@query("o05_worst_rows", sql("pred", f"""
+SELECT row_number() OVER (ORDER BY pred.err DESC, pos) AS rank, axis, pos, cycle, {sql_rnd('err')} AS err
+FROM pred ORDER BY pred.err DESC, pos LIMIT 4"""))
 def worst_rows(spark, sf_dir):
     predicted, _ = predicted_of(spark, sf_dir)
     return score.worst_rows(predicted.select("axis", "pos", "cycle", "err"), 4).withColumn("err", rnd("err"))
 
 
 @query("o05b_worst_rows_per_axis", sql("pred", f"""
-SELECT axis, pos, CAST(rank AS INTEGER) AS rank, {sql_rnd('err')} AS err FROM outliers WHERE rank <= 4""",
+SELECT axis, pos, rank, {sql_rnd('err')} AS err FROM outliers WHERE rank <= 4""",
     more=OUTLIERS.replace(f"WHERE err > {THRESHOLD}", "")))
 def worst_rows_per_axis(spark, sf_dir):
     predicted, spec = predicted_of(spark, sf_dir)
     top = score.worst_rows(predicted.select("axis", "pos", "err"), 4, by=spec.keys)
-    return top.select("axis", "pos", F.col("rank").cast("int").alias("rank"), rnd("err").alias("err"))
+    return top.select("axis", "pos", "rank", rnd("err").alias("err"))
 
 
 # --- splits --------------------------------------------------------------------------------

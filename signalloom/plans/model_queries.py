@@ -16,7 +16,7 @@ from signalloom.plans.registry import THRESHOLD, predicted_of, query, rnd, run_o
 
 def _marked_run(spark, sf_dir):
     """Rows are marked before features are added, while they are narrow."""
-    run, spec = run_of(spark, sf_dir)
+    run, spec = run_of(spark, sf_dir, columns=("v", "a", "fr"))
     return split.hold_out(run, ["axis", "pos"], by=["axis"]), spec
 
 
@@ -26,13 +26,18 @@ def _marked_frame(spark, sf_dir, lags=3, both=False, sizes=(64,)):
     return frame, names, spec
 
 
+def _vectors(frame, names, keep=()):
+    """Feature vectors written once, as fits read their input many times."""
+    return series.cut(model.assemble(frame, names).select("axis", "pos", "fr", "is_test", *[named(c) for c in keep], model.FEATURES))
+
+
 # --- predictors ----------------------------------------------------------------------------
 
 
 @query("l01_boosted_trees")
 def boosted_trees(spark, sf_dir):
     frame, names, spec = _marked_frame(spark, sf_dir)
-    data = model.assemble(frame, names)
+    data = _vectors(frame, names)
     params = {**spaces.SINGLE_FIT, "max_depth": 4, "n_estimators": 5}
     _, predicted = model.fit_predict(data, model.boosted_trees(params, "fr"), ~F.col("is_test"), "fr")
     return score.score(predicted, "fr", "y_pred", THRESHOLD, by=spec.keys).summary
@@ -42,13 +47,13 @@ def boosted_trees(spark, sf_dir):
 def forest(spark, sf_dir):
     frame, names, spec = _marked_frame(spark, sf_dir, both=True, sizes=())
     params = {"n_estimators": 10, "max_depth": 6, "min_samples_leaf": 2, "max_features": "sqrt"}
-    _, predicted = model.fit_predict(model.assemble(frame, names), model.forest(params, "fr"), ~F.col("is_test"), "fr")
+    _, predicted = model.fit_predict(_vectors(frame, names), model.forest(params, "fr"), ~F.col("is_test"), "fr")
     return score.metrics(predicted, "fr", "y_pred", THRESHOLD, spec.keys)
 
 
 def _importances(spark, sf_dir):
     frame, names, _ = _marked_frame(spark, sf_dir)
-    data = model.assemble(frame, names)
+    data = _vectors(frame, names, names)
     fitted, _ = model.fit_predict(data, model.decision_tree({"max_depth": 6}, "fr"), ~F.col("is_test"), "fr")
     return model.importances(spark, fitted, names), data
 
@@ -86,7 +91,7 @@ FROM outliers JOIN (SELECT axis, {sql_rnd('max(err)')} AS worst_error, count(*)
                     FROM pred GROUP BY axis) USING (axis)""", more=OUTLIERS))
 def score_bundle(spark, sf_dir):
     """Target scaled before the fit and scaled back for the score."""
-    run, spec = run_of(spark, sf_dir)
+    run, spec = run_of(spark, sf_dir, columns=("v", "fr"))
     scaler = scale.Scaler.fit(run, ["fr"], ["Standard"])
     predicted = score.baseline(scaler.transform(run), "fr", "v", spec.keys)
     rated = score.score(predicted.select("axis", "pos", "fr", "y_pred"), "fr", "y_pred", THRESHOLD, by=spec.keys, scaler=scaler)
@@ -96,21 +101,20 @@ def score_bundle(spark, sf_dir):
 
 # --- search --------------------------------------------------------------------------------
 
-_SIGNALS = ("v", "a", "fm")
+_SIGNALS = ("v", "a")
 _STEPS = 6
 
 
 def _shape_sql() -> str:
     """Every (signal, lag) as feature, its line per axis, and the errors."""
-    lagged = ", ".join(f"lag({s}, {k}) OVER w AS {s}{k}" for s in _SIGNALS for k in range(_STEPS + 1))
+    lagged = ", ".join(f"lag({s}, {k}, CAST(0 AS DOUBLE)) OVER w AS {s}{k}" for s in _SIGNALS for k in range(_STEPS + 1))
     rows = " UNION ALL ".join(f"SELECT axis, fr, '{s}' AS signal, {k} AS step_size, {s}{k} AS x FROM wide"
                               for s in _SIGNALS for k in range(_STEPS + 1))
     return f"""
 wide AS (SELECT axis, fr, {lagged} FROM run WINDOW w AS (PARTITION BY axis ORDER BY pos)),
 pairs AS ({rows}),
 fitted AS (SELECT axis, signal, step_size, regr_slope(fr, x) AS slope, regr_intercept(fr, x) AS base FROM pairs GROUP BY 1, 2, 3),
-rated AS (SELECT signal, step_size, abs(fr - (slope * x + base)) AS err FROM pairs JOIN fitted USING (axis, signal, step_size)
-          WHERE x IS NOT NULL)"""
+rated AS (SELECT signal, step_size, abs(fr - (slope * x + base)) AS err FROM pairs JOIN fitted USING (axis, signal, step_size))"""
 
 
 def _draw(key: str) -> str:
@@ -120,18 +124,19 @@ def _draw(key: str) -> str:
 
 _SAMPLED = f"""
 candidates AS (
-  SELECT candidate, ['v', 'a', 'fm'][CAST(floor({_draw('signal')} * 3) AS INTEGER) + 1] AS signal,
+  SELECT candidate, ['v', 'a'][CAST(floor({_draw('signal')} * 2) AS INTEGER) + 1] AS signal,
          CAST(floor({_draw('step_size')} * {_STEPS + 1}) AS BIGINT) AS step_size,
          exp('{math.log(20.0)!r}'::DOUBLE + {_draw('threshold')} * '{math.log(200.0) - math.log(20.0)!r}'::DOUBLE) AS threshold
   FROM range(0, 40) t(candidate))"""
 _GRID = f"""
 candidates AS (
   SELECT row_number() OVER (ORDER BY i, step_size, threshold) - 1 AS candidate, signal, step_size, threshold
-  FROM (VALUES (0, 'v'), (1, 'a'), (2, 'fm')) s(i, signal) CROSS JOIN (VALUES (0), (1), (2), (6)) k(step_size)
+  FROM (VALUES (0, 'v'), (1, 'a')) s(i, signal) CROSS JOIN (VALUES (0), (1), (2), (6)) k(step_size)
   CROSS JOIN (VALUES (CAST(50 AS DOUBLE)), (CAST(100 AS DOUBLE))) t(threshold))"""
 _RATED = f"""
 SELECT candidate, signal, CAST(step_size AS BIGINT) AS step_size, {sql_rnd('threshold')} AS threshold,
-       {sql_rnd('max(err)')} AS worst_error, count(*) FILTER (WHERE err > c.threshold) AS n_over, count(*) AS n_rows
+       {sql_rnd('CASE WHEN count(err) = count(*) THEN max(err) END')} AS worst_error,
+       count(*) FILTER (WHERE err > c.threshold) AS n_over, count(*) AS n_rows
 FROM candidates c JOIN rated USING (signal, step_size) GROUP BY candidate, signal, step_size, c.threshold"""
 
 
@@ -247,10 +252,11 @@ def forest_search(spark, sf_dir):
 
 
 _SEQUENCE_SQL = f"""
-SELECT axis, is_test, count(*) AS n_rows, round(sum(size), 0) AS n_cells, {sql_rnd('min(fr)')} AS low, {sql_rnd('max(fr)')} AS high FROM (
-  SELECT axis, pos, fr, CAST(60 AS DOUBLE) AS size,
-         pos >= n_rows - CAST(round_even(n_rows * CAST(0.4 AS DOUBLE), 0) AS BIGINT) AS is_test FROM run WHERE pos >= 60)
-GROUP BY axis, is_test"""
+SELECT axis, is_test, count(*) AS n_rows, {sql_rnd('sum(weighted)', 2)} AS weighted, {sql_rnd('min(fr)')} AS low, {sql_rnd('max(fr)')} AS high FROM (
+  SELECT axis, pos, fr, list_sum(list_transform(list(v) OVER w, lambda x, i: x * i)) AS weighted,
+         pos >= n_rows - CAST(round_even(n_rows * CAST(0.4 AS DOUBLE), 0) AS BIGINT) AS is_test
+  FROM run WINDOW w AS (PARTITION BY axis ORDER BY pos ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
+WHERE pos >= 60 GROUP BY axis, is_test"""
 
 
 @query("x02_sequence_sets", sql("run", _SEQUENCE_SQL))
@@ -259,10 +265,11 @@ def sequence_sets(spark, sf_dir):
     run, spec = run_of(spark, sf_dir)
     target = F.struct("fr", "n_rows").alias("target")
     windows = sequence.supervised_windows(run.select("axis", "pos", "v", "a", target), spec, ["v", "a"], "target", 60)
-    cells = windows.select("axis", "pos", "target.*", F.size("window").cast("double").alias("size"))
+    weighted = F.aggregate(F.transform("window", lambda r, i: r["v"] * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    cells = windows.select("axis", "pos", "target.*", weighted.alias("weighted"))
     tail = split.tail_test(F.col("pos") - 60, F.col("n_rows") - 60, 0.4, F.col("n_rows"))
     return cells.withColumn("is_test", tail).groupBy("axis", "is_test").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("size"), 0).alias("n_cells"),
+        F.count(F.lit(1)).alias("n_rows"), rnd(F.sum("weighted"), 2).alias("weighted"),
         rnd(F.min("fr")).alias("low"), rnd(F.max("fr")).alias("high"))
 
 
@@ -278,7 +285,7 @@ rated AS (SELECT axis, abs(y - (slope * enc + base)) AS err FROM wide JOIN line
 @query("x03_filtered_target", _FILTERED_SQL)
 def filtered_target(spark, sf_dir):
     """Encoder difference as input, low-passed target, robust-then-standard scaling, score on the original scale."""
-    run, spec = run_of(spark, sf_dir)
+    run, spec = run_of(spark, sf_dir, columns=("v", "a", "fm"))
     smooth = lowpass.low_pass(run.select("axis", "pos", "v", "a", "fm"), spec, "fm", 0.1, "y")
     data = smooth.select("axis", "pos", "y", (F.col("v") - F.col("a")).alias("enc")).dropna()
     scaler = scale.Scaler.fit(data, ["enc", "y"], ["Robust", "Standard"])
@@ -294,6 +301,6 @@ binned AS (SELECT fr, CAST(CASE WHEN v IS NULL THEN NULL WHEN v <= q1 THEN 0 WHE
            FROM run CROSS JOIN edges)"""))
 def binned_baseline(spark, sf_dir):
     """Residual target by quartile bin of the velocity."""
-    run, _ = run_of(spark, sf_dir)
+    run, _ = run_of(spark, sf_dir, columns=("v", "fr"))
     bins = quantile.quantile_bins(run.select("v", "fr"), {"v": "bin_v"})
     return bins.groupBy("bin_v").agg(F.count(F.lit(1)).alias("n_rows"), rnd(F.avg("fr")).alias("mean_fr"))

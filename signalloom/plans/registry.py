@@ -40,28 +40,35 @@ def sql_rnd(value: str, digits: int = 6) -> str:
             f"ELSE round({value}, {digits}) END")
 
 
-def run_of(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("axis",)) -> tuple[DataFrame, SeriesSpec]:
+def run_of(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("axis",),
+           columns: tuple[str, ...] | None = None) -> tuple[DataFrame, SeriesSpec]:
+    """The run for a single reader; with `columns` just these, written for several readers."""
     spec = spec_for(spark, sf_dir, keys)
-    return prepare.measurement_run(signals(spark, sf_dir), spec, RUN), spec
+    return prepare.measurement_run(signals(spark, sf_dir), spec, RUN, columns, write=columns is not None), spec
 
 
 def predicted_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, SeriesSpec]:
-    run, spec = run_of(spark, sf_dir)
+    run, spec = run_of(spark, sf_dir, columns=("cycle", "v", "a", "fr"))
     return prepare.baseline_score(run, spec, THRESHOLD).predictions, spec
 
 
-_SIG = """sig AS (
-  SELECT 'all' AS series, CAST(user_id % 3 AS INTEGER) AS axis, event_id AS cycle, ts, event_type AS tag,
-         CASE WHEN event_type <> 'error' THEN value END AS v,
-         CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS a, value AS fm,
-         CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) AS fb
+def _gappy(value: str, step: int, rest: int) -> str:
+    return f"CASE WHEN event_id <= 200 OR event_id % {step} <> {rest} THEN {value} END"
+
+
+_NUMBER = "CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE)"
+_SIG = f"""sig AS (
+  SELECT 'all' AS series, CAST(user_id % 3 AS INTEGER) AS axis, event_id AS cycle, ts, {_gappy('event_type', 5, 3)} AS tag,
+         CASE WHEN event_type <> 'error' THEN value END AS v, {_gappy(_NUMBER, 7, 2)} AS a,
+         {_gappy('value + event_id % 4', 11, 5)} AS fm, {_gappy(_NUMBER + ' + event_id % 3', 13, 6)} AS fb
   FROM events)"""
 
 
 def _filled(keys: str) -> str:
+    last = ", ".join(f"last_value({c} IGNORE NULLS) OVER so_far AS {c}" for c in ("ts", "tag", "v", "a", "fm", "fb"))
     return f"""filled AS (
-  SELECT * REPLACE (last_value(v IGNORE NULLS) OVER (
-    PARTITION BY {keys} ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v) FROM sig)"""
+  SELECT * REPLACE ({last}) FROM sig
+  WINDOW so_far AS (PARTITION BY {keys} ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
 def _run(keys: str) -> str:

@@ -3,41 +3,66 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from csv import reader
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalloom.functions.scalar import MISSING_TEXT, named, null_nan, null_text
 
 
+def _headers(spark: SparkSession, path: str) -> list[list[str]]:
+    """The distinct header lines of the files under `path`, split; one row per distinct header is fetched."""
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"))
+    first = lines.groupBy("f").agg(F.min_by("value", "i").alias("header")).select("header").distinct()
+    return [next(reader([r["header"].removeprefix("\ufeff")])) for r in first.collect()]
+
+
+def _whole(text: Column, kind: str) -> Column:
+    """A whole number, also one written as 12.0; other fractions are an error."""
+    number = text.cast("double")
+    odd = number != F.floor(number)
+    exact = F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), text.cast("bigint")).otherwise(number.cast("bigint"))
+    return F.when(odd, F.raise_error(F.concat(F.lit("not a whole number: "), text)).cast("bigint")).otherwise(exact).cast(kind)
+
+
 def scan_signals(spark: SparkSession, path: str, types: dict[str, str], index: str | None = "idx",
-                 rename: dict[str, str] | None = None, tokens: Sequence[str] = MISSING_TEXT) -> DataFrame:
+                 rename: dict[str, str] | None = None, tokens: Sequence[str] = MISSING_TEXT,
+                 index_type: str = "bigint") -> DataFrame:
     """Read the named columns of CSV files with a header; the first column is the index.
 
-    `types` gives a Spark type per header name. Fields are read as text so that
-    every missing-value token becomes NULL, then cast; text that does not fit its
-    type is an error. Only the named columns are parsed. All files under `path`
-    have the columns of the first one; the header of the index may be empty.
+    `types` gives a Spark type per header name, `index_type` that of the index, a number
+    or a timestamp. Fields are read as text so that every missing-value token becomes
+    NULL, then cast; text that does not fit its type is an error, and so is a line with
+    fewer or more fields than the header. Whole numbers may be written as 12.0. All files
+    under `path` must have the same header; the name of the index may be empty.
     """
-    raw = spark.read.csv(path, header=True, sep=",", inferSchema=False)
+    headers = _headers(spark, path)
+    if len(headers) != 1:
+        raise ValueError(f"{len(headers)} different headers under {path}" if headers else f"no header under {path}")
+    names = [n or f"_c{i}" for i, n in enumerate(headers[0])]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    raw = spark.read.schema(schema).option("columnPruning", False).csv(path, header=True, sep=",", mode="FAILFAST", escape='"')
+    whole = ("int", "bigint", "long", "smallint")
+    cast = lambda text, kind: _whole(text, kind) if kind in whole else text.cast(kind)
     rename = rename or {}
     columns = []
     if index:
-        columns.append(named(raw.columns[0]).cast("bigint").alias(index))
+        columns.append(cast(named(names[0]), index_type).alias(index))
     for name, kind in types.items():
-        value = null_text(named(name), tokens).cast(kind)
+        value = cast(null_text(named(name), tokens), kind)
         columns.append((null_nan(value) if kind == "double" else value).alias(rename.get(name, name)))
     return raw.select(*columns)
 
 
-def scan_numbers(spark: SparkSession, path: str, columns: Sequence[str] = ("x",), kind: str = "double",
-                 partitioned_by: str | None = None) -> DataFrame:
-    """Read headerless numeric CSV files; `kind` may narrow the numbers, such as to int."""
-    schema = ", ".join(f"`{c}` double" for c in columns)
-    if partitioned_by:
-        schema += f", `{partitioned_by}` int"
+def scan_numbers(spark: SparkSession, path: str, columns: dict[str, str], partitioned_by: dict[str, str] | None = None) -> DataFrame:
+    """Read headerless numeric CSV files; a Spark type per column, and per folder column such as a lettered axis."""
+    keys = partitioned_by or {}
+    # Numbers are read as doubles, as whole ones may have a fraction of zero.
+    schema = ", ".join([*(f"`{c}` double" for c in columns), *(f"`{k}` {t}" for k, t in keys.items())])
     raw = spark.read.schema(schema).csv(path, header=False, sep=",", mode="FAILFAST")
-    keys = [named(partitioned_by)] if partitioned_by else []
-    return raw.select(*keys, *[named(c).cast(kind).alias(c) for c in columns])
+    return raw.select(*[named(k) for k in keys], *[named(c).cast(t).alias(c) for c, t in columns.items()])
 
 
 def write_predictions(df: DataFrame, path: str, pos: str = "pos", predicted: str = "y_pred",

@@ -20,20 +20,23 @@ SIGNALS_2022 = ("DES_POS", "VEL_FFW", "TORQUE_FFW", "CONT_DEV", "ENC1_POS", "ENC
 SIGNALS_2023 = {"v": "v_dir_lp", "a": "a_dir_lp", "fm": "FM_lp", "fb": "FB_dir_lp"}
 
 
-def scan_2022(spark: SparkSession, path: str, columns: Sequence[str], series: str = "file") -> DataFrame:
+def scan_2022(spark: SparkSession, path: str, columns: Sequence[str], series: str = "file",
+              index_type: str = "bigint") -> DataFrame:
     """Numbered-axis layout: series, idx, ts, cycle, axis, tag and the wanted `{signal}|{axis}` columns."""
     types = {TIME_2022: "string", CYCLE_2022: "bigint", AXIS_2022: "int", TAG_2022: "string",
              **{c: "double" for c in columns}}
     names = {TIME_2022: "ts", CYCLE_2022: "cycle", AXIS_2022: "axis", TAG_2022: "tag"}
-    df = scan_signals(spark, path, types, "idx", names)
+    df = scan_signals(spark, path, types, "idx", names, index_type=index_type)
     return df.withColumn("ts", parse_time(F.col("ts"))).select(F.lit(series).alias("series"), "*")
 
 
-def scan_2023(spark: SparkSession, path: str, axes: Sequence[str] = ("X", "Y", "Z"), series: str = "file") -> DataFrame:
+def scan_2023(spark: SparkSession, path: str, axes: Sequence[str] = ("X", "Y", "Z"), series: str = "file",
+              index_type: str = "bigint") -> DataFrame:
     """Lettered-axis layout: series, idx, ts, tag, block and `{axis}1_...` columns, in file order by idx."""
     types = {TIME_2023: "string", TAG_2023: "string", BLOCK_2023: "string",
              **{f"{a}1_{s}": "double" for a in axes for s in SIGNALS_2023.values()}}
-    df = scan_signals(spark, path, types, "idx", {TIME_2023: "ts", TAG_2023: "tag", BLOCK_2023: "block"})
+    df = scan_signals(spark, path, types, "idx", {TIME_2023: "ts", TAG_2023: "tag", BLOCK_2023: "block"},
+                      index_type=index_type)
     return df.withColumn("ts", parse_time(F.col("ts"))).select(F.lit(series).alias("series"), "*")
 
 

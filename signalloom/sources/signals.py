@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.operators.series import SeriesSpec, fit_spec
@@ -15,18 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`events` as axis signals: axis, cycle, ts, tag, v (with gaps), a, fm, fb; one long series `all`."""
+    """`events` as axis signals: axis, cycle, ts, tag, v, a, fm, fb; one long series `all`.
+
+    No two signals are equal, and all of them but the time have gaps: v wherever the
+    event is an error, the others at their own steps once the series have begun.
+    """
     number = F.regexp_extract("props", "([0-9]+)", 1).cast("double")
+    at = F.col("event_id")
+
+    def gappy(value: Column, step: int, rest: int) -> Column:
+        return F.when((at <= 200) | (at % step != rest), value)
+
     return table(spark, sf_dir, "events").select(
         F.lit("all").alias("series"),
         (F.col("user_id") % 3).cast("int").alias("axis"),
-        F.col("event_id").alias("cycle"),
+        at.alias("cycle"),
         "ts",
-        F.col("event_type").alias("tag"),
+        gappy(F.col("event_type"), 5, 3).alias("tag"),
         F.when(F.col("event_type") != "error", F.col("value")).alias("v"),
-        number.alias("a"),
-        F.col("value").alias("fm"),
-        number.alias("fb"),
+        gappy(number, 7, 2).alias("a"),
+        gappy(F.col("value") + at % 4, 11, 5).alias("fm"),
+        gappy(number + at % 3, 13, 6).alias("fb"),
     )
 
 

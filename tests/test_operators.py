@@ -68,32 +68,40 @@ ADVERSARIAL = {
 
 
 @pytest.mark.parametrize("case", sorted(ADVERSARIAL))
-@pytest.mark.parametrize("final_rows", [2, 4_000_000])
-def test_selected_quantiles_are_exact(spark, monkeypatch, case, final_rows):
-    monkeypatch.setattr(quantile, "FINAL_ROWS", final_rows)
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_quantiles_are_exact(spark, monkeypatch, case, rounds):
+    monkeypatch.setattr(quantile, "ROUNDS", rounds)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     known = np.array([x for x in ADVERSARIAL[case] if x is not None and not math.isnan(x)])
     got = {r.prob: r.value for r in
-           quantile.exact_quantiles(numbers(spark, ADVERSARIAL[case]), ["x"], probs, method="select").collect()}
+           quantile.exact_quantiles(numbers(spark, ADVERSARIAL[case]), ["x"], probs).collect()}
     want = np.quantile(known, probs)
     assert all(math.isclose(got[p], w, rel_tol=1e-12, abs_tol=5e-324) for p, w in zip(probs, want))
 
 
-def test_selected_quantiles_per_group_equal_percentile(spark):
-    df = spark_frame(spark, gappy())
+def test_quantiles_per_group(spark):
+    pdf = gappy()
     probs = [0.25, 0.5, 0.75]
-    key = ["series", "name", "prob"]
-    one = pandas_sorted(quantile.exact_quantiles(df, ["v", "a"], probs, ["series"], "select"), key)
-    two = pandas_sorted(quantile.exact_quantiles(df, ["v", "a"], probs, ["series"], "percentile"), key)
-    assert (one[key] == two[key]).all().all() and same(one.value, two.value)
+    got = quantile.exact_quantiles(spark_frame(spark, pdf), ["v", "a"], probs, ["series"]).collect()
+    want = {(s, c, p): g[c].quantile(p) for s, g in pdf.groupby("series") for c in ("v", "a") for p in probs}
+    assert {(r.series, r["name"], r.prob) for r in got} == {k for k, v in want.items() if not math.isnan(v)}
+    assert all(math.isclose(r.value, want[r.series, r["name"], r.prob], rel_tol=1e-12) for r in got)
+
+
+def test_one_more_row_changes_no_other_quantile(spark):
+    """The same way for every size: quantiles of a table and of the table ten times over agree where ranks allow it."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=501)
+    for copies in (1, 3):
+        got = quantile.exact_quantiles(numbers(spark, list(x) * copies), ["x"], [0.0, 0.5, 1.0]).collect()
+        assert sorted(r.value for r in got) == [x.min(), np.median(x), x.max()]
 
 
-@pytest.mark.parametrize("method", ["percentile", "select"])
-def test_bins_equal_qcut(spark, method):
+def test_bins_equal_qcut(spark):
     pdf = gappy()
-    out = pandas_sorted(quantile.quantile_bins(spark_frame(spark, pdf), {"v": "bin_v", "a": "bin_a"}, method=method), ["series", "cycle"])
+    out = pandas_sorted(quantile.quantile_bins(spark_frame(spark, pdf), {"v": "bin_v", "a": "bin_a"}), ["series", "cycle"])
     assert same(out.bin_v, pd.qcut(pdf.v, 4, labels=False)) and same(out.bin_a, pd.qcut(pdf.a, 4, labels=False))
-    by = pandas_sorted(quantile.quantile_bins(spark_frame(spark, pdf), {"a": "b"}, by=["series"], method=method), ["series", "cycle"])
+    by = pandas_sorted(quantile.quantile_bins(spark_frame(spark, pdf), {"a": "b"}, by=["series"]), ["series", "cycle"])
     assert same(by.b, pdf.groupby("series").a.transform(lambda x: pd.qcut(x, 4, labels=False)))
 
 
@@ -237,11 +245,10 @@ def test_score_rules(spark):
     assert again["b"].worst_error is None and again["b"].n_over == 0
 
 
-@pytest.mark.parametrize("limit", [1000, 2])
-def test_worst_rows(spark, monkeypatch, limit):
-    monkeypatch.setattr(score, "LOCAL_LIMIT", limit)
+def test_worst_rows(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("pos"), (F.col("id") % 50).cast("double").alias("err"))
-    assert [r.pos for r in score.worst_rows(df, 4).collect()] == [49, 99, 149, 199]
+    assert [r.pos for r in score.worst_rows(df, 4).orderBy("rank").collect()] == [49, 99, 149, 199]
+    assert score.worst_rows(df, 4).schema == score.worst_rows(df, 2000).schema and score.worst_rows(df, 2000).count() == 1000
     top = score.worst_rows(df, 3, by=["g"]).orderBy("g", "rank").collect()
     assert [(r.g, r.pos) for r in top] == [(0, 99), (0, 249), (0, 399), (1, 49), (1, 199), (1, 349), (2, 149), (2, 299), (2, 449)]
 
@@ -303,9 +310,8 @@ def test_null_is_a_group_like_any_other(spark):
     pdf = pd.DataFrame({"g": [None, "a"] * 150, "id": range(300), "x": rng.normal(size=300), "y": rng.normal(size=300)})
     df = spark.createDataFrame([tuple(r) for r in pdf.itertuples(index=False)], "g string, id bigint, x double, y double")
     one, other = pdf[pdf.g.isna()], pdf[pdf.g.notna()]
-    for method in ("percentile", "select"):
-        got = {(r.g, r.prob): r.value for r in quantile.exact_quantiles(df, ["x"], [0.25, 0.5], ["g"], method).collect()}
-        assert len(got) == 4 and math.isclose(got[None, 0.25], one.x.quantile(0.25)) and math.isclose(got["a", 0.5], other.x.median())
+    got = {(r.g, r.prob): r.value for r in quantile.exact_quantiles(df, ["x"], [0.25, 0.5], ["g"]).collect()}
+    assert len(got) == 4 and math.isclose(got[None, 0.25], one.x.quantile(0.25)) and math.isclose(got["a", 0.5], other.x.median())
     marked = split.hold_out(df, ["id"], 0.4, by=["g"])
     assert {r.g: r.k for r in marked.groupBy("g").agg(F.count_if("is_test").alias("k")).collect()} == {None: 60, "a": 60}
     scaled = pandas_sorted(scale.scale_by(df, ["x"], ["Robust"], ["g"]), ["id"])
@@ -320,6 +326,34 @@ def test_null_is_a_group_like_any_other(spark):
     assert len(ranks) == 300 and ranks.groupby("g", dropna=False)["rank"].max().tolist() == [150, 150]
 
 
+def test_statistics_leave_nan_out(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (4.0,)], "x double")
+    row = scale.column_statistics(df, ["x"]).first()
+    assert (row["min"], row["max"], row["mean"], row["std"], row["median"]) == (1.0, 4.0, 2.5, 1.5, 2.5)
+
+
+def test_missing_errors_make_scores_null(spark):
+    df = spark.createDataFrame([(1.0, 0.5), (2.0, None)], "y double, p double")
+    row = score.metrics(df, "y", "p").first()
+    assert (row.n_rows, row.worst_error, row.mse, row.mae) == (2, None, None, None)
+
+
+def test_hold_out_refuses_repeated_keys_at_the_cut(spark, monkeypatch):
+    monkeypatch.setattr(split, "CUT_ROWS", 3)
+    once = split.hold_out(spark.range(300), ["id"], 0.4)
+    assert once.filter("is_test").count() == 120
+    with pytest.raises(Exception, match="unique"):
+        split.hold_out(spark.range(300).selectExpr("7 AS id"), ["id"], 0.4).count()
+
+
+def test_wide_tables_are_not_short(spark):
+    from signalloom.session import cut
+
+    narrow = cut(spark.range(1000))
+    assert series.is_short(narrow)
+    assert not series.is_short(cut(spark.range(200).select("id", F.expr("repeat('x', 1000000)").alias("t"))))
+
+
 def test_null_series_keys_are_refused(spark):
     df = spark.createDataFrame([(None, 1), ("a", 2)], "series string, cycle bigint")
     with pytest.raises(ValueError):
