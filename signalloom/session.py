@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +22,8 @@ TUNING = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "signalloom") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "signalloom",
+                  shared: str | None = None) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -33,14 +37,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
     for key, value in TUNING.items():
         builder = builder.config(key, value)
+    if shared is not None:
+        builder = builder.config("spark.checkpoint.dir", shared)
     return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by `spark.checkpoint.dir`.
 
-    A temporary folder is made only for a local master, where driver and tasks
-    share one machine; a cluster without the setting is refused.
+    A local master may go without: driver and tasks share one machine there, and a
+    folder of the session's own is made and removed with it. A cluster without the
+    setting is refused.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -48,14 +55,42 @@ def shared_dir(spark: SparkSession) -> str:
     if current is None:
         if named is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="signalloom-"))
+        if named is None:
+            named = tempfile.mkdtemp(prefix="signalloom-")
+            _made.append(named)
+        context.setCheckpointDir(named)
         current = context.getCheckpointDir()
-    return named or current
+    return spark.conf.get("spark.checkpoint.dir", None) or current
+
+
+_made: list[str] = []
+_written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, removed by `clear_scratch`."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def clear_scratch() -> None:
+    """Remove everything written to scratch paths by this process.
+
+    Results that were not read to the end lose what they are read from, so this is for
+    the end of a job; it runs by itself when Python ends.
+    """
+    while _written:
+        spark, path = _written.pop()
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            jvm = spark.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    while _made:
+        shutil.rmtree(_made.pop(), ignore_errors=True)
+
+
+atexit.register(clear_scratch)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:

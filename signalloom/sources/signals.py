@@ -47,3 +47,8 @@ def spec_for(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("axis",)
 @lru_cache(maxsize=64)
 def _spec(application: str, spark: SparkSession, sf_dir: str, keys: tuple[str, ...]) -> SeriesSpec:
     return fit_spec(signals(spark, sf_dir), keys, "cycle")
+
+
+def forget_layouts() -> None:
+    """Fit the layouts anew when they are next asked for."""
+    _spec.cache_clear()
