@@ -22,7 +22,7 @@ scored alike; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,11 +38,15 @@ CLASSES = 16
 SINGLE, NAMED, KNOWN = 128, 8192, 1 << 18
 SHARED = CLASSES * CLASSES - SINGLE
 #: Rows of hashed weights of the two softmaxes, words of a gradient step, weights of a block.
-ROWS1, ROWS2, STEP, BLOCK = 1 << 15, 1 << 16, 1 << 15, 1 << 13
+ROWS1, ROWS2, STEP, BLOCK = 1 << 15, (1 << 16) - CLASSES, 1 << 15, 1 << 13
 FEATURES, REACH = 4, 3
 RATE = 0.25
 #: Parts into which the tasks' changes are summed before the last sum.
 TREE = 64
+#: Bytes of text that a task works on at a time.
+SLICE = 4 << 20
+#: Words of a training task, about.
+TASK = 6_000_000
 END = b" "  # no word holds a space
 
 
@@ -62,17 +66,18 @@ def _hashes(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _index(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Numbers of all words of the texts, words per text, and the distinct words."""
-    number: dict[bytes, int] = {}
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
     sizes, out = [], []
     for t in texts:
         found = words(t)
         sizes.append(len(found))
-        out += [number.setdefault(w, len(number)) for w in found]
-    return np.asarray(out, np.int64), np.asarray(sizes, np.int64), list(number)
+        out.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
+    return np.concatenate(out) if out else np.zeros(0, np.int32), np.asarray(sizes, np.int64), list(number)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         found: Counter = Counter()
         for t in batch.column("text").to_pylist():
             found.update(words(t))
@@ -155,17 +160,17 @@ class Weights:
         one = (features >> np.uint64(40)).astype(np.int64) % ROWS1
         with np.errstate(over="ignore"):
             two = (((features ^ (top[:, None] + np.uint64(1)) * np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % ROWS2
-        n = len(leaf)
-        return np.hstack([one, np.full((n, 1), ROWS1)]), np.hstack([two, ROWS2 + top.astype(np.int64)[:, None]])
+        n = len(leaf)  # rows are 16-bit numbers, which sort fastest
+        return np.hstack([one, np.full((n, 1), ROWS1)]).astype(np.uint16), np.hstack([two, ROWS2 + top.astype(np.int64)[:, None]]).astype(np.uint16)
 
     @staticmethod
     def softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        sums = weights[rows[:, 0]]
+        sums = weights.take(rows[:, 0], axis=0)
         for k in range(1, rows.shape[1]):
-            sums += weights[rows[:, k]]
-        sums -= sums.max(axis=1, keepdims=True)
+            sums += weights.take(rows[:, k], axis=0)
+        np.clip(sums, -60, 60, out=sums)
         np.exp(sums, out=sums)
-        sums /= sums.sum(axis=1, keepdims=True)
+        sums /= (sums @ np.ones(CLASSES, np.float32))[:, None]
         return sums
 
     def log10(self, features: np.ndarray, leaf: np.ndarray) -> np.ndarray:
@@ -186,10 +191,11 @@ class Weights:
             error = self.softmax(weights, rows)
             error[each, aim] -= 1
             flat = rows.ravel()
-            used, back = np.unique(flat, return_inverse=True)
-            gradient = np.empty((len(used), CLASSES), np.float32)
-            for c in range(CLASSES):
-                gradient[:, c] = np.bincount(back, np.repeat(error[:, c], rows.shape[1]), minlength=len(used))
+            order = np.argsort(flat, kind="stable")
+            flat = flat[order]
+            first = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+            used = flat[first]
+            gradient = np.add.reduceat(error.take(order // rows.shape[1], axis=0), first, axis=0)
             squares[k][used] += gradient**2
             weights[used] -= RATE * gradient / np.sqrt(squares[k][used] + 1e-6)
 
@@ -207,7 +213,7 @@ def _learner(start: np.ndarray, known: Vocabulary):
         model = Weights.of(start.copy())
         squares = [np.zeros_like(model.first), np.zeros_like(model.second)]
         seen = 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids, sizes, found = _index(batch.column("text").to_pylist())
             _, leaf, name = known.look_up(*_hashes(found))
             features = contexts(name[ids], sizes)
@@ -242,11 +248,13 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, known: Vocabulary, rounds: int = 3) -> Weights:
     """Weights from all rows of `docs` (text)."""
+    # Each task hands on weights of one size, so small partitions are read together.
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, known.train_tokens // TASK)
     flat = Weights().flat()
     share = F.pmod(F.xxhash64("text"), F.lit(rounds))
     for k in range(rounds):
         form = "block int, part int, words long, change binary"
-        changes = docs.where(share == k).select("text").mapInArrow(_learner(flat, known), form)
+        changes = docs.where(share == k).select("text").coalesce(tasks).mapInArrow(_learner(flat, known), form)
         sums = changes.repartition("block", "part").mapInArrow(_sum, form).repartition("block").mapInArrow(_sum, form)
         # As many rows as blocks, together the size of the weights.
         blocks = sums.toArrow().sort_by("block")
@@ -260,7 +268,7 @@ def _scorer(model: np.ndarray, known: Vocabulary, kept: list[str]):
         from pyspark import TaskContext
 
         weights, row = Weights.of(model), TaskContext.get().partitionId() << 33
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids, sizes, found = _index(batch.column("text").to_pylist())
             h, ending = _hashes(found)
             n, leaf, name = known.look_up(h, ending)
