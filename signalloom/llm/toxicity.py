@@ -2,24 +2,28 @@
 
 The kernel of two words sums, over all common subsequences of `ORDER` letters, a decay
 per letter that their spans take in both words, divided by the words' own kernels; a
-letter put between (or left out) costs one decay and keeps the rest. A word enters as
-its kernel with each landmark word (where it is at least `FLOOR`), a sentence as the
-largest value per landmark, whitened by the landmarks' own kernel matrix (Nyström).
-A linear machine separates toxic sentences from others; a document's value is that of
-its most toxic sentence, put on a 0 to 1 scale by a logistic curve.
+letter put between (or left out) costs one decay and keeps the rest. Marks inside words
+are dropped, and letters that stand alone one after the other are one word. A word's
+start counts as a letter. A word enters as the `POWER`-th power of its kernel with each
+landmark word (0 below `FLOOR`), a sentence as the largest value per landmark, whitened
+by the landmarks' own kernel matrix (Nyström). A linear machine separates toxic
+sentences from others; a document's value is that of its most toxic sentence, put on a
+0 to 1 scale by a logistic curve.
 
 Learning: labels are of documents. Landmarks are the words that most tell toxic
-documents of the sample from others, none too like another, and common words of the
-clean ones. A toxic document gives its sentence that is nearest to the landmarks, a
-clean one its nearest three, so the machine learns from the hardest clean sentences.
-The sample is bounded: `most_docs` labelled documents of each class, smallest hash of
-the text first, whose bytes are below `most_bytes`. Scores use texts alone and cover
-whole texts; tokens longer than `SPAN` letters enter in overlapping pieces.
+documents of the sample from others, none too like another. A toxic document gives its
+sentence that is nearest to the landmarks, a clean one its nearest three, so the machine
+learns from the hardest clean sentences; each landmark with a letter put in is a toxic
+sentence more. The sample is bounded: `most_docs` labelled
+documents of each class, smallest hash of the text first, of at most `most_bytes` each.
+Scores use texts alone and cover whole texts; words longer than `SPAN` letters enter in
+overlapping pieces.
 
 Defined results: null and empty texts have no word near a landmark and get the score
 of a document without any; a document may have several or contradicting label rows, the
-larger label counts; null labels are none. Without labels of both classes the score is
-0.5 less a hair, so nothing is predicted. Repeated rows score alike; other columns are ignored.
+larger label counts; null labels are none. Without labels of both classes, or without
+words that tell them apart, the score is 0.4999, so nothing is predicted. Repeated rows
+score alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,20 +38,25 @@ from pyspark.sql import functions as F
 
 from signalloom.llm.common import cut, slices
 
-ORDER, DECAY, FLOOR = 3, 0.6, 0.2
+ORDER, DECAY, FLOOR, POWER = 3, 0.7, 0.4, 3
 #: Letters of a word, or of a piece of a longer one; words of a sentence at most.
 SPAN, SENTENCE = 16, 32
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 96, 16
+LANDMARKS = 96
+#: Landmarks with a letter put in, as sentences to learn from, per toxic sentence.
+ALTERED = 0.3
 #: Distinct words whose kernels a task keeps.
-CACHE = 100_000
+CACHE = 300_000
 
 _DECAYS = np.tril(DECAY ** np.clip(np.subtract.outer(np.arange(SPAN), np.arange(SPAN)) - 1, 0, None), -1).astype(np.float32)
-_EDGE = re.compile(r"^\W+|\W+$")
+#: Stands before the first letter of each word, so that word beginnings count as letters do.
+START = "^"
+_MARKS = re.compile(r"[\W_]+")
 
 
 def letters(word: str) -> str:
-    """The word without edge punctuation, in lower case."""
-    return _EDGE.sub("", word.lower())
+    """Letters and digits of the word, in lower case; marks put between letters are gone."""
+    plain = word.lower() if word.isalnum() else _MARKS.sub("", word.lower())
+    return START + plain if plain else plain
 
 
 def pieces(word: str) -> list[str]:
@@ -64,16 +73,38 @@ def codes(words: list[str]) -> np.ndarray:
 
 def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     """Subsequence kernel of each row of `s` with the same row of `t`."""
-    met = ((s[:, :, None] == t[:, None, :]) & (s[:, :, None] > 0)).astype(np.float32) * DECAY**2
+    met = ((s[:, :, None] == t[:, None, :]) & (s[:, :, None] > 0)).astype(np.float32) * np.float32(DECAY**2)
+    left, right = _DECAYS[: s.shape[1], : s.shape[1]], _DECAYS[: t.shape[1], : t.shape[1]].T
     now = met
     for _ in range(ORDER - 1):
-        now = met * (_DECAYS @ now @ _DECAYS.T)
+        now = met * (left @ now @ right)
     return now.sum(axis=(1, 2))
 
 
-def _masks(c: np.ndarray) -> np.ndarray:
-    bits = np.where(c > 0, np.uint64(1) << (c % 63).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
+def _pairs(c: np.ndarray) -> np.ndarray:
+    """Marks of the pairs of letters next to each other or with one between, 128 bits a word."""
+    out = np.zeros((len(c), 2), np.uint64)
+    for apart in (1, 2):
+        a, b = c[:, :-apart], c[:, apart:]
+        bit = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(25)
+        marks = np.where(b > 0, np.uint64(1) << (bit & np.uint32(63)).astype(np.uint64), np.uint64(0))
+        for half in (0, 1):
+            out[:, half] |= np.bitwise_or.reduce(np.where(bit >> np.uint32(6) == half, marks, np.uint64(0)), axis=1)
+    return out
+
+
+def _kernels(s: np.ndarray, t: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Kernel of row at[i] of `s` with row to[i] of `t`, in blocks no wider than their words."""
+    out = np.zeros(len(at), np.float32)
+    wide, high = ((x > 0).sum(axis=1) for x in (s, t))
+    size = (np.maximum(wide[at], 1) + 3) // 4 * 8 + (np.maximum(high[to], 1) + 3) // 4
+    for kind in np.unique(size):
+        where = np.flatnonzero(size == kind)
+        rows, columns = int(kind) // 8 * 4, int(kind) % 8 * 4
+        for i in range(0, len(where), 8192):
+            part = where[i : i + 8192]
+            out[part] = kernel(s[at[part], :rows], t[to[part], :columns])
+    return out
 
 
 @dataclass
@@ -81,10 +112,11 @@ class Landmarks:
     words: list[str]
 
     def __post_init__(self):
-        self.codes = codes(self.words)
+        self.codes = codes([letters(w) for w in self.words])
         self.own = np.sqrt(kernel(self.codes, self.codes))
-        self.masks = _masks(self.codes)
-        self.needed = np.maximum(ORDER, np.ceil(0.6 * np.bitwise_count(self.masks))).astype(np.uint8)
+        self.pairs = _pairs(self.codes)
+        # A word with too few of a landmark's pairs has a kernel below the floor in all but odd cases, and counts as 0.
+        self.needed = np.maximum(2, np.ceil(0.4 * np.bitwise_count(self.pairs).sum(axis=1))).astype(np.uint8)
 
     def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word number, landmark number and kernel of all pairs at `FLOOR` or above."""
@@ -96,17 +128,17 @@ class Landmarks:
                     owner.append(n)
                     parts.append(p)
             c = codes(parts)
-            masks = _masks(c)
-            shared = np.bitwise_count(masks[:, None] & self.masks[None, :]) >= self.needed[None, :]
+            pairs = _pairs(c)
+            shared = sum(np.bitwise_count(pairs[:, None, half] & self.pairs[None, :, half]) for half in (0, 1)) >= self.needed[None, :]
             w, z = np.nonzero(shared)
             if not len(w):
                 continue
             used, back = np.unique(w, return_inverse=True)
-            own = np.sqrt(kernel(c[used], c[used]))[back]
-            value = np.concatenate([kernel(c[w[i : i + 8192]], self.codes[z[i : i + 8192]]) for i in range(0, len(w), 8192)])
+            own = np.sqrt(_kernels(c, c, used, used))[back]
+            value = _kernels(c, self.codes, w, z)
             value /= np.maximum(own * self.own[z], 1e-12)
             keep = value >= FLOOR
-            found.append((np.asarray(owner)[w[keep]], z[keep], value[keep]))
+            found.append((np.asarray(owner)[w[keep]], z[keep], value[keep] ** POWER))
         if not found:
             return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -197,38 +229,35 @@ def _sample(docs: DataFrame, per: DataFrame, most_docs: int, most_bytes: int) ->
 
 def _choose_landmarks(spark: SparkSession, sample: DataFrame) -> list[str]:
     """Words by how much they tell the classes apart (log-likelihood ratio), each unlike those before it."""
-    words = sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).where((F.length("w") >= ORDER) & (F.length("w") <= SPAN))
+    words = sample.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).where((F.length("w") >= ORDER) & (F.length("w") < SPAN))
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
         return []
     counts = words.groupBy("w").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     pa_, pb = (F.col("a") + 0.5) / (n[1] + 1), (F.col("b") + 0.5) / (n[0] + 1)
     counts = counts.withColumn("gain", F.col("a") * F.log(pa_ / pb))
-    telling = [r["w"] for r in counts.where((pa_ > 2 * pb) & (F.col("gain") >= 8)).orderBy(F.desc("gain"), "w").limit(12 * TOXIC_LANDMARKS).collect()]
-    usual = [r["w"] for r in counts.orderBy(F.desc("b"), "w").limit(4 * CLEAN_LANDMARKS).collect()]
+    telling = [r["w"] for r in counts.where((pa_ > 2 * pb) & (F.col("gain") >= 8)).orderBy(F.desc("gain"), "w").limit(12 * LANDMARKS).collect()]
     chosen: list[str] = []
-    for group, most in ((telling, TOXIC_LANDMARKS), (usual, CLEAN_LANDMARKS)):
-        limit = len(chosen) + most
-        for w in group:
-            if len(chosen) >= limit:
-                break
-            if chosen:
-                c, others = codes([w] * len(chosen)), codes(chosen)
-                own = np.sqrt(kernel(c[:1], c[:1]) * kernel(others, others))
-                if (kernel(c, others) / np.maximum(own, 1e-12)).max() > 0.8:
-                    continue
-            chosen.append(w)
+    for w in telling:
+        if chosen:
+            c, others = codes([letters(w)] * len(chosen)), codes([letters(x) for x in chosen])
+            own = np.sqrt(kernel(c[:1], c[:1]) * kernel(others, others))
+            if (kernel(c, others) / np.maximum(own, 1e-12)).max() > 0.8:
+                continue
+        chosen.append(w)
+        if len(chosen) == LANDMARKS:
+            break
     return chosen
 
 
-def _nearest(landmarks: list[str], n_toxic: int):
+def _nearest(landmarks: list[str]):
     def nearest(batches):
         known = _Words(Landmarks(landmarks))
-        for batch in (b for x in batches for b in slices([x], "text")):
+        for batch in slices(batches, "text"):
             labels, rows, first = [], [], []
             for toxic, ids in zip(batch.column("toxic").to_pylist(), known.numbers([tokens(t) for t in batch.column("text").to_pylist()]), strict=True):
                 found = known.sentences(ids)
-                best = np.argsort(-found[:, :n_toxic].max(axis=1), kind="stable")[: 1 if toxic else 3] if len(found) else []
+                best = np.argsort(-found.max(axis=1), kind="stable")[: 1 if toxic else 3] if len(found) else []
                 for r in [found[i] for i in best] or [np.zeros(len(landmarks), np.float32)]:
                     labels.append(toxic)
                     rows.append(r.tobytes())
@@ -239,17 +268,26 @@ def _nearest(landmarks: list[str], n_toxic: int):
 
 
 def _whitening(landmarks: list[str]) -> np.ndarray:
-    c = codes(landmarks)
+    c = codes([letters(w) for w in landmarks])
     n = len(landmarks)
     i, j = np.divmod(np.arange(n * n), n)
     own = np.sqrt(kernel(c, c))
-    gram = (kernel(c[i], c[j]) / np.maximum(own[i] * own[j], 1e-12)).reshape(n, n)
+    gram = ((kernel(c[i], c[j]) / np.maximum(own[i] * own[j], 1e-12)) ** POWER).reshape(n, n)
     value, vector = np.linalg.eigh(gram.astype(np.float64))
     value = np.maximum(value, 0.05)
     return vector @ np.diag(value**-0.5) @ vector.T
 
 
-def _fit_machine(x: np.ndarray, y: np.ndarray, rounds: int = 400, cost: float = 1e-3) -> tuple[np.ndarray, float]:
+def _altered(landmarks: list[str], toxic: int) -> np.ndarray:
+    """Sentences of one landmark each, with a strange letter or one of its own put in."""
+    variants = [w[:m] + c + w[m:] for w in landmarks for m, c in ((len(w) // 2, "x"), (max(1, len(w) // 3), w[max(1, len(w) // 3) - 1]))]
+    rows = np.zeros((len(variants), len(landmarks)), np.float32)
+    for n, z, value in zip(*Landmarks(landmarks).near([letters(v) for v in variants]), strict=True):
+        rows[n, z] = max(rows[n, z], value)
+    return np.tile(rows, (max(1, round(ALTERED * toxic / len(variants))), 1))
+
+
+def _fit_machine(x: np.ndarray, y: np.ndarray, rounds: int = 400, cost: float = 1e-4) -> tuple[np.ndarray, float]:
     """Squared-hinge machine, classes weighing alike, by accelerated gradient steps."""
     sign = np.where(y > 0, 1.0, -1.0)
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
@@ -284,15 +322,15 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 6000, most_bytes: i
     if len(landmarks) < 2:
         return Model(None)
     # At most 4 rows of a few hundred bytes for each document of the bounded sample.
-    n_toxic = max(1, len(landmarks) - CLEAN_LANDMARKS)
-    near = sample.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_nearest(landmarks, n_toxic), "toxic int, row binary, first boolean").toPandas()
+    near = sample.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_nearest(landmarks), "toxic int, row binary, first boolean").toPandas()
     y = near["toxic"].to_numpy()
     if len(set(y)) < 2:
         return Model(None)
     rows = np.frombuffer(b"".join(near["row"]), np.float32).reshape(len(near), -1)
     first = near["first"].to_numpy()
     white = _whitening(landmarks)
-    weights, bias = _fit_machine(rows @ white, y)
+    more = _altered(landmarks, int((y > 0).sum()))
+    weights, bias = _fit_machine(np.vstack([rows, more]) @ white, np.append(y, np.ones(len(more), y.dtype)))
     model = Model(landmarks, (white @ weights).astype(np.float64), bias)
     model.slope, model.shift = _fit_curve(np.maximum(model.values(rows), bias)[first], y[first], of_toxic)
     return model
