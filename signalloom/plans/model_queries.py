@@ -7,11 +7,13 @@ import math
 from pyspark.sql import functions as F
 
 from signalloom.functions.scalar import named
-from signalloom.operators import lowpass, model, quantile, rolling, scale, score, search, sequence, series, shift, split
+from signalloom.operators import lowpass, model, project, quantile, rolling, scale, score, search, sequence, series, shift, split
 from signalloom.plans import prepare, spaces
 from signalloom.plans.clean_queries import OUTLIERS
 from signalloom.plans.feature_queries import _low_pass_sql
-from signalloom.plans.registry import THRESHOLD, predicted_of, query, rnd, run_of, sql, sql_rnd
+from signalloom.plans.registry import (RUN, THRESHOLD, predicted_of, query, rnd, run_of, signals, spec_for, sql, sql_rnd)
+from signalloom.session import scratch_path
+from signalloom.sources import csv, layouts
 
 
 def _marked_run(spark, sf_dir):
@@ -63,6 +65,43 @@ def tree_importances(spark, sf_dir):
     return _importances(spark, sf_dir)[0]
 
 
+_STUMP_SQL = sql("run", f"""
+SELECT a > edge AS above, count(*) AS n_rows, {sql_rnd('avg(y_pred)')} AS y_pred
+FROM (SELECT *, avg(fr) OVER (PARTITION BY a > edge) AS y_pred FROM known, best) GROUP BY 1""", more="""
+known AS (SELECT a, fr FROM run WHERE a IS NOT NULL AND fr IS NOT NULL),
+splits AS (SELECT t.edge, count(*) FILTER (a <= t.edge) AS n1, sum(fr) FILTER (a <= t.edge) AS s1, count(*) AS n, sum(fr) AS s
+           FROM known, (SELECT DISTINCT a AS edge FROM known) t GROUP BY t.edge),
+best AS (SELECT arg_max(edge, s1 * s1 / n1 + (s - s1) * (s - s1) / (n - n1)) AS edge FROM splits WHERE n1 < n)""")
+
+
+def _stump(spark, sf_dir, estimator):
+    """Predictions of one split on a whole-number signal, whose best place SQL can find."""
+    run, _ = run_of(spark, sf_dir, columns=("a", "fr"))
+    known = run.select("axis", "pos", "a", "fr").dropna()
+    _, predicted = model.fit_predict(series.cut(model.assemble(known, ["a"])), estimator, F.lit(True), "fr")
+    low = predicted.agg(F.min_by("y_pred", "a")).first()[0]  # of the left side
+    return predicted.groupBy((F.col("y_pred") != low).alias("above")).agg(
+        F.count(F.lit(1)).alias("n_rows"), rnd(F.avg("y_pred")).alias("y_pred"))
+
+
+_ONE_SPLIT = {"max_depth": 1, "max_bins": 4096}
+
+
+@query("l01b_one_round", _STUMP_SQL)
+def one_round(spark, sf_dir):
+    return _stump(spark, sf_dir, model.boosted_trees({**_ONE_SPLIT, "n_estimators": 1}, "fr"))
+
+
+@query("l02b_one_tree", _STUMP_SQL)
+def one_tree(spark, sf_dir):
+    return _stump(spark, sf_dir, model.forest({**_ONE_SPLIT, "n_estimators": 1, "bootstrap": False}, "fr"))
+
+
+@query("l03b_stump", _STUMP_SQL)
+def stump(spark, sf_dir):
+    return _stump(spark, sf_dir, model.decision_tree(_ONE_SPLIT, "fr"))
+
+
 @query("o06_top_features")
 def top_features(spark, sf_dir):
     return model.top_features(_importances(spark, sf_dir)[0], 10)
@@ -304,3 +343,60 @@ def binned_baseline(spark, sf_dir):
     run, _ = run_of(spark, sf_dir, columns=("v", "fr"))
     bins = quantile.quantile_bins(run.select("v", "fr"), {"v": "bin_v"})
     return bins.groupBy("bin_v").agg(F.count(F.lit(1)).alias("n_rows"), rnd(F.avg("fr")).alias("mean_fr"))
+
+
+def _numbered_file(spark, sf_dir):
+    """The signals as a numbered-axis file, read back: the axis' position, velocity, encoders and current."""
+    path = scratch_path(spark, "numbered")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    csv.write_signals(signals(spark, sf_dir).select(
+        F.col("cycle").alias("idx"), stamp.alias(layouts.TIME_2022), F.col("cycle").alias(layouts.CYCLE_2022),
+        (F.col("axis") + 1).alias(layouts.AXIS_2022), F.col("tag").alias(layouts.TAG_2022),
+        F.col("v").alias("VEL_FFW|1"), F.col("a").alias("DES_POS|1"), F.col("fm").alias("ENC1_POS|1"),
+        F.col("fb").alias("ENC2_POS|1"), (F.col("fm") + F.col("fb")).alias("CURRENT|1")), path)
+    columns = ["VEL_FFW|1", "DES_POS|1", "ENC1_POS|1", "ENC2_POS|1", "CURRENT|1"]
+    read = layouts.scan_2022(spark, path, columns).withColumn("axis", F.col("axis") - 1)
+    return read, spec_for(spark, sf_dir, ("axis",))
+
+
+_NUMBERED = """
+file AS (SELECT axis, cycle, tag, v, a, fm, fb, fm + fb AS current FROM sig),
+full_file AS (SELECT * REPLACE (last_value(tag IGNORE NULLS) OVER w AS tag, last_value(v IGNORE NULLS) OVER w AS v, last_value(a IGNORE NULLS) OVER w AS a,
+                last_value(fm IGNORE NULLS) OVER w AS fm, last_value(fb IGNORE NULLS) OVER w AS fb, last_value(current IGNORE NULLS) OVER w AS current)
+              FROM file WINDOW w AS (PARTITION BY axis ORDER BY cycle ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+rows_used AS (SELECT axis, current AS y, {x} AS x FROM full_file WHERE regexp_matches(tag, '{run}')),
+line AS (SELECT axis, regr_slope(y, x) AS slope, regr_intercept(y, x) AS base FROM rows_used GROUP BY axis),
+rated AS (SELECT axis, abs(y - (slope * x + base)) AS err FROM rows_used JOIN line USING (axis))"""
+
+
+def _numbered_sql(x: str) -> str:
+    return sql("sig", f"""
+SELECT axis, count(*) AS n_rows, count(*) FILTER (WHERE err > {THRESHOLD}) AS n_over,
+       {sql_rnd('CASE WHEN count(err) = count(*) THEN max(err) END')} AS worst_error,
+       {sql_rnd('CASE WHEN count(err) = count(*) THEN avg(err) END')} AS mae FROM rated GROUP BY axis""",
+               more=_NUMBERED.format(x=x, run=RUN))
+
+
+def _numbered_summary(summary):
+    return summary.select("axis", "n_rows", "n_over", rnd("worst_error").alias("worst_error"), rnd("mae").alias("mae"))
+
+
+@query("x06_numbered_file", _numbered_sql("v"))
+def numbered_file(spark, sf_dir):
+    """From a numbered-axis file to the score of the current predicted from the velocity."""
+    read, spec = _numbered_file(spark, sf_dir)
+    run = prepare.measurement_run(read, spec, RUN, ("VEL_FFW|1", "CURRENT|1"), write=True, target="CURRENT|1", parts=None)
+    predicted = score.baseline(run, "CURRENT|1", "VEL_FFW|1", spec.keys)
+    return _numbered_summary(score.metrics(predicted, "CURRENT|1", "y_pred", THRESHOLD, spec.keys))
+
+
+@query("x07_numbered_file_scaled", _numbered_sql("fm - fb"))
+def numbered_file_scaled(spark, sf_dir):
+    """The same from the difference of the encoders, robust then standard scaled, scored on the original scale."""
+    read, spec = _numbered_file(spark, sf_dir)
+    wanted = ("ENC1_POS|1", "ENC2_POS|1", "CURRENT|1")
+    run = prepare.measurement_run(read, spec, RUN, wanted, write=True, target="CURRENT|1", parts=None)
+    data = project.replace_by_difference(run, "ENC1_POS|1", "ENC2_POS|1", "enc")
+    scaler = scale.Scaler.fit(data, ["enc", "CURRENT|1"], ["Robust", "Standard"])
+    predicted = score.baseline(scaler.transform(data), "CURRENT|1", "enc", spec.keys)
+    return _numbered_summary(score.score(predicted, "CURRENT|1", "y_pred", THRESHOLD, by=spec.keys, scaler=scaler).summary)
