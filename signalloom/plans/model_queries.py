@@ -206,10 +206,10 @@ def grid_candidates(spark, sf_dir):
 @query("l08_random_search")
 def random_search(spark, sf_dir):
     marked, spec = _marked_run(spark, sf_dir)
-    space = {"max_depth": range(3, 5), "learning_rate": [0.05, 0.06, 0.075], "subsample": [0.5, 0.7], "colsample_bytree": [0.6, 0.9],
-             "colsample_bylevel": [0.7], "min_child_weight": [1, 2], "n_estimators": [3], "shifting": [0, 1],
-             "step_size": range(2, 5), "forward": [0, 1], "scaling": [0, 1], "scaling_method": ["MinMax", "MinMax(-1.1)", "Standard"]}
-    found = search.RandomSearch(space, 3, ["v", "a"], threshold=THRESHOLD).fit_predict(marked, spec, ["v", "a"], "fr")
+    # The settings of the full search, but for tree sizes, lags and candidates that fit a small machine.
+    space = {**spaces.SHIFTED_SPACE, "max_depth": search.Whole(3, 4), "n_estimators": search.Choice((3,)),
+             "step_size": search.Whole(2, 4), "scaling": search.Whole(0, 1)}
+    found = search.RandomSearch(space, 3, ["v", "a"], threshold=THRESHOLD, scale_first=["Robust"]).fit_predict(marked, spec, ["v", "a"], "fr")
     return found.scores
 
 
@@ -217,7 +217,7 @@ def random_search(spark, sf_dir):
 def fold_search(spark, sf_dir):
     run, spec = run_of(spark, sf_dir)
     frame, names = prepare.model_frame(run, spec, 3, True, ())
-    folds = frame.withColumn("fold", split.fold_number(F.col("pos"), F.col("n_rows"), 5))
+    folds = frame.withColumn("fold", split.fold_number(F.col("pos"), F.col("n_rows"), spaces.FOLDS))
     data = series.cut(model.assemble(folds.select("fold", "fr", *[named(n) for n in names]), names))
     candidates = [{"max_depth": 4, "min_samples_leaf": 2}, {"max_depth": 6, "min_samples_leaf": 4}]
     found = search.cross_validate(data, model.decision_tree, candidates, "fr")
@@ -303,7 +303,7 @@ def sequence_sets(spark, sf_dir):
     """Windows of 60 rows with their target, cut into training rows and a test tail."""
     run, spec = run_of(spark, sf_dir)
     target = F.struct("fr", "n_rows").alias("target")
-    windows = sequence.supervised_windows(run.select("axis", "pos", "v", "a", target), spec, ["v", "a"], "target", 60)
+    windows = sequence.supervised_windows(run.select("axis", "pos", "v", "a", target), spec, ["v", "a"], "target", spaces.SEQUENCE_STEPS)
     weighted = F.aggregate(F.transform("window", lambda r, i: r["v"] * (i + 1)), F.lit(0.0), lambda s, x: s + x)
     cells = windows.select("axis", "pos", "target.*", weighted.alias("weighted"))
     tail = split.tail_test(F.col("pos") - 60, F.col("n_rows") - 60, 0.4, F.col("n_rows"))

@@ -59,6 +59,41 @@ def test_random_search_reports_what_it_used(data):
     assert again.best_params == found.best_params and abs(again.best_score - found.best_score) < 1e-9
 
 
+def test_broken_predictions_never_win(spark):
+    known = spark.createDataFrame([(1.0, 3.0), (2.0, None)], "fr double, y_pred double")
+    rate = model.WorstErrorEvaluator("fr", "y_pred")
+    assert rate.evaluate(known) == float("inf") and rate.evaluate(known.limit(0)) == float("inf")
+    assert rate.evaluate(known.dropna()) == 2.0
+
+
+def test_importances_need_all_names(spark, data):
+    fitted, _ = model.fit_predict(model.assemble(data, ["v", "a"]), model.decision_tree({"max_depth": 2}, "fr"), F.lit(True), "fr")
+    with pytest.raises(ValueError):
+        model.importances(spark, fitted, ["v"])
+
+
+def test_scaler_chain_in_the_search(data):
+    space = {"max_depth": [3], "n_estimators": [2], "scaling": [1], "scaling_method": ["Standard"], "shifting": [0]}
+    plain, chain = (search.RandomSearch(space, 1, ["v"], threshold=1.0, scale_first=first).fit_predict(data, SPEC, ["v", "a"], "fr")
+                    for first in ((), ("Robust",)))
+    # Trees do not mind affine scaling, so the score on the original scale is the same.
+    assert abs(plain.best_score - chain.best_score) < 1e-6
+
+
+def test_baseline_search_does_not_grow_with_candidates(spark, data):
+    space = {"signal": ["v", "a"], "step_size": search.Whole(0, 3), "threshold": search.LogUniform(0.1, 5.0)}
+    few, many = (search.baseline_search(data, SPEC, "fr", ["v", "a"], search.sample_candidates(spark, space, n)) for n in (5, 400))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    assert size(many) < 1.2 * size(few)
+    rows = {r.candidate: r for r in many.collect()}
+    assert len(rows) == 400 and all(rows[r.candidate] == r for r in few.collect())
+    pdf = data.toPandas().sort_values("pos")
+    for r in list(rows.values())[:20]:
+        x = pdf[r.signal].shift(r.step_size, fill_value=0.0) if r.step_size else pdf[r.signal]
+        err = (pdf.fr - np.polyval(np.polyfit(x, pdf.fr, 1), x)).abs()
+        assert r.n_rows == 600 and abs(r.worst_error - err.max()) < 1e-9 and r.n_over == (err > r.threshold).sum()
+
+
 def test_fold_search_prefers_the_smaller_worst_error(spark, data):
     folds = data.withColumn("fold", split.fold_number(F.col("pos"), F.lit(600), 5))
     vectors = model.assemble(folds, ["v", "a"])
