@@ -16,7 +16,7 @@ block is one more pass of the texts.
 Defined results: null and empty texts hold nothing; null or empty items, and items of
 fewer than `LEAST` characters after normalising, are in no document; equal items are
 all reported, null item ids are not. Repeated documents are answered alike. Other
-columns stay, but for `item_ids`, `n_matches` and `distance`, which are replaced.
+columns stay, but for `item_ids`, `distances`, `n_matches` and `distance`, which are replaced.
 """
 
 from __future__ import annotations
@@ -166,11 +166,11 @@ def _finder(items: list[tuple[int, str | None]], text: str, add: bool):
 
 
 def find(docs: DataFrame, items: DataFrame, text: str = "text", block_chars: int = 4 << 20) -> DataFrame:
-    """`docs` with item_ids (those found), n_matches and distance (fewest errors, null if none).
+    """`docs` with item_ids (those found), distances (errors of each), n_matches and distance (fewest errors, null if none).
 
     `items`: item_id, text.
     """
-    docs = docs.drop("item_ids", "n_matches", "distance")
+    docs = docs.drop("item_ids", "distances", "n_matches", "distance")
     clash = {"found": "__found"} if "found" in docs.columns else {}
     docs = docs.withColumnsRenamed(clash)
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -181,5 +181,6 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", block_chars: int
         block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]  # about block_chars characters
         docs = docs.mapInArrow(_finder(block, text, k > 0), schema)
     ids = F.array_sort(F.map_keys("found"))
-    out = docs.withColumns({"item_ids": ids, "n_matches": F.size("found").cast("long"), "distance": F.array_min(F.map_values("found"))}).drop("found")
+    each = F.transform(ids, lambda i: F.element_at("found", i))
+    out = docs.withColumns({"item_ids": ids, "distances": each, "n_matches": F.size("found").cast("long"), "distance": F.array_min(F.map_values("found"))}).drop("found")
     return out.withColumnsRenamed({v: k for k, v in clash.items()})

@@ -137,9 +137,11 @@ def op6_language(spark, sf_dir):
 
 @query("op10_decontaminate")
 def op10_decontaminate(spark, sf_dir):
+    """Every document that holds a passage of an item, with the item and the errors."""
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
     found = decontaminate.find(docs, pick(table(spark, sf_dir, "benchmark"), "item_id", "text"))
-    return found.select("doc_id", "item_ids", "n_matches", "distance")
+    pairs = found.select("doc_id", F.explode(F.arrays_zip("item_ids", "distances")).alias("m"))
+    return pairs.select("doc_id", F.col("m")["item_ids"].alias("item_id"), F.col("m")["distances"].alias("distance"))
 
 
 @query("op8_lm_score")

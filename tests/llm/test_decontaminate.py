@@ -79,6 +79,7 @@ def test_against_brute_force(spark, frame):
         for row in got:
             want = _brute(items, row["text"])
             assert row["item_ids"] == sorted(want) and row["n_matches"] == len(want)
+            assert row["distances"] == [want[i] for i in sorted(want)]
             assert row["distance"] == (min(want.values()) if want else None)
     assert sum(bool(row["n_matches"]) for row in got) > 15
 
