@@ -15,7 +15,7 @@ documents of the sample from others, none too like another. A toxic document giv
 sentence that is nearest to the landmarks, a clean one its nearest three, so the machine
 learns from the hardest clean sentences; each landmark with a letter put in is a toxic
 sentence more. The sample is bounded: `most_docs` labelled
-documents of each class, smallest hash of the text first, of at most `most_bytes` each.
+documents of each class, smallest hash of the id first, of at most `most_bytes` each.
 Scores use texts alone and cover whole texts; words longer than `SPAN` letters enter in
 overlapping pieces.
 
@@ -217,14 +217,23 @@ class Model:
 
 
 def _labels(labels: DataFrame) -> DataFrame:
-    return labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    return labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
 
 
-def _sample(docs: DataFrame, per: DataFrame, most_docs: int, most_bytes: int) -> DataFrame:
-    known = docs.where("text IS NOT NULL").where(F.octet_length("text") <= most_bytes).join(per, "doc_id").select("text", "toxic")
-    known = known.withColumn("h", F.xxhash64("text"))
-    parts = [known.where(F.col("toxic") > 0).orderBy("h").limit(most_docs), known.where(F.col("toxic") <= 0).orderBy("h").limit(most_docs)]
-    return parts[0].unionByName(parts[1]).withColumn("toxic", (F.col("toxic") > 0).cast("int"))
+def _sample(docs: DataFrame, per: DataFrame, n: dict[int, int], most_docs: int, most_bytes: int) -> DataFrame:
+    """Texts and labels of the sample; what is chosen are ids, so that only the sample's texts move.
+
+    `n` documents of each class: a range of hashes that holds about twice the wanted number is ordered, no more.
+    """
+    known = docs.where("text IS NOT NULL").where(F.octet_length("text") <= most_bytes)
+    ids = known.select("doc_id").distinct().join(per, "doc_id").withColumn("h", F.xxhash64("doc_id"))
+    parts = []
+    for y in (1, 0):
+        share = min(1.0, 2 * most_docs / max(1, n.get(y, 0)))
+        mine = ids.where((F.col("toxic") == y) & (F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))))
+        parts.append(mine.orderBy("h").limit(most_docs))
+    chosen = cut(parts[0].unionByName(parts[1]), "toxic-ids")  # at most 2 * most_docs rows, so fit to broadcast
+    return known.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
 def _choose_landmarks(spark: SparkSession, sample: DataFrame) -> list[str]:
@@ -316,8 +325,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 6000, most_bytes: i
     """Learn from `docs` (doc_id, text) and `labels` (doc_id, toxic)."""
     spark = docs.sparkSession
     per = _labels(labels)
-    of_toxic = per.join(docs.select("doc_id"), "doc_id").agg(F.avg((F.col("toxic") > 0).cast("double"))).first()[0]
-    sample = cut(_sample(docs, per, most_docs, most_bytes), "toxic-sample")
+    n = {r["toxic"]: r["n"] for r in per.join(docs.select("doc_id"), "doc_id").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = cut(_sample(docs, per, n, most_docs, most_bytes), "toxic-sample")
     landmarks = _choose_landmarks(spark, sample)
     if len(landmarks) < 2:
         return Model(None)
@@ -332,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = 6000, most_bytes: i
     more = _altered(landmarks, int((y > 0).sum()))
     weights, bias = _fit_machine(np.vstack([rows, more]) @ white, np.append(y, np.ones(len(more), y.dtype)))
     model = Model(landmarks, (white @ weights).astype(np.float64), bias)
-    model.slope, model.shift = _fit_curve(np.maximum(model.values(rows), bias)[first], y[first], of_toxic)
+    model.slope, model.shift = _fit_curve(np.maximum(model.values(rows), bias)[first], y[first], n[1] / (n[0] + n[1]))
     return model
 
 
