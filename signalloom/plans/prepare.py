@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from signalloom.functions.scalar import named, tag_matches
 from signalloom.operators.clean import forward_fill
