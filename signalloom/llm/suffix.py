@@ -38,9 +38,9 @@ from signalloom.llm.common import cut, slices
 from signalloom.llm.shingles import mix
 
 LENGTH, GRAM = 100, 32
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Anchors of a bucket in which they are counted, about.
-BUCKET = 1 << 19
+BUCKET = 1 << 17
 #: An anchor with more pieces, and with more than a millionth of all, is dealt again.
 HOT, HOT_SHARE = 2000, 1_000_000
 LAST = (1 << 63) - 1
