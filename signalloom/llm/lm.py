@@ -4,7 +4,7 @@ Every word belongs to one of `CLASSES` * `CLASSES` leaves: the most frequent wor
 the end mark have a leaf of their own, all others share leaves by their last letters.
 The model multiplies P(class | context), P(leaf | class, context) and P(word | leaf).
 The first two are softmaxes whose weights are found by hashing features of the context:
-the word before, the one before that and the third (skips), and the pair of the last two
+the word before (bigram), the one before that (skip) and, for the class, the pair of both
 (trigram); frequent words enter by identity, others by their ending. P(word | leaf) is
 (c + 1) / (n + v + 1), with the leaf's training words and distinct words.
 
@@ -38,8 +38,9 @@ CLASSES = 16
 SINGLE, NAMED, KNOWN = 128, 8192, 1 << 18
 SHARED = CLASSES * CLASSES - SINGLE
 #: Rows of hashed weights of the two softmaxes, words of a gradient step, weights of a block.
-ROWS1, ROWS2, STEP, BLOCK = 1 << 15, (1 << 16) - CLASSES, 1 << 15, 1 << 13
-FEATURES, REACH = 4, 3
+ROWS1, ROWS2, STEP, BLOCK = 1 << 15, (1 << 16) - CLASSES, 1 << 14, 1 << 13
+#: Features of the leaf given its class; the class has the trigram as well.
+LEAF_FEATURES = 2
 RATE = 0.25
 #: Parts into which the tasks' changes are summed before the last sum.
 TREE = 64
@@ -113,9 +114,20 @@ def count_words(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     counts = docs.select("text").mapInArrow(_count, "h long, ending int, n long").groupBy("h").agg(F.sum("n").alias("n"), F.first("ending").alias("ending"))
     counts = cut(counts, "words")
     end = int(_hashes([END])[0][0])
-    # At most KNOWN rows of 20 bytes.
-    top = counts.orderBy(F.desc(F.col("h") == end), F.desc("n"), "h").limit(KNOWN).toArrow()
+    # Words per step of the logarithm of their count, some thousand rows, tell which steps hold KNOWN words.
+    step = F.floor(F.log2("n") * 64)
+    steps = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v")).orderBy(F.desc("step")).collect()
+    held, least = 0, 1 << 30
+    for r in steps:
+        held += r["v"]
+        if held > KNOWN:
+            break
+        least = r["step"]
+    # At most KNOWN rows of 20 bytes, and the end mark.
+    top = counts.where((step >= least) | (F.col("h") == end)).toArrow()
     h, n, ending = (top.column(c).to_numpy() for c in ("h", "n", "ending"))
+    order = np.lexsort((h, -n, h != end))
+    h, n, ending = h[order], n[order], ending[order]
     rank = np.arange(len(h))
     leaf = np.where(rank < SINGLE, rank, -1)
     total = np.zeros(CLASSES * CLASSES)
@@ -137,13 +149,13 @@ def contexts(name: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
     place = np.arange(len(name)) - starts
     before = []
-    for k in range(1, REACH + 1):
+    for k in (1, 2):
         x = np.full(len(name), -k, np.int64)
         x[k:] = name[:-k]
         before.append(np.where(place >= k, x, -k))
-    one, two, three = before
+    one, two = before
     with np.errstate(over="ignore"):
-        return np.stack([_mix(one, 1), _mix(two, 2), _mix(three, 3), _mix(one, 4) ^ (_mix(two, 5) >> np.uint64(7))], axis=1)
+        return np.stack([_mix(one, 1), _mix(two, 2), _mix(one, 4) ^ (_mix(two, 5) >> np.uint64(7))], axis=1)
 
 
 class Weights:
@@ -159,7 +171,7 @@ class Weights:
         top = (leaf // CLASSES).astype(np.uint64)
         one = (features >> np.uint64(40)).astype(np.int64) % ROWS1
         with np.errstate(over="ignore"):
-            two = (((features ^ (top[:, None] + np.uint64(1)) * np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % ROWS2
+            two = (((features[:, :LEAF_FEATURES] ^ (top[:, None] + np.uint64(1)) * np.uint64(0x94D049BB133111EB)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % ROWS2
         n = len(leaf)  # rows are 16-bit numbers, which sort fastest
         return np.hstack([one, np.full((n, 1), ROWS1)]).astype(np.uint16), np.hstack([two, ROWS2 + top.astype(np.int64)[:, None]]).astype(np.uint16)
 
@@ -218,8 +230,9 @@ def _learner(start: np.ndarray, known: Vocabulary):
             _, leaf, name = known.look_up(*_hashes(found))
             features = contexts(name[ids], sizes)
             leaves = leaf[ids]
-            for at in range(0, len(ids), STEP):
-                model.learn(features[at : at + STEP], leaves[at : at + STEP], squares)
+            step = max(256, min(STEP, len(ids) // 8))  # some steps for few words too
+            for at in range(0, len(ids), step):
+                model.learn(features[at : at + step], leaves[at : at + step], squares)
             seen += len(ids)
         if seen:
             from pyspark import TaskContext
