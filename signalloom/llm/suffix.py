@@ -431,7 +431,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scan of `docs` (doc_id, text), the texts that are the first of their kind, and the runs to remove from these."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 << max(0, (total * 2 // (LENGTH - GRAM) // BUCKET).bit_length())
+    buckets = 1 << max(8, (total * 2 // (LENGTH - GRAM) // BUCKET).bit_length())
     scan = cut(docs.mapInArrow(_scanner(buckets), _SCAN), "scan")
     firsts = scan.where("sha IS NOT NULL").groupBy("doc").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("id"))
     anchors = scan.where("bucket IS NOT NULL").select("bucket", "gram", "docs", "ordinal").repartition("bucket").sortWithinPartitions("bucket")
