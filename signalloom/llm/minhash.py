@@ -1,10 +1,13 @@
 """MinHash near-dedup by an LSH forest.
 
 Every distinct shingle set has `HASHES` minimum hashes. Tree t orders the sets by the
-hashes from number t * HASHES / TREES on, so sets with a long common prefix are
-neighbours. A region is all sets with one prefix; it is `DEPTHS[0]` hashes long, and
-where more than `REGION` sets share it the next longer one is taken, region by region.
-A region is one task's work, and never larger than its bound while hashes are left.
+hashes from number t * HASHES / TREES on, after HASHES / TREES of them by the others in an
+order of its own, so sets with a long common prefix are neighbours. A region is all sets
+with one prefix; it is `DEPTHS[0]` hashes long, and where more than `REGION` sets share it
+the next longer one is taken, region by region. Sets whose longer prefix few others share
+are put together, half a region of one parent at a time, and one set of the large region
+stands in all regions out of it; so no set leaves a region unpaired. Sets equal in all
+hashes are dealt to parts, tree by tree in another way. A region is one task's work.
 
 Within a region, hash agreement estimates similarity. Sets propose their `BEST` partners
 by estimate (four standard deviations below the threshold at least) as far as these are
@@ -15,7 +18,8 @@ block, and returns a spanning forest of the links it finds. So large groups of c
 never become their pairs, and no partner is cut off.
 
 Recall: sets of similarity s meet in a region with 1 - (1 - s^3)^16, or 0.99999 at 0.8;
-in regions that had to go deeper it is less.
+in regions that had to go deeper it is less for a single pair, while large groups of
+near copies stay one component, as every tree puts them together in another way.
 
 Defined results: null or empty texts have no shingles and link with nothing. Equal sets
 are one node. Rows without an id link with nothing, component null, kept. Rows that
@@ -78,6 +82,16 @@ def _setter(size: int):
     return make
 
 
+def _order() -> np.ndarray:
+    """The hashes by which each tree orders the sets: its own, which no other tree starts with, then all others in an order of its own."""
+    own = HASHES // TREES
+    rest = [(t * own + own + np.random.default_rng(t).permutation(HASHES - own)) % HASHES for t in range(TREES)]
+    return np.hstack([np.arange(HASHES).reshape(TREES, own), np.stack(rest)])
+
+
+ORDER = _order()
+
+
 def _prefixes(depth: int):
     """(node, hashes) to a row per tree: node, tree, prefix."""
 
@@ -85,47 +99,75 @@ def _prefixes(depth: int):
         trees = np.arange(TREES)
         for batch in batches:
             found = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint32).reshape(-1, HASHES)
-            yield _prefix_rows(batch.column("node").to_numpy(), found, np.broadcast_to(trees, (len(found), TREES)), depth)
+            key = _prefix(found, np.broadcast_to(trees, (len(found), TREES)), depth)
+            yield pa.record_batch({"node": pa.array(np.repeat(batch.column("node").to_numpy(), TREES)), "tree": pa.array(np.tile(trees, len(found)).astype(np.int32)), "prefix": pa.array(key.ravel())})
 
     return prefixes
 
 
-def _prefix_rows(nodes: np.ndarray, hashes: np.ndarray, trees: np.ndarray, depth: int) -> pa.RecordBatch:
+def _prefix(hashes: np.ndarray, trees: np.ndarray, depth: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         key = np.full(trees.shape, depth, np.uint64)
         for k in range(depth):
-            at = (trees * (HASHES // TREES) + k) % HASHES
-            key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.take_along_axis(hashes, at, axis=1)
+            key = (key ^ (key >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + np.take_along_axis(hashes, ORDER[trees, k], axis=1)
         key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    width = trees.shape[1]
-    return pa.record_batch({"node": pa.array(np.repeat(nodes, width)), "tree": pa.array(trees.ravel().astype(np.int32)), "prefix": pa.array(key.ravel().view(np.int64))})
+    return key.view(np.int64)
 
 
 def _deeper(depth: int):
+    """Adds the longer prefix `child` to rows with hashes."""
+
     def deeper(batches):
         for batch in batches:
             found = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.uint32).reshape(-1, HASHES)
-            yield _prefix_rows(batch.column("node").to_numpy(), found, batch.column("tree").to_numpy().astype(np.int64)[:, None], depth)
+            child = _prefix(found, batch.column("tree").to_numpy().astype(np.int64)[:, None], depth)
+            yield pa.record_batch({c: batch.column(c) for c in ("node", "tree", "prefix", "guide")} | {"child": pa.array(child.ravel())})
 
     return deeper
 
 
 def regions(signed: DataFrame, most: int = REGION) -> DataFrame:
-    """node, tree, prefix of all regions of two sets or more; prefixes are as long as the region needs."""
+    """node, tree, prefix of all regions; prefixes are as long as the region needs.
+
+    Where a region is too large, its sets go on by longer prefixes. Those of which only few
+    share the longer prefix are put together, some `most` / 2 of one parent, so no set is
+    left alone. All regions out of one large region also hold its `guide`, one of its sets.
+    """
     form = "node long, tree int, prefix long"
-    rows, done = cut(signed.select("node", "hashes").mapInArrow(_prefixes(DEPTHS[0]), form), "prefixes"), None
+    rows = cut(signed.select("node", "hashes").mapInArrow(_prefixes(DEPTHS[0]), form), "prefixes")
+    sizes = cut(rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("guide")).where("n > 1"), "sizes")
+    done = rows.join(sizes.where(F.col("n") <= most), ["tree", "prefix"]).select("node", "tree", "prefix")
+    large = sizes.where(F.col("n") > most)
+    if large.isEmpty():
+        return cut(done, "regions")
+    rows, pieces = rows.join(large.drop("n"), ["tree", "prefix"]), []
     for depth in DEPTHS[1:]:
-        sizes = cut(rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
-        fit = rows.join(sizes.where(F.col("n") <= most), ["tree", "prefix"]).drop("n")
-        done = fit if done is None else done.unionByName(fit)
-        large = sizes.where(F.col("n") > most)
-        if large.isEmpty():
-            return cut(done.select("node", "tree", "prefix"), "regions")
-        open_rows = rows.join(large, ["tree", "prefix"], "left_semi").select("node", "tree").join(signed.select("node", "hashes"), "node")
-        rows = cut(open_rows.mapInArrow(_deeper(depth), form), "prefixes")
-    # Equal in all hashes and still too many: dealt to parts of the region, tree by tree in another way.
-    parts = rows.withColumn("prefix", F.xxhash64("prefix", F.pmod(F.xxhash64("tree", "node"), F.lit(64))))
-    return cut(done.unionByName(parts).select("node", "tree", "prefix"), "regions")
+        deeper = rows.join(signed.select("node", "hashes"), "node").select("node", "tree", "prefix", "guide", "hashes").mapInArrow(_deeper(depth), form + ", guide long, child long")
+        deeper = cut(deeper, "prefixes")
+        sizes = cut(deeper.groupBy("tree", "prefix", "child").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        few = F.col("n") <= max(1, most // 32)
+        heaps = cut(sizes.where(few).groupBy("tree", "prefix").agg(F.ceil(F.sum("n") / max(1, most // 2)).alias("heaps")), "heaps")
+        many = cut(sizes.where(~few), "many")
+        found = deeper.join(many, ["tree", "prefix", "child"], "left")
+        heap = found.where("n IS NULL").join(heaps, ["tree", "prefix"]).withColumn("prefix", F.xxhash64("prefix", F.lit(depth), F.pmod("child", "heaps")))
+        alone = found.where(F.col("n") <= most).withColumn("prefix", F.col("child"))
+        pieces += [x.select("node", "tree", "prefix", "guide") for x in (heap, alone)]
+        rows = found.where(F.col("n") > most).select("node", "tree", F.col("child").alias("prefix"), "guide")
+        if many.where(F.col("n") > most).isEmpty():
+            break
+    else:
+        # Equal in all hashes and still too many: dealt to parts, tree by tree in another way.
+        parts = many.where(F.col("n") > most).select("tree", F.col("child").alias("prefix"), F.ceil(F.col("n") / max(1, most // 2)).alias("parts"))
+        dealt = rows.join(parts, ["tree", "prefix"]).withColumn("prefix", F.xxhash64("prefix", F.pmod(F.xxhash64("tree", "node"), "parts")))
+        pieces.append(dealt.select("node", "tree", "prefix", "guide"))
+    split = pieces[0]
+    for piece in pieces[1:]:
+        split = split.unionByName(piece)
+    split = cut(split, "split")
+    guides = split.select(F.col("guide").alias("node"), "tree", "prefix").distinct()
+    split = split.select("node", "tree", "prefix")
+    guides = guides.join(split, ["node", "tree", "prefix"], "left_anti")
+    return cut(done.unionByName(split).unionByName(guides), "regions")
 
 
 def _agreement(low8: np.ndarray, mine: np.ndarray) -> np.ndarray:

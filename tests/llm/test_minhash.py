@@ -110,3 +110,35 @@ def test_components(spark):
 def test_empty(frame):
     assert minhash.near_duplicates(frame([], TYPES)).count() == 0
     assert [tuple(r) for r in minhash.near_duplicates(frame([(1, None, "", 0)], TYPES)).collect()] == [(1, 0, 1, True)]
+
+
+def test_many_variants_of_one_text(spark):
+    """More variants than a region holds, each with hashes that no other one has: one component."""
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for n in range(4000):
+        text = list(base)
+        text[r.randrange(300)] = f"x{n}"
+        rows.append((n, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    got = minhash.near_duplicates(docs, 5, 0.8, 500).groupBy("component_id").count().collect()
+    assert [tuple(g) for g in got] == [(0, 4000)]
+
+
+def test_no_set_leaves_a_large_region(spark):
+    """Every set of a large region stays in a region of two sets or more in every tree, whatever its hashes."""
+    r = random.Random(6)
+    rows = []
+    for n in range(600):
+        hashes = [k if k % 8 < 3 or r.random() < 0.9 else 1000 + 128 * n + k for k in range(minhash.HASHES)]
+        rows.append((n, b"".join(h.to_bytes(4, "little") for h in hashes)))
+    for n in range(600, 900):  # equal in all hashes
+        rows.append((n, b"".join((7000 + k).to_bytes(4, "little") for k in range(minhash.HASHES))))
+    signed = spark.createDataFrame(rows, "node long, hashes binary").repartition(4)
+    sizes: dict = {}
+    for row in minhash.regions(signed, 64).collect():
+        sizes.setdefault((row["tree"], row["prefix"]), set()).add(row["node"])
+    paired = {(tree, n) for (tree, _), nodes in sizes.items() if len(nodes) > 1 for n in nodes}
+    assert len(paired) == 900 * minhash.TREES
+    assert max(map(len, sizes.values())) <= 2 * 64
