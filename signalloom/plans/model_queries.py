@@ -33,6 +33,9 @@ def _vectors(frame, names, keep=()):
     return series.cut(model.assemble(frame, names).select("axis", "pos", "fr", "is_test", *[named(c) for c in keep], model.FEATURES))
 
 
+#: Forests that a search over folds draws.
+FORESTS = 10
+
 # --- predictors ----------------------------------------------------------------------------
 
 
@@ -40,15 +43,14 @@ def _vectors(frame, names, keep=()):
 def boosted_trees(spark, sf_dir):
     frame, names, spec = _marked_frame(spark, sf_dir)
     data = _vectors(frame, names)
-    params = {**spaces.SINGLE_FIT, "max_depth": 4, "n_estimators": 5}
-    _, predicted = model.fit_predict(data, model.boosted_trees(params, "fr"), ~F.col("is_test"), "fr")
+    _, predicted = model.fit_predict(data, model.boosted_trees(spaces.SINGLE_FIT, "fr"), ~F.col("is_test"), "fr")
     return score.score(predicted, "fr", "y_pred", THRESHOLD, by=spec.keys).summary
 
 
 @query("l02_forest")
 def forest(spark, sf_dir):
     frame, names, spec = _marked_frame(spark, sf_dir, both=True, sizes=())
-    params = {"n_estimators": 10, "max_depth": 6, "min_samples_leaf": 2, "max_features": "sqrt"}
+    params = {"min_samples_leaf": 2, "max_features": "sqrt"}
     _, predicted = model.fit_predict(_vectors(frame, names), model.forest(params, "fr"), ~F.col("is_test"), "fr")
     return score.metrics(predicted, "fr", "y_pred", THRESHOLD, spec.keys)
 
@@ -56,7 +58,7 @@ def forest(spark, sf_dir):
 def _importances(spark, sf_dir):
     frame, names, _ = _marked_frame(spark, sf_dir)
     data = _vectors(frame, names, names)
-    fitted, _ = model.fit_predict(data, model.decision_tree({"max_depth": 6}, "fr"), ~F.col("is_test"), "fr")
+    fitted, _ = model.fit_predict(data, model.decision_tree({}, "fr"), ~F.col("is_test"), "fr")
     return model.importances(spark, fitted, names), data
 
 
@@ -206,21 +208,24 @@ def grid_candidates(spark, sf_dir):
 @query("l08_random_search")
 def random_search(spark, sf_dir):
     marked, spec = _marked_run(spark, sf_dir)
-    # The settings of the full search, but for tree sizes, lags and candidates that fit a small machine.
-    space = {**spaces.SHIFTED_SPACE, "max_depth": search.Whole(3, 4), "n_estimators": search.Choice((3,)),
-             "step_size": search.Whole(2, 4), "scaling": search.Whole(0, 1)}
-    found = search.RandomSearch(space, 3, ["v", "a"], threshold=THRESHOLD, scale_first=["Robust"]).fit_predict(marked, spec, ["v", "a"], "fr")
+    found = search.RandomSearch(spaces.SHIFTED_SPACE, signals=["v", "a"], threshold=THRESHOLD, scale_first=["Robust"]).fit_predict(marked, spec, ["v", "a"], "fr")
     return found.scores
 
 
+def _forests(spark):
+    """The forests that a search over folds compares, drawn from their space."""
+    drawn = search.sample_candidates(spark, spaces.FOREST_SPACE, FORESTS).orderBy("candidate").collect()
+    return [{k: v for k, v in r.asDict().items() if k != "candidate"} for r in drawn]
+
+
 @query("l09_fold_search")
 def fold_search(spark, sf_dir):
     run, spec = run_of(spark, sf_dir)
     frame, names = prepare.model_frame(run, spec, 3, True, ())
     folds = frame.withColumn("fold", split.fold_number(F.col("pos"), F.col("n_rows"), spaces.FOLDS))
     data = series.cut(model.assemble(folds.select("fold", "fr", *[named(n) for n in names]), names))
-    candidates = [{"max_depth": 4, "min_samples_leaf": 2}, {"max_depth": 6, "min_samples_leaf": 4}]
-    found = search.cross_validate(data, model.decision_tree, candidates, "fr")
+    candidates = _forests(spark)
+    found = search.cross_validate(data, model.forest, candidates, "fr", folds=spaces.FOLDS)
     return search.fold_scores(spark, found, candidates)
 
 
@@ -265,8 +270,7 @@ def single_fit(spark, sf_dir):
                 + shift.lag_array_features(["v", "a"], spaces.SINGLE_FIT["step_size"]))
     data = series.cut(model.assemble(series.add_features(run, spec, features), ["v", "a", *[f.name for f in features]])
                       .select("axis", "pos", "fr", "is_test", model.FEATURES))
-    params = {**spaces.SINGLE_FIT, "max_depth": 5, "n_estimators": 5}
-    _, predicted = model.fit_predict(data, model.boosted_trees(params, "fr"), ~F.col("is_test"), "fr")
+    _, predicted = model.fit_predict(data, model.boosted_trees(spaces.SINGLE_FIT, "fr"), ~F.col("is_test"), "fr")
     rated = score.score(predicted.select("axis", "pos", "fr", "y_pred"), "fr", "y_pred", THRESHOLD, by=spec.keys)
     return rated.outliers
 
@@ -280,11 +284,8 @@ def forest_search(spark, sf_dir):
     # Folds are contiguous in the order of the training rows.
     train = series.with_position(data.filter(~F.col("is_test")).drop("is_test"),
                                  series.fit_spec(data, ["axis"], "pos"), "place", "n_train")
-    train = series.cut(train.withColumn("fold", split.fold_number(F.col("place"), F.col("n_train"), 3)))
-    space = {**spaces.FOREST_SPACE, "n_estimators": search.Whole(3, 6), "max_depth": search.Whole(4, 6)}
-    candidates = [{k: v for k, v in r.asDict().items() if k != "candidate"}
-                  for r in search.sample_candidates(spark, space, 2).orderBy("candidate").collect()]
-    found = search.cross_validate(train, model.forest, candidates, "fr", folds=3)
+    train = series.cut(train.withColumn("fold", split.fold_number(F.col("place"), F.col("n_train"), spaces.FOLDS)))
+    found = search.cross_validate(train, model.forest, _forests(spark), "fr", folds=spaces.FOLDS)
     predicted = found.bestModel.transform(data)
     rated = score.score(predicted.select("axis", "pos", "fr", "y_pred"), "fr", "y_pred", THRESHOLD, by=spec.keys)
     return score.worst_rows(rated.predictions, 4)
