@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat, decontaminate, embedding, language, lm, minhash, mixing, suffix, toxicity, warc
+from signalloom.llm import chat, decontaminate, embedding, language, lexical, lm, minhash, mixing, suffix, toxicity, warc
 from signalloom.llm.common import pick, remainder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,26 @@ def op4_minhash_neardup(spark, sf_dir):
 @query("op1_suffix_dedup")
 def op1_suffix_dedup(spark, sf_dir):
     return suffix.remove_repeats(pick(table(spark, sf_dir, "documents"), "doc_id", "text")).drop("kept")
+
+
+LEXICAL_SQL = r"""
+WITH term_rows AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM term_rows GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark),
+held AS (SELECT doc_id, term, count(*) AS tf FROM term_rows SEMI JOIN wanted USING (term) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, totals GROUP BY term),
+scored AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+    FROM wanted JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), totals GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op13_lexical_search", LEXICAL_SQL)
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), pick(table(spark, sf_dir, "benchmark"), "item_id", "text"), k=10)
