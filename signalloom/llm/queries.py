@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat, decontaminate, embedding, language, lexical, lm, minhash, mixing, suffix, toxicity, warc
+from signalloom.llm import chat, decontaminate, embedding, language, lexical, lm, minhash, mixing, secret_scan, suffix, toxicity, warc
 from signalloom.llm.common import pick, remainder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +199,53 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 @query("op13_lexical_search", LEXICAL_SQL)
 def op13_lexical_search(spark, sf_dir):
     return lexical.search(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), pick(table(spark, sf_dir, "benchmark"), "item_id", "text"), k=10)
+
+
+def _secret_sql() -> str:
+    kinds, any_ = secret_scan.KINDS, secret_scan._ANY
+    quoted = lambda p: p.replace("'", "''")
+    found = " UNION ALL ".join(f"""
+    SELECT doc_id, '{kind}' AS kind, {place} AS place, unnest(string_split_regex(t, '{quoted(p)}')) AS gap, unnest(regexp_extract_all(t, '{quoted(p)}', 0)) AS m,
+        unnest(regexp_extract_all(t, '{quoted(p)}', {group})) AS held, unnest(range(len(regexp_extract_all(t, '{quoted(p)}', 0)))) AS i
+    FROM texts""" for place, (kind, p, group) in enumerate([*((k, p, g) for k, (p, g, _) in kinds.items()), (secret_scan.RANDOM, any_, 3)]))
+    least = " ".join(f"WHEN '{k}' THEN {n}" for k, (_, _, n) in kinds.items())
+    k, added = len(secret_scan.ALPHABET), secret_scan.ADDED
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+placed AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i)::BIGINT AS stop FROM found WHERE m IS NOT NULL),
+spans AS (SELECT * FROM placed WHERE length(held) >= CASE kind {least} ELSE {secret_scan.LEAST} END),
+hashes AS (SELECT DISTINCT md5(t) AS h FROM texts JOIN documents USING (doc_id) WHERE text IS NOT NULL ORDER BY h LIMIT {secret_scan.SAMPLE_DOCS}),
+words AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{secret_scan.RUN}{{6,}}')) AS v FROM documents WHERE md5(text) <= (SELECT max(h) FROM hashes)),
+secrets AS (SELECT DISTINCT regexp_replace(held, '[^A-Za-z0-9+/_-]', '', 'g') AS v FROM spans WHERE kind <> '{secret_scan.RANDOM}'),
+samples AS (
+    SELECT 0 AS label, v FROM words WHERE NOT (regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]'))
+    UNION ALL (SELECT 1, v FROM secrets WHERE regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]') ORDER BY md5(v), v LIMIT {secret_scan.SAMPLE_STRINGS})),
+pairs AS (SELECT label, unnest(list_transform(range(1, length(v) + 1), lambda i: struct_pack(a := substr(v, i - 1, CASE WHEN i = 1 THEN 0 ELSE 1 END), b := substr(v, i, 1)))) AS p FROM samples),
+counts AS (SELECT p.a AS a, p.b AS b, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM pairs GROUP BY ALL),
+chars AS (SELECT unnest(string_split('{secret_scan.ALPHABET}', '')) AS c),
+chains AS (SELECT a.c AS a, b.c AS b, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1 FROM (SELECT c FROM chars UNION ALL SELECT '') a CROSS JOIN chars b LEFT JOIN counts ON counts.a = a.c AND counts.b = b.c),
+ratios AS (
+    SELECT a, b, CASE WHEN sum(n0) OVER () > 0 AND sum(n1) OVER () > 0 THEN ln((n1 + {added})::DOUBLE / (sum(n1) OVER w + {added * k})::DOUBLE) - ln((n0 + {added})::DOUBLE / (sum(n0) OVER w + {added * k})::DOUBLE) ELSE 0 END AS r
+    FROM chains WINDOW w AS (PARTITION BY a)),
+runs AS (SELECT DISTINCT m AS v FROM spans WHERE kind = '{secret_scan.RANDOM}'),
+steps AS (SELECT v, unnest(list_transform(range(1, length(v) + 1), lambda i: struct_pack(a := substr(v, i - 1, CASE WHEN i = 1 THEN 0 ELSE 1 END), b := substr(v, i, 1)))) AS p FROM runs),
+judged AS (SELECT v FROM steps JOIN ratios ON a = p.a AND b = p.b GROUP BY v HAVING sum(r) > {secret_scan.MARGIN}),
+kept AS (
+    SELECT doc_id, kind, place, stop - length(m) AS start, kind || ':' || (stop - length(m)) || ':' || stop AS said
+    FROM spans WHERE kind <> '{secret_scan.RANDOM}' OR m IN (SELECT v FROM judged))
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    sha256(coalesce(string_agg(said, ',' ORDER BY start, place) FILTER (kind <> '{secret_scan.RANDOM}'), '')) AS base_sha256,
+    coalesce(string_agg(said, ',' ORDER BY start, place), '') AS spans
+FROM documents LEFT JOIN kept USING (doc_id) GROUP BY doc_id
+"""
+
+
+@query("op12_secret_scan", _secret_sql())
+def op12_secret_scan(spark, sf_dir):
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.fit(secret_scan.labelled(docs.select("text")))).select("doc_id", "spans")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != secret_scan.RANDOM)
+    return found.select("doc_id", *[of(k) for k in secret_scan.KINDS], F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
+                        secret_scan.written(F.col("spans")).alias("spans"))
