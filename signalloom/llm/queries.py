@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalloom.llm import chat, decontaminate, embedding, language, lexical, lm, minhash, mixing, secret_scan, suffix, toxicity, warc
-from signalloom.llm.common import pick, remainder, table, word_count
+from signalloom.llm import alignment, chat, decontaminate, embedding, language, lexical, lm, minhash, mixing, secret_scan, suffix, toxicity, warc
+from signalloom.llm.common import cut, pick, remainder, table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -249,3 +249,14 @@ def op12_secret_scan(spark, sf_dir):
     base = F.filter("spans", lambda s: s["kind"] != secret_scan.RANDOM)
     return found.select("doc_id", *[of(k) for k in secret_scan.KINDS], F.sha2(secret_scan.written(base), 256).alias("base_sha256"),
                         secret_scan.written(F.col("spans")).alias("spans"))
+
+
+#: Folder of the public tokenizers' files; the driver reads them.
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query("op11_tokenizer_alignment")
+def op11_tokenizer_alignment(spark, sf_dir, tokenizers: str = TOKENIZERS):
+    files = alignment.Tokenizers.read(f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
+    aligned = alignment.align(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), files)
+    return alignment.rate(aligned, cut(alignment.pair_counts(aligned, files.n_ids_b()), "pairs"))
