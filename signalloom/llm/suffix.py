@@ -428,6 +428,17 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                "spans": pa.array([r[1] for r in rows], pa.int64()), "kept": pa.array([r[2] for r in rows], pa.binary())})
 
 
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [None if k is None else k.decode("utf-8", "ignore") for k in batch.column("kept").to_pylist()]
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "kept": pa.array(texts, pa.string())})
+
+
+def decoded(found: DataFrame) -> DataFrame:
+    """doc_id, kept as text, of rows of `remove_repeats`; bytes left of a character that a passage cut are dropped."""
+    return found.select("doc_id", "kept").mapInArrow(_decode, "doc_id long, kept string")
+
+
 def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scan of `docs` (doc_id, text), the texts that are the first of their kind, and the runs to remove from these."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
