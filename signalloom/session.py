@@ -68,24 +68,65 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed by `clear_scratch`."""
+    """A fresh path in the shared folder, removed at the end of the innermost `scratch` block, or else by `clear_scratch`."""
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
 
 
+def _remove(entries: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in entries:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            jvm = spark.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class scratch:
+    """Scratch tables made inside the block are removed at its end, but for those of `keep`.
+
+    What is kept reads nothing but its own table, so nothing later needs the removed
+    ones, not even to recover from a lost executor. Kept tables belong to the block
+    around; `clear` removes them once no reader is left. Blocks nest; they are for one
+    thread of the driver.
+    """
+
+    def __init__(self):
+        self.kept: list[tuple[SparkSession, str]] = []
+
+    def __enter__(self) -> scratch:
+        self.start = len(_written)
+        return self
+
+    def keep(self, df: DataFrame, name: str = "kept") -> DataFrame:
+        """Write `df` now and continue from there, after the block too."""
+        out = cut(df, name)
+        self.kept.append(_written.pop())
+        return out
+
+    def __exit__(self, *failure) -> None:
+        mine = _written[self.start :]
+        del _written[self.start :]
+        _remove(mine)
+        _written.extend(self.kept)
+
+    def clear(self) -> None:
+        """Remove the tables of `keep`."""
+        for entry in self.kept:
+            if entry in _written:
+                _written.remove(entry)
+        _remove(self.kept)
+        self.kept = []
+
+
 def clear_scratch() -> None:
     """Remove everything written to scratch paths by this process.
 
     Results that were not read to the end lose what they are read from, so this is for
     the end of a job; it runs by itself when Python ends.
     """
-    while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):  # the JVM may be gone already
-            jvm = spark.sparkContext._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _remove(_written)
+    _written.clear()
     while _made:
         shutil.rmtree(_made.pop(), ignore_errors=True)
 
