@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from signalloom.functions.scalar import named
-from signalloom.operators import lowpass, model, project, quantile, rolling, scale, score, search, sequence, series, shift, split
+from signalloom.operators import lowpass, model, project, quantile, rolling, scale, score, search, sequence, series, shift, split, trees
 from signalloom.plans import prepare, spaces
 from signalloom.plans.clean_queries import OUTLIERS
 from signalloom.plans.feature_queries import _low_pass_sql
@@ -33,6 +33,12 @@ def _vectors(frame, names, keep=()):
     return series.cut(model.assemble(frame, names).select("axis", "pos", "fr", "is_test", *[named(c) for c in keep], model.FEATURES))
 
 
+def _predicted(frame, names, spec):
+    """All rows, predicted by one model that learnt from those outside the test part."""
+    table = trees.binned(frame.withColumn("part", F.col("is_test").cast("int")), names, "fr", ["axis", "pos"], "part")
+    return trees.predictions(table, [trees.replace(spec, held=(1,))]).select("axis", "pos", F.col("y").alias("fr"), "y_pred")
+
+
 #: Forests that a search over folds draws.
 FORESTS = 10
 
@@ -42,8 +48,7 @@ FORESTS = 10
 @query("l01_boosted_trees")
 def boosted_trees(spark, sf_dir):
     frame, names, spec = _marked_frame(spark, sf_dir)
-    data = _vectors(frame, names)
-    _, predicted = model.fit_predict(data, model.boosted_trees(spaces.SINGLE_FIT, "fr"), ~F.col("is_test"), "fr")
+    predicted = _predicted(frame, names, trees.boosted(spaces.SINGLE_FIT))
     return score.score(predicted, "fr", "y_pred", THRESHOLD, by=spec.keys).summary
 
 
@@ -51,8 +56,7 @@ def boosted_trees(spark, sf_dir):
 def forest(spark, sf_dir):
     frame, names, spec = _marked_frame(spark, sf_dir, both=True, sizes=())
     params = {"min_samples_leaf": 2, "max_features": "sqrt"}
-    _, predicted = model.fit_predict(_vectors(frame, names), model.forest(params, "fr"), ~F.col("is_test"), "fr")
-    return score.metrics(predicted, "fr", "y_pred", THRESHOLD, spec.keys)
+    return score.metrics(_predicted(frame, names, trees.forest(params)), "fr", "y_pred", THRESHOLD, spec.keys)
 
 
 def _importances(spark, sf_dir):
@@ -223,10 +227,8 @@ def fold_search(spark, sf_dir):
     run, spec = run_of(spark, sf_dir)
     frame, names = prepare.model_frame(run, spec, 3, True, ())
     folds = frame.withColumn("fold", split.fold_number(F.col("pos"), F.col("n_rows"), spaces.FOLDS))
-    data = series.cut(model.assemble(folds.select("fold", "fr", *[named(n) for n in names]), names))
-    candidates = _forests(spark)
-    found = search.cross_validate(data, model.forest, candidates, "fr", folds=spaces.FOLDS)
-    return search.fold_scores(spark, found, candidates)
+    table = trees.binned(folds, names, "fr", ["axis", "pos"], "fold")
+    return search.fold_search(table, _forests(spark), spaces.FOLDS)
 
 
 @query("l10_best_candidate", sql("run", f"""
@@ -268,10 +270,9 @@ def single_fit(spark, sf_dir):
     run, spec = _marked_run(spark, sf_dir)
     features = (rolling.rolling_bundle("v", "a", spaces.ROLLING_SIZES)
                 + shift.lag_array_features(["v", "a"], spaces.SINGLE_FIT["step_size"]))
-    data = series.cut(model.assemble(series.add_features(run, spec, features), ["v", "a", *[f.name for f in features]])
-                      .select("axis", "pos", "fr", "is_test", model.FEATURES))
-    _, predicted = model.fit_predict(data, model.boosted_trees(spaces.SINGLE_FIT, "fr"), ~F.col("is_test"), "fr")
-    rated = score.score(predicted.select("axis", "pos", "fr", "y_pred"), "fr", "y_pred", THRESHOLD, by=spec.keys)
+    frame = series.add_features(run, spec, features)
+    predicted = _predicted(frame, ["v", "a", *[f.name for f in features]], trees.boosted(spaces.SINGLE_FIT))
+    rated = score.score(predicted, "fr", "y_pred", THRESHOLD, by=spec.keys)
     return rated.outliers
 
 
@@ -280,14 +281,17 @@ def forest_search(spark, sf_dir):
     """Sampled forests compared by k folds of the training rows; the best one's four worst rows over all rows."""
     marked, spec = _marked_run(spark, sf_dir)
     frame, names = prepare.model_frame(marked, spec, 3, True, ())
-    data = series.cut(model.assemble(frame, names).select("axis", "pos", "is_test", "fr", model.FEATURES))
-    # Folds are contiguous in the order of the training rows.
-    train = series.with_position(data.filter(~F.col("is_test")).drop("is_test"),
-                                 series.fit_spec(data, ["axis"], "pos"), "place", "n_train")
-    train = series.cut(train.withColumn("fold", split.fold_number(F.col("place"), F.col("n_train"), spaces.FOLDS)))
-    found = search.cross_validate(train, model.forest, _forests(spark), "fr", folds=spaces.FOLDS)
-    predicted = found.bestModel.transform(data)
-    rated = score.score(predicted.select("axis", "pos", "fr", "y_pred"), "fr", "y_pred", THRESHOLD, by=spec.keys)
+    data = series.cut(frame.select("axis", "pos", "is_test", "fr", *[named(n) for n in names]))
+    # Folds are contiguous in the order of the training rows; test rows are in none.
+    train = series.with_position(data.filter(~F.col("is_test")), series.fit_spec(data, ["axis"], "pos"), "place", "n_train")
+    train = train.withColumn("fold", split.fold_number(F.col("place"), F.col("n_train"), spaces.FOLDS).cast("int")).select("axis", "pos", "fold")
+    marked = data.join(train, ["axis", "pos"], "left")
+    table = trees.binned(marked.withColumn("fold", F.coalesce("fold", F.lit(-1))), names, "fr", ["axis", "pos"], "fold")
+    candidates = _forests(spark)
+    best = search.best_candidate(search.fold_search(table, candidates, spaces.FOLDS, left_out=(-1,)), ["params"], "mean_worst_error").first()["candidate"]
+    refit = trees.replace(trees.forest(candidates[best]), held=(-1,))
+    predicted = trees.predictions(table, [refit]).select("axis", "pos", F.col("y").alias("fr"), "y_pred")
+    rated = score.score(predicted, "fr", "y_pred", THRESHOLD, by=spec.keys)
     return score.worst_rows(rated.predictions, 4)
 
 
