@@ -1,10 +1,12 @@
 """Benchmark decontamination: test passages in documents, up to a budget of errors.
 
 Items and documents are compared as words of letters and digits, in lower case, with
-one space between. Items longer than `PASSAGE` characters are cut into passages of that
-length that overlap by half, the last one ending with the item, so that half an item
-is found as well. A passage of m characters may differ by k = m // `PER_ERROR` inserted,
-deleted or replaced characters. Cut into k + 1 pieces, one piece must occur unchanged
+one space between. An item of at least twice `SHORTEST` characters is cut into passages,
+the last one ending with the item, whose length and distance follow from its own length:
+any half of its characters holds a whole passage, so every half of an item is found. A
+shorter item is one passage, and one of fewer than `LEAST` characters counts only where it
+stands unchanged between word borders. A passage of m characters may differ by
+k = m // `PER_ERROR` inserted, deleted or replaced characters. Cut into k + 1 pieces, one piece must occur unchanged
 (pigeonhole); all pieces are looked up in one pass of the text, and around each hit
 Myers' bit-parallel distance decides whether the passage occurs within its budget.
 The search is exact: every occurrence within the budget is found.
@@ -13,9 +15,8 @@ Documents stay where they are and never meet each other. Items go to the tasks i
 blocks of `block_chars` characters, so memory does not grow with the benchmark; each
 block is one more pass of the texts.
 
-Defined results: null and empty texts hold nothing; null or empty items, and items of
-fewer than `LEAST` characters after normalising, are in no document; equal items are
-all reported, null item ids are not. Repeated documents are answered alike. Other
+Defined results: null and empty texts hold nothing; null items, and items without a
+letter or digit, are in no document; equal items are all reported, null item ids are not. Repeated documents are answered alike. Other
 columns stay, but for `item_ids`, `distances`, `n_matches` and `distance`, which are replaced.
 """
 
@@ -32,8 +33,8 @@ from pyspark.sql import types as T
 
 from signalloom.llm.common import slices
 
-#: Characters of a passage, characters that each allow one error, and of the shortest item that counts.
-PASSAGE, PER_ERROR, LEAST = 160, 16, 32
+#: Most and fewest characters of a passage of a longer item, characters that each allow one error, and of the shortest item that may differ.
+PASSAGE, SHORTEST, PER_ERROR, LEAST = 160, 40, 16, 32
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -43,10 +44,13 @@ def normalise(text: str | None) -> str:
 
 
 def passages(item: str) -> list[str]:
-    if len(item) <= PASSAGE:
+    """Passages of an item such that half of its characters, taken anywhere, hold one of them."""
+    half = len(item) // 2
+    if half < SHORTEST:
         return [item]
-    starts = list(range(0, len(item) - PASSAGE, PASSAGE // 2))
-    return [item[s : s + PASSAGE] for s in [*starts, len(item) - PASSAGE]]
+    size = min(PASSAGE, max(SHORTEST, half * 3 // 5))
+    starts = range(0, len(item) - size, half - size + 1)
+    return [item[s : s + size] for s in [*starts, len(item) - size]]
 
 
 def budget(passage: str) -> int:
@@ -102,14 +106,14 @@ class Benchmark:
         where: dict[str, list] = defaultdict(list)
         for item_id, text in sorted(items, key=lambda x: x[0]):
             clean = normalise(text)
-            if len(clean) < LEAST:
+            if not clean:
                 continue
             for p in passages(clean):
                 if p not in number:
                     number[p] = len(self.texts)
                     self.texts.append(p)
                     self.owners.append([])
-                    for offset, piece in pieces(p):
+                    for offset, piece in pieces(p) if len(p) >= LEAST else [(0, p)]:
                         where[piece].append((number[p], offset))
                 if item_id not in self.owners[number[p]]:
                     self.owners[number[p]].append(item_id)
@@ -132,6 +136,11 @@ class Benchmark:
                 if best.get(number) == 0:
                     continue
                 passage = self.texts[number]
+                if len(passage) < LEAST:
+                    before, after = end - size, end + 1
+                    if (before < 0 or clean[before] == " ") and (after == len(clean) or clean[after] == " "):
+                        best[number] = 0
+                    continue
                 k = budget(passage)
                 start = end - size + 1 - offset - k
                 stop = start + len(passage) + 2 * k

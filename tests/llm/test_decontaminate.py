@@ -23,7 +23,11 @@ def _brute(items, text):
     clean, out = d.normalise(text), {}
     for item, t in items:
         t = d.normalise(t)
-        if item is None or len(t) < d.LEAST:
+        if item is None or not t:
+            continue
+        if len(t) < d.LEAST:
+            if f" {t} " in f" {clean} ":
+                out[item] = 0
             continue
         for p in d.passages(t):
             n = _fewest(p, clean)
@@ -88,8 +92,29 @@ def test_pieces_cover_a_passage():
     for n in (32, 47, 160):
         p = "".join(chr(97 + i % 26) for i in range(n))
         assert "".join(t for _, t in d.pieces(p)) == p and len(d.pieces(p)) == d.budget(p) + 1
-    long = "".join(chr(97 + i % 26) for i in range(333))
-    assert d.passages(long)[-1] == long[-d.PASSAGE:] and all(len(p) == d.PASSAGE for p in d.passages(long))
+    for n in (80, 133, 333, 900):
+        long = "".join(chr(97 + i % 26) for i in range(n))
+        size = min(d.PASSAGE, max(d.SHORTEST, n // 2 * 3 // 5))
+        assert d.passages(long)[-1] == long[-size:] and all(len(p) == size for p in d.passages(long))
+    assert d.passages("a" * 79) == ["a" * 79]
+
+
+def test_every_half_of_an_item_is_found():
+    r = random.Random(11)
+    for n in range(20, 431, 7):
+        item = d.normalise("".join(r.choice("abcdefgh  ") for _ in range(2 * n)))[:n].strip()
+        known = d.Benchmark([(1, item)])
+        assert known.matches(f"before {item} after") == {1: 0}
+        size = len(item) if len(item) < 2 * d.SHORTEST else (len(item) + 1) // 2
+        for start in range(0, len(item) - size + 1):
+            assert known.matches(f"zz {item[start:start + size]} zz").get(1, 99) <= 1, (n, start)
+
+
+def test_short_items_stand_between_word_borders():
+    known = d.Benchmark([(1, "What is the capital of France?"), (2, "yes"), (3, "!!")])
+    assert known.matches("Q: what is the CAPITAL of France") == {1: 0}
+    assert known.matches("what is the capital of frances") == {} and known.matches("eyes yes") == {2: 0}
+    assert known.matches("yes") == {2: 0} and known.matches("yesterday") == {} and known.matches("") == {}
 
 
 def test_empty(spark, frame):
