@@ -101,7 +101,7 @@ def test_pieces_cover_a_passage():
 
 def test_every_half_of_an_item_is_found():
     r = random.Random(11)
-    for n in range(20, 431, 7):
+    for n in (20, 31, 47, 79, 80, 81, 97, 131, 133, 160, 199, 240, 333, 430):
         item = d.normalise("".join(r.choice("abcdefgh  ") for _ in range(2 * n)))[:n].strip()
         known = d.Benchmark([(1, item)])
         assert known.matches(f"before {item} after") == {1: 0}
