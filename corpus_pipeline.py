@@ -7,6 +7,7 @@ removes a stage's tables once the next one has written its result.
 
 Rows are told apart by a label that is their id where the id is theirs alone. Rows that
 share an id, and rows without one, get labels of their own, so none of them stands for another.
+Tables of labels grow with the documents, so rows meet them by sort-merge joins at every size.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with scratch() as scope:
         found = minhash.near_duplicates(docs.select(F.col("label").alias("doc_id"), "text"), SHINGLE, SIMILARITY)
         kept = scope.keep(found.where("kept").select(F.col("doc_id").alias("label")), "kept")
-    return docs.join(kept, "label", "left_semi").select(*COLUMNS)
+    return docs.join(kept.hint("merge"), "label", "left_semi").select(*COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with scratch() as scope:
         found = suffix.remove_repeats(docs.select(F.col("label").alias("doc_id"), "text")).where("n_removed > 0")
         rest = scope.keep(suffix.decoded(found).select(F.col("doc_id").alias("label"), F.col("kept").alias("rest")), "rest")
-    docs = docs.join(rest, "label", "left")
+    docs = docs.join(rest.hint("merge"), "label", "left")
     docs = docs.where(F.col("rest").isNull() | (F.col("rest") != ""))
     shorter = F.col("rest").isNotNull()
     return docs.withColumns({"text": F.coalesce("rest", "text"), "n_chars": F.when(shorter, F.length("rest").cast("long")).otherwise(F.col("n_chars"))}).select(*COLUMNS)
@@ -82,7 +83,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         plan = mixing.mix(docs.select(F.col("label").alias("doc_id"), "source", word_count(F.col("text")).alias("size"))).where("copies > 0")
         plan = scope.keep(plan.select(F.col("doc_id").alias("label"), "size", "source_size", "target", "copies"), "plan")
     plan = plan.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("copies")
-    return docs.join(plan, "label").select(*COLUMNS, "copy", "size", "source_size", "target")
+    return docs.join(plan.hint("merge"), "label").select(*COLUMNS, "copy", "size", "source_size", "target")
 
 
 STAGES = [
