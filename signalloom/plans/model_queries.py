@@ -108,6 +108,79 @@ def stump(spark, sf_dir):
     return _stump(spark, sf_dir, model.decision_tree(_ONE_SPLIT, "fr"))
 
 
+def _tree_sql(rounds: int, depth: int, factor: float, l2: float, start: float, boosted: bool, fair: str = "TRUE", weight=lambda k: "1") -> str:
+    """CTEs of models on `known` (axis, pos, a, s, fr), one level of one tree after the other; the last is `r<rounds>`."""
+    parts = [f"r0 AS (SELECT axis, pos, a, s, fr, CAST({start} AS DOUBLE) AS pred FROM known)"]
+    for k in range(rounds):
+        parts.append(f"t{k}_0 AS MATERIALIZED (SELECT *, 1 AS node, {'pred - fr' if boosted else '-fr'} AS g, CAST({weight(k)} AS DOUBLE) AS w FROM r{k})")
+        for d in range(depth):
+            t = f"t{k}_{d}"
+            cells = " UNION ALL ".join(f"SELECT node, {i} AS feature, {c} AS x, sum(g * w) AS g, sum(w) AS h, count(*) AS n FROM {t} WHERE w > 0 GROUP BY ALL"
+                                       for i, c in enumerate(("a", "s")))
+            parts += [
+                f"c{k}_{d} AS ({cells})",
+                f"""l{k}_{d} AS (
+  SELECT *, sum(g) OVER o AS lg, sum(h) OVER o AS lh, sum(n) OVER o AS ln, sum(g) OVER p AS tg, sum(h) OVER p AS th, sum(n) OVER p AS tn
+  FROM c{k}_{d} WINDOW o AS (PARTITION BY node, feature ORDER BY x), p AS (PARTITION BY node, feature))""",
+                f"""b{k}_{d} AS MATERIALIZED (
+  SELECT node, feature, x FROM (
+    SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, x) AS place FROM (
+      SELECT *, lg * lg / (lh + {l2}) + (tg - lg) * (tg - lg) / (th - lh + {l2}) - tg * tg / (th + {l2}) AS gain
+      FROM l{k}_{d} WHERE ln < tn AND {fair})) WHERE place = 1 AND gain > {trees.GAIN})""",
+                f"""t{k}_{d + 1} AS MATERIALIZED (
+  SELECT {t}.* REPLACE (CASE WHEN b.node IS NULL THEN {t}.node ELSE 2 * {t}.node + CAST(CASE feature WHEN 0 THEN a ELSE s END > b.x AS INTEGER) END AS node)
+  FROM {t} LEFT JOIN b{k}_{d} b ON b.node = {t}.node)"""]
+        parts += [f"v{k} AS (SELECT node, -sum(g * w) / (sum(w) + {l2}) AS value FROM t{k}_{depth} WHERE w > 0 GROUP BY node)",
+                  f"r{k + 1} AS (SELECT axis, pos, a, s, fr, pred + {factor} * value AS pred FROM t{k}_{depth} JOIN v{k} USING (node))"]
+    return ",\n".join(parts)
+
+
+_KNOWN = "known AS (SELECT axis, pos, a, floor(v / 40) AS s, fr FROM run WHERE a IS NOT NULL AND v IS NOT NULL AND fr IS NOT NULL),\n"
+_LEAVES = f"SELECT {sql_rnd('pred')} AS y_pred, count(*) AS n_rows, {sql_rnd('sum(fr)', 3)} AS sum_fr FROM {{last}} GROUP BY 1"
+
+
+def _leaves(spark, sf_dir, spec):
+    """Rows by the prediction they get."""
+    run, _ = run_of(spark, sf_dir, columns=("v", "a", "fr"))
+    known = run.select("axis", "pos", "a", F.floor(F.col("v") / 40).alias("s"), "fr").dropna()
+    found = trees.predictions(trees.binned(known, ["a", "s"], "fr", ["axis", "pos"]), [spec])
+    return found.groupBy(rnd("y_pred").alias("y_pred")).agg(F.count(F.lit(1)).alias("n_rows"), rnd(F.sum("y"), 3).alias("sum_fr"))
+
+
+_TWO_ROUNDS = {"n_estimators": 2, "max_depth": 2, "learning_rate": 0.3, "min_child_weight": 5}
+
+
+@query("l01c_two_rounds", sql("run", _LEAVES.format(last="r2"), more=_KNOWN + _tree_sql(2, 2, 0.3, 1.0, 0.5, True, "lh >= 5 AND th - lh >= 5")))
+def two_rounds(spark, sf_dir):
+    """Two boosted trees of depth 2 on all columns."""
+    return _leaves(spark, sf_dir, trees.boosted(_TWO_ROUNDS))
+
+
+def _hash_sql(x: str, *keys: int) -> str:
+    """The engine's hash of a row's number and keys, in 128-bit arithmetic."""
+    whole, half = 1 << 64, lambda v: f"CAST('{v}' AS UHUGEINT)"
+    for k in keys:
+        salt = (k * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % whole
+        for factor, shift in ((0xBF58476D1CE4E5B9, 31), (0x94D049BB133111EB, 29)):
+            x = f"((xor({x}, {half(salt)}) * {half(factor)}) % {half(whole)})" if shift == 31 else f"(({x} * {half(factor)}) % {half(whole)})"
+            x = f"(SELECT xor(y, y // {half(1 << shift)}) FROM (SELECT {x} AS y))"
+    return x
+
+
+def _bootstrap_sql(k: int) -> str:
+    """How often a tree's sample takes a row."""
+    number = "CAST(CAST('0x' || substr(md5(concat_ws('-', axis, pos)), 1, 15) AS UBIGINT) AS UHUGEINT)"
+    chances = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(n + 1)) for n in range(9)]
+    steps = " + ".join(f"CAST(u >= CAST('{c!r}' AS DOUBLE) AS INTEGER)" for c in chances)
+    return f"(SELECT {steps} FROM (SELECT CAST({_hash_sql(number, 1, 4, k)} // CAST('2048' AS UHUGEINT) AS DOUBLE) / 9007199254740992 AS u))"
+
+
+@query("l02c_three_trees", sql("run", _LEAVES.format(last="r3"), more=_KNOWN + _tree_sql(3, 2, 1 / 3, 0.0, 0.0, False, "ln >= 3 AND tn - ln >= 3 AND tn >= 40", _bootstrap_sql)))
+def three_trees(spark, sf_dir):
+    """A forest of three bootstrapped trees of depth 2."""
+    return _leaves(spark, sf_dir, trees.forest({"n_estimators": 3, "max_depth": 2, "min_samples_leaf": 3, "min_samples_split": 40}))
+
+
 @query("o06_top_features")
 def top_features(spark, sf_dir):
     return model.top_features(_importances(spark, sf_dir)[0], 10)
