@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom.functions.scalar import absolute_error, exceeds, named
@@ -46,10 +46,24 @@ def outliers(df: DataFrame, error: str = "err", threshold: float = 200.0, pos: s
     return ranked(over, [named(error).desc(), named(pos).asc()], "rank", by)
 
 
+#: Ranks up to which Spark cuts groups down before they are shuffled (spark.sql.optimizer.windowGroupLimitThreshold).
+PRUNED = 1000
+
+
 def worst_rows(df: DataFrame, k: int, error: str = "err", pos: str = "pos", by: Sequence[str] = ()) -> DataFrame:
-    """The k rows of largest error with their `rank`, overall or per group, by one distributed sort for any k."""
+    """The k rows of largest error with their `rank`, overall or per group.
+
+    Tasks hand on k rows at most, overall or of each group; only for more than `PRUNED`
+    rows of each group, all rows are sorted, in a distributed way.
+    """
     known = df.filter(named(error).isNotNull() & ~F.isnan(named(error)))
-    return ranked(known, [named(error).desc(), named(pos).asc()], "rank", by).filter(F.col("rank") <= k)
+    order = [named(error).desc(), named(pos).asc()]
+    if by and k > PRUNED:
+        return ranked(known, order, "rank", by).filter(F.col("rank") <= k)
+    if not by:
+        known = known.orderBy(*order).limit(k)
+    place = F.row_number().over(Window.partitionBy(*[named(c) for c in by]).orderBy(*order))
+    return known.withColumn("rank", place).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @dataclass(frozen=True)

@@ -245,6 +245,13 @@ def test_score_rules(spark):
     assert again["b"].worst_error is None and again["b"].n_over == 0
 
 
+def test_worst_rows_are_cut_down_in_the_tasks(spark):
+    df = spark.range(1000).selectExpr("id AS pos", "id % 5 AS g", "CAST(id AS DOUBLE) AS err").repartition(4)
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan(score.worst_rows(df, 4)) and "rangepartitioning" not in plan(score.worst_rows(df, 4))
+    assert plan(score.worst_rows(df, 4, by=["g"])).count("WindowGroupLimit") == 2
+
+
 def test_worst_rows(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("pos"), (F.col("id") % 50).cast("double").alias("err"))
     assert [r.pos for r in score.worst_rows(df, 4).orderBy("rank").collect()] == [49, 99, 149, 199]
