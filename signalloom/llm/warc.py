@@ -1,8 +1,8 @@
 """WARC archives of pages, each record a Zstandard frame under the archive's dictionary.
 
 An archive begins with a skippable frame (magic 0x184D2A5D) that holds the dictionary,
-built from the archive's own first records; every record after it is one frame, so it
-can be read alone at its offset. Tasks write archives straight to the shared folder,
+built from the archive's own first records (long ones in slices); every record after it is
+one frame, so it can be read alone at its offset, and reading tasks share an archive. Tasks write archives straight to the shared folder,
 a new one after `most_bytes`; only the manifest goes through Spark. File names hold
 the attempt, so a task that is run again never touches an archive of the manifest.
 
@@ -12,7 +12,9 @@ page_id is a response, the others are revisits that name it.
 Defined results: null html is an empty payload, a null url is left out, line breaks in
 urls are percent-encoded. Null page_ids are archived without one, as responses only
 if no page with an id has the payload. Rows that repeat the smallest page_id are all
-responses. An empty table gives no archive; other columns are ignored.
+responses, and rows that repeat page_id, url and payload have one record id. Only an
+archive with less than `LEAST_SAMPLE` bytes of records goes without a dictionary. An
+empty table gives no archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from signalloom.llm.common import cut, scratch_path
 MAGIC = 0x184D2A5D
 #: Bytes of the first records that the dictionary of an archive is built from, and its most bytes.
 SAMPLE_BYTES, DICT_BYTES = 2 << 20, 32 << 10
+#: Bytes of records that make a dictionary worth its place, most bytes of a sample, and bytes of an archive that one task reads.
+LEAST_SAMPLE, SLICE, READ_BYTES = 8 << 10, 16 << 10, 16 << 20
 DATE = "2000-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 MANIFEST = "page_id long, record_type string, file string, offset long, length long"
@@ -42,17 +46,24 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
+def record_id(kind: str, page_id: int | None, digest: bytes, url: str | None = None) -> str:
+    """A response's id follows from what a revisit knows of it."""
+    told = f"{kind}/{page_id}/{base32(digest)}" + (f"/{url}" if kind == "revisit" else "")
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, told)}>"
+
+
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None) -> bytes:
     """One WARC/1.1 record; a revisit holds no payload."""
     kind = "response" if refers_to is None else "revisit"
     block = HTTP % len(payload) + (payload if refers_to is None else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{url}/{kind}')}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(kind, page_id, digest, url)}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\r" in url or "\n" in url else "WARC-Target-URI: " + url)
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+                  f"WARC-Refers-To: {record_id('response', refers_to, digest)}", f"X-Refers-To-Page-ID: {refers_to}"]
     lines += [f"WARC-Payload-Digest: sha1:{base32(digest)}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -73,16 +84,23 @@ def parse_record(data: bytes) -> dict:
             "payload_digest": digest, "refers_to": number("X-Refers-To-Page-ID"), "payload": payload}
 
 
-def build_dictionary(samples: list[bytes]) -> bytes:
-    """A Zstandard dictionary from records, or nothing where they are too few for one."""
+def build_dictionary(records: list[bytes]) -> bytes:
+    """A Zstandard dictionary from slices of records, or nothing where they are too few bytes for one."""
     import zstandard
 
-    size = min(DICT_BYTES, sum(map(len, samples)) // 8)
-    if len(samples) < 8 or size < 1024:
+    samples, held = [], 0
+    for r in records:
+        for k in range(0, len(r), SLICE):
+            if held < SAMPLE_BYTES:
+                samples.append(r[k : k + SLICE])
+                held += len(samples[-1])
+    if held < LEAST_SAMPLE:
         return b""
+    if len(samples) < 8:  # the builder wants some samples, however short
+        samples = [x[k : k + held // 16] for x in samples for k in range(0, len(x), held // 16)]
     for segment in (512, 64):  # long segments suit pages, short ones suit a few short records
         try:
-            return zstandard.train_dictionary(size, samples, k=segment, d=8).as_bytes()
+            return zstandard.train_dictionary(min(DICT_BYTES, held // 8), samples, k=segment, d=8).as_bytes()
         except zstandard.ZstdError:
             continue
     return b""
@@ -175,24 +193,33 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     return folder, cut(rows.mapInArrow(_writer(folder, level, most_bytes), MANIFEST), "manifest")
 
 
-def read_frames(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The records of an archive, one after the other, with no more of it in memory than one."""
+def _dictionary(stream) -> bytes:
+    """What the skippable frame at the start of an archive holds, if there is one."""
+    head = stream.read(8)
+    if len(head) < 8 or struct.unpack("<I", head[:4])[0] != MAGIC:
+        return b""
+    return stream.read(struct.unpack("<I", head[4:8])[0])
+
+
+def read_frames(stream, chunk: int = 1 << 20, start: int | None = None, stop: int | None = None) -> Iterator[bytes]:
+    """The records of an archive from offset `start` to `stop`, one after the other, with no more of it in memory than one."""
     import zstandard
 
-    data = stream.read(max(chunk, 8))
-    decompressor = zstandard.ZstdDecompressor()
-    if len(data) >= 8 and struct.unpack("<I", data[:4])[0] == MAGIC:
-        size = struct.unpack("<I", data[4:8])[0]
-        while len(data) < 8 + size:
-            data += stream.read(chunk)
-        decompressor, data = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size])), data[8 + size :]
-    while data := data or stream.read(chunk):
+    stream.seek(0)
+    made = _dictionary(stream)
+    options = {"dict_data": zstandard.ZstdCompressionDict(made)} if made else {}
+    decompressor = zstandard.ZstdDecompressor(**options)
+    at = start if start is not None else 8 + len(made) if made else 0
+    stream.seek(at)
+    data = b""
+    while (stop is None or at < stop) and (data := data or stream.read(chunk)):
         frame, parts = decompressor.decompressobj(), []
         while not frame.eof:
             if not data and not (data := stream.read(chunk)):
                 raise ValueError("the archive ends inside a record")
             parts.append(frame.decompress(data))
-            data = frame.unused_data if frame.eof else b""
+            rest = frame.unused_data if frame.eof else b""
+            at, data = at + len(data) - len(rest), rest
         yield b"".join(parts)
 
 
@@ -202,10 +229,10 @@ def _reader(folder: str, payloads: bool):
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()),
                             ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         for batch in batches:
-            for name in batch.column("file").to_pylist():
-                with filesystem.open_input_stream(f"{path}/{name}", compression=None) as stream:
+            for name, start, stop in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "stop")), strict=True):
+                with filesystem.open_input_file(f"{path}/{name}") as stream:
                     found, held = [], 0
-                    for data in read_frames(stream):
+                    for data in read_frames(stream, start=start, stop=stop):
                         record = parse_record(data)
                         held += len(record["payload"] or b"")
                         found.append(record if payloads else record | {"payload": None})
@@ -217,6 +244,12 @@ def _reader(folder: str, payloads: bool):
     return read
 
 
-def read_archives(folder: str, manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records of the archives that `manifest` names, read from the archives; every payload is held against its digest."""
-    return manifest.select("file").distinct().mapInArrow(_reader(folder, payloads), RECORDS)
+def read_archives(folder: str, manifest: DataFrame, payloads: bool = True, read_bytes: int = READ_BYTES, most_tasks: int = 10_000) -> DataFrame:
+    """The records of the archives that `manifest` names, read from the archives; every payload is held against its digest.
+
+    Archives are dealt in ranges of whole records that begin within `read_bytes` of each other, one task a range up to `most_tasks`.
+    """
+    ends = F.col("offset") + F.col("length")
+    ranges = manifest.groupBy("file", F.floor(F.col("offset") / read_bytes).alias("cell")).agg(F.min("offset").alias("start"), F.max(ends).alias("stop"))
+    ranges = cut(ranges.select("file", "start", "stop"), "ranges")
+    return ranges.repartition(max(1, min(ranges.count(), most_tasks))).mapInArrow(_reader(folder, payloads), RECORDS)

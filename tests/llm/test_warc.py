@@ -72,3 +72,31 @@ def test_empty_and_rollover(frame, tmp_path):
     folder, manifest = warc.write_archives(frame(_pages(50), TYPES, 1), str(tmp_path / "many"), most_bytes=5000)
     assert manifest.select("file").distinct().count() > 5
     assert warc.read_archives(folder, manifest).count() == 56
+
+
+def test_reading_tasks_grow_with_the_archives(frame, tmp_path):
+    folder, manifest = warc.write_archives(frame(_pages(), TYPES, 4), str(tmp_path / "dealt"))
+    size = manifest.agg({"length": "sum"}).first()[0]
+    files = manifest.select("file").distinct().count()
+    want = sorted(map(str, warc.read_archives(folder, manifest).collect()))
+    for parts in (1, 20):
+        read = warc.read_archives(folder, manifest, read_bytes=size // parts)
+        n = read.rdd.getNumPartitions()
+        assert n >= files and (parts == 1 or n > 15)
+        assert sorted(map(str, read.collect())) == want
+
+
+def test_a_long_first_record_does_not_cost_the_dictionary(frame, tmp_path):
+    rows = [(0, "u", "long page " * 300_000, None, None), *[(i, "u", f"<p>{i} some words of a short page</p>" * 20, None, None) for i in range(1, 60)]]
+    folder, manifest = warc.write_archives(frame(rows, TYPES, 1), str(tmp_path / "long"))
+    for r in manifest.select("file").distinct().collect():
+        with open(f"{folder}/{r['file']}", "rb") as stream:
+            assert warc._dictionary(stream)
+    assert warc.read_archives(folder, manifest).count() == 60
+
+
+def test_revisits_name_the_record_they_refer_to():
+    digest = hashlib.sha1(b"x").digest()
+    head = lambda data: dict(line.split(": ", 1) for line in data.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+    first, again = head(warc.record_bytes(3, "a", b"x", digest, None)), head(warc.record_bytes(9, "b", b"x", digest, 3))
+    assert again["WARC-Refers-To"] == first["WARC-Record-ID"] != again["WARC-Record-ID"]
