@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signalloom.operators import lowpass, quantile, rolling, scale, score, sequence, series, shift, split
@@ -279,6 +283,66 @@ def low_pass(spark, sf_dir):
     return out.select("axis", "pos", rnd("filtered").alias("filtered"))
 
 
+_ORDERS = {"o1_low": (1, 1e-4), "o2": (2, 0.1), "o3": (3, 0.1), "o4": (4, 0.1), "o4_low": (4, 1e-4)}
+
+
+def _section(order: int, cutoff: float) -> list[float | None]:
+    """Constants of a chain of integrators: one of first order for odd orders, then up to two of second order."""
+    g = math.tan(math.pi * cutoff / 2)
+    out = [g / (1 + g) if order % 2 else None]
+    for j in range(2):
+        angle = math.pi * (2 * j + 1) / (2 * order) if order % 2 == 0 else math.pi * (j + 1) / order
+        a = 1 / (1 + g * (g + 2 * math.cos(angle)))
+        out += [a, g * a, g * g * a] if j < order // 2 else [None] * 3
+    return out
+
+
+def _chain_sql(name: str, rows: str, start: str, step: int) -> str:
+    """One pass, row by row, over `rows` (f, axis, p, x) from each series' row `start`, in the steady state of its value."""
+    def second(i: str, x: str) -> str:
+        return f"""{x} - r.z{i} AS rest{i}, c.a{i} * r.w{i} + c.b{i} * rest{i} AS u{i}, r.z{i} + c.b{i} * r.w{i} + c.c{i} * rest{i} AS o{i},
+               2 * u{i} - r.w{i} AS nw{i}, 2 * o{i} - r.z{i} AS nz{i}, coalesce(o{i}, {x}) AS y{i}"""
+
+    return f"""
+{name}_start AS MATERIALIZED (SELECT f, axis, p, x FROM {rows} JOIN (SELECT f, axis, {start}(p) AS p FROM {rows} GROUP BY f, axis) USING (f, axis, p)),
+{name} AS (
+  SELECT f, axis, p - {step} AS p, x AS s, CAST(0 AS DOUBLE) AS w1, x AS z1, CAST(0 AS DOUBLE) AS w2, x AS z2, x AS y FROM {name}_start
+  UNION ALL
+  SELECT f, axis, p, ns, nw1, nz1, nw2, nz2, y2 FROM (
+    SELECT e.f, e.axis, e.p, (e.x - r.s) * c.h AS v0, coalesce(v0 + r.s, e.x) AS y0, y0 + v0 AS ns,
+           {second('1', 'y0')}, {second('2', 'y1')}
+    FROM {name} r JOIN {rows} e ON e.f = r.f AND e.axis = r.axis AND e.p = r.p + {step} JOIN constants c ON c.f = e.f))"""
+
+
+def _orders_sql() -> str:
+    number = lambda v: "CAST(NULL AS DOUBLE)" if v is None else f"'{v!r}'::DOUBLE"
+    rows = ", ".join(f"('{n}', CAST({3 * (o + 1)} AS BIGINT), {', '.join(map(number, _section(o, c)))})" for n, (o, c) in _ORDERS.items())
+    return f"""
+constants AS MATERIALIZED (SELECT * FROM (VALUES {rows}) AS t(f, edge, h, a1, b1, c1, a2, b2, c2)),
+given AS MATERIALIZED (SELECT axis, pos, n_rows AS n, fm, first_value(fm) OVER w AS x0, last_value(fm) OVER w AS xn FROM run
+          WINDOW w AS (PARTITION BY axis ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ext AS MATERIALIZED (
+  SELECT f, axis, pos + edge AS p, fm AS x FROM given, constants
+  UNION ALL SELECT f, axis, edge - pos, 2 * x0 - fm FROM given, constants WHERE pos BETWEEN 1 AND edge
+  UNION ALL SELECT f, axis, 2 * (n - 1) - pos + edge, 2 * xn - fm FROM given, constants WHERE pos BETWEEN n - 1 - edge AND n - 2),
+{_chain_sql('there', 'ext', 'min', 1)},
+passed AS MATERIALIZED (SELECT f, axis, p, y AS x FROM there WHERE p >= 0),
+{_chain_sql('back', 'passed', 'max', -1)}"""
+
+
+@query("w11b_low_pass_orders", sql("run", f"""
+SELECT back.f AS filter, back.axis, run.pos, {sql_rnd('back.y')} AS filtered
+FROM back JOIN constants USING (f) JOIN run ON run.axis = back.axis AND run.pos = back.p - edge""",
+    more=_orders_sql()).replace("WITH ", "WITH RECURSIVE ", 1))
+def low_pass_orders(spark, sf_dir):
+    """Orders one to four, at a tenth and a ten-thousandth of the Nyquist frequency."""
+    run, spec = run_of(spark, sf_dir, columns=("fm", "fr"))
+    out = [lowpass.low_pass(run.select("axis", "pos", "fm"), spec, "fm", cutoff, "filtered", order=order)
+           .select(F.lit(name).alias("filter"), "axis", "pos", rnd("filtered").alias("filtered"))
+           for name, (order, cutoff) in _ORDERS.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("d02_raw_and_filtered", sql("run", f"""
 SELECT run.axis, cycle, round(fm, 6) AS raw, {sql_rnd('pass2.x')} AS filtered
 FROM run JOIN pass2 ON pass2.axis = run.axis AND pass2.p = run.pos + 6""",
