@@ -8,10 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.operators import lowpass, quantile, rolling, scale, score, sequence, series, shift, split
+from signalloom.operators import lowpass, quantile, rolling, runs, scale, score, sequence, series, shift, split
 from signalloom.plans.registry import (RUN, THRESHOLD, predicted_of, query, rnd, run_of, signals, spec_for, sql, sql_rnd,
                                        table)
 from signalloom.functions import scalar
+from signalloom.functions.scalar import named
+from signalloom.plans import prepare
 from signalloom.plans.clean_queries import OUTLIERS, _SPLIT
 
 # --- aggregates ----------------------------------------------------------------------------
@@ -123,6 +125,35 @@ def lag_arrays(spark, sf_dir):
                        F.element_at("v_lags", 1).alias("nearest"), F.element_at("v_lags", 75).alias("farthest"))
 
 
+_PROGRAM = "'N' || CAST((cycle // 50) * (cycle // 50) % 3 AS VARCHAR)"
+_RUNS = f"""turned AS (
+  SELECT axis, cycle, v, a, fm - fb AS fr, {_PROGRAM} AS program, row_number() OVER s AS place,
+         coalesce({_PROGRAM} IS DISTINCT FROM lag({_PROGRAM}) OVER s AND row_number() OVER s > 1, false) AS turn
+  FROM filled WINDOW s AS (PARTITION BY axis ORDER BY cycle)),
+numbered AS (SELECT *, CAST(count(*) FILTER (WHERE turn) OVER (PARTITION BY axis ORDER BY place) AS BIGINT) AS run FROM turned),
+runs AS (SELECT *, row_number() OVER (PARTITION BY axis, run ORDER BY place) - 1 AS run_pos FROM numbered)"""
+
+
+def _runs_of(spark, sf_dir):
+    """All filled rows by runs of one program number, some longer than others."""
+    spec = spec_for(spark, sf_dir, ("axis",))
+    step = F.expr("cycle div 50")
+    rows = prepare.filled(signals(spark, sf_dir).select("axis", "cycle", "v", "a", "fm", "fb"), spec)
+    rows = rows.withColumns({"program": F.concat(F.lit("N"), (step * step % 3).cast("string")), "fr": F.col("fm") - F.col("fb")})
+    return runs.with_run(rows, spec, ["program"]).drop("__bucket"), runs.run_spec(spec)
+
+
+@query("w01c_lags_by_run", sql("filled", """
+SELECT axis, run, run_pos, program, v, lag(v, 1, CAST(0 AS DOUBLE)) OVER w AS "v_-1", lag(v, 5, CAST(0 AS DOUBLE)) OVER w AS "v_-5",
+       lag(a, 1, CAST(0 AS DOUBLE)) OVER w AS "a_-1", lag(a, 5, CAST(0 AS DOUBLE)) OVER w AS "a_-5"
+FROM runs WINDOW w AS (PARTITION BY axis, run ORDER BY run_pos)""", more=_RUNS))
+def lags_by_run(spark, sf_dir):
+    """Lags that never reach into another measurement run."""
+    numbered, spec = _runs_of(spark, sf_dir)
+    wide = shift.add_shifts(numbered.select("axis", "run", "run_pos", "program", "v", "a"), spec, ["v", "a"], 5, pos="run_pos")
+    return wide.select("axis", "run", "run_pos", "program", "v", *[named(f"{c}_-{k}") for c in "va" for k in (1, 5)])
+
+
 @query("w02_lags_and_leads", sql("run", f"""
 SELECT axis, pos, v, a, {_lag_sql(('v', 'a'), 8, True)} FROM run WINDOW w AS (PARTITION BY axis ORDER BY pos)"""))
 def lags_and_leads(spark, sf_dir):
@@ -227,6 +258,23 @@ def supervised_windows(spark, sf_dir):
                       F.round(sum_a, 4).alias("sum_a"), F.round("fr", 6).alias("fr"))
 
 
+@query("w08b_windows_by_run", sql("filled", """
+SELECT axis, run, run_pos, CAST(8 AS INTEGER) AS size, round(weighted, 4) AS weighted, round(sum_a, 4) AS sum_a, round(fr, 6) AS fr FROM (
+  SELECT axis, run, run_pos, fr,
+         list_sum(list_transform(list(coalesce(v, 0)) OVER w, lambda x, i: x * i)) AS weighted, sum(a) OVER w AS sum_a
+  FROM runs WINDOW w AS (PARTITION BY axis, run ORDER BY run_pos ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING))
+WHERE run_pos >= 8""", more=_RUNS))
+def windows_by_run(spark, sf_dir):
+    """Windows of eight rows of one measurement run."""
+    numbered, spec = _runs_of(spark, sf_dir)
+    out = sequence.supervised_windows(numbered, spec, ["v", "a"], "fr", 8, "run_pos")
+    weighted = F.aggregate(F.transform("window", lambda r, i: F.coalesce(r["v"], F.lit(0.0)) * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    sum_a = F.when(F.exists("window", lambda r: r["a"].isNotNull()),
+                   F.aggregate("window", F.lit(0.0), lambda s, r: s + F.coalesce(r["a"], F.lit(0.0))))
+    return out.select("axis", "run", "run_pos", F.size("window").alias("size"), F.round(weighted, 4).alias("weighted"),
+                      F.round(sum_a, 4).alias("sum_a"), F.round("fr", 6).alias("fr"))
+
+
 @query("w09_multistep_windows", sql("run", """
 SELECT axis, pos, round(in_sum, 4) AS in_sum, round(out_sum, 4) AS out_sum, first_in, last_out FROM (
   SELECT axis, pos, n_rows,
