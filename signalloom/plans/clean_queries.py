@@ -83,6 +83,15 @@ def prediction_sink_letters(spark, sf_dir):
     return read.select("axis", "pos", rnd("y_pred").alias("y_pred"))
 
 
+@query("s03c_predictions_in_order", sql("pred", f"SELECT axis, pos, {sql_rnd('y_pred')} AS y_pred FROM pred"))
+def predictions_in_order(spark, sf_dir):
+    """One number a line; the position is the line."""
+    path = scratch_path(spark, "predictions")
+    csv.write_predictions(predicted_of(spark, sf_dir)[0], path, in_order=True)
+    read = csv.scan_numbers(spark, path, {"y_pred": "double"}, {"axis": "int"}, line="pos")
+    return read.select("axis", "pos", rnd("y_pred").alias("y_pred"))
+
+
 @query("s04_outlier_sink", sql("pred", "SELECT axis, rank, pos FROM outliers", more=OUTLIERS))
 def outlier_sink(spark, sf_dir):
     path = scratch_path(spark, "outliers")
@@ -97,6 +106,15 @@ def outlier_sink_letters(spark, sf_dir):
     return csv.scan_numbers(spark, path, {"rank": "bigint", "pos": "bigint"}, {"axis": "string"})
 
 
+@query("s04c_outliers_in_order", sql("pred", f"SELECT {_LETTERS} AS axis, rank, pos FROM outliers", more=OUTLIERS))
+def outliers_in_order(spark, sf_dir):
+    """One position a line, worst first; the rank is the line, and lettered axes are the folders."""
+    path = scratch_path(spark, "outliers")
+    csv.write_outliers(_lettered(_outliers(spark, sf_dir)), path, in_order=True)
+    read = csv.scan_numbers(spark, path, {"pos": "bigint"}, {"axis": "string"}, line="line")
+    return read.select("axis", (F.col("line") + 1).alias("rank"), "pos")
+
+
 _COLUMNS = [("series", "string"), ("axis", "int"), ("cycle", "bigint"), ("ts", "timestamp_ntz"), ("tag", "string"),
             ("v", "double"), ("a", "double"), ("fm", "double"), ("fb", "double")]
 
@@ -342,6 +360,38 @@ def comparison(spark, sf_dir):
     return diag.comparison(predicted, "fr", "y_pred", _KINDS, THRESHOLD, ["axis"]).withColumn("y", rnd("y"))
 
 
+_BASE, _FAN = 16, 4
+_CELL_ENDS = "count(*) AS n_rows, " + ", ".join(f"{sql_rnd(f'{f}({c})')} AS {c}_{f}" for c in ("fr", "y_pred") for f in ("min", "max"))
+
+
+def _pyramid(spark, sf_dir):
+    predicted, _ = predicted_of(spark, sf_dir)
+    return diag.pyramid(predicted, ["fr", "y_pred"], ["axis"], "pos", _BASE, _FAN)
+
+
+def _rounded_ends(cells):
+    return cells.withColumns({f"{c}_{f}": rnd(f"{c}_{f}") for c in ("fr", "y_pred") for f in ("min", "max")})
+
+
+@query("d01b_pyramid", sql("pred", f"""
+SELECT axis, level, pos // width AS cell, {_CELL_ENDS} FROM pred, levels GROUP BY axis, level, pos // width""", more=f"""levels AS (
+  SELECT CAST(l AS INTEGER) AS level, CAST({_BASE} * pow({_FAN}, l) AS BIGINT) AS width FROM range(0, 20) t(l)
+  WHERE l = 0 OR (SELECT max(pos) FROM pred) // {_BASE} // CAST(pow({_FAN}, l - 1) AS BIGINT) > 0)"""))
+def pyramid(spark, sf_dir):
+    """Extremes of measured and predicted values in all levels of a zoomable figure."""
+    return _rounded_ends(_pyramid(spark, sf_dir))
+
+
+@query("d01c_zoom", sql("pred", f"""
+SELECT axis, CAST(1 AS INTEGER) AS level, pos // 64 AS cell, pos // 64 * 64 AS start, pos // 64 * 64 + 64 AS stop, {_CELL_ENDS}
+FROM pred WHERE pos // 64 BETWEEN 50 // 64 AND 349 // 64 GROUP BY axis, pos // 64"""))
+def zoom(spark, sf_dir):
+    """The figure of positions 50 to 349 in ten cells at most, read from a written pyramid."""
+    path = scratch_path(spark, "pyramid")
+    diag.write_pyramid(_pyramid(spark, sf_dir), path, ["axis"])
+    return _rounded_ends(diag.zoomed(spark.read.parquet(path), 50, 350, 10, _BASE, _FAN))
+
+
 @query("d03_scatter", sql("pred", """
 SELECT axis, CAST(floor(fr / 10) AS BIGINT) AS x_cell, CAST(floor(y_pred / 10) AS BIGINT) AS y_cell, count(*) AS n_rows
 FROM pred GROUP BY ALL"""))

@@ -14,6 +14,8 @@ from signalloom.plans.registry import (RUN, THRESHOLD, predicted_of, query, rnd,
 from signalloom.functions import scalar
 from signalloom.functions.scalar import named
 from signalloom.plans import prepare
+from signalloom.session import scratch_path
+from signalloom.sources import csv
 from signalloom.plans.clean_queries import OUTLIERS, _SPLIT
 
 # --- aggregates ----------------------------------------------------------------------------
@@ -425,6 +427,17 @@ def position_by_sort(spark, sf_dir):
     return series.position_by_sort(signals(spark, sf_dir).select("axis", "cycle", "tag", "fm"), spec).select("axis", "cycle", "pos")
 
 
+@query("o01c_file_order", sql("sig", """
+SELECT row_number() OVER (ORDER BY cycle) - 1 AS pos, cycle // 10 AS idx, cycle, tag, v FROM sig"""))
+def file_order(spark, sf_dir):
+    """Positions by the order of lines in the files, where the index repeats and tells no order."""
+    path = scratch_path(spark, "signals")
+    rows = signals(spark, sf_dir).select("cycle", F.expr("cycle div 10").alias("idx"), "tag", "v")
+    csv.write_signals(rows.select("idx", F.col("cycle").alias("CYCLE"), "tag", "v"), path, ["CYCLE"])
+    read = csv.scan_signals(spark, path, {"CYCLE": "bigint", "tag": "string", "v": "double"}, rename={"CYCLE": "cycle"}, line="pos")
+    return read.select("pos", "idx", "cycle", "tag", "v")
+
+
 @query("o02_sort_by_cycle", sql("sig", """
 SELECT cycle, counter, row_number() OVER (ORDER BY counter NULLS LAST, cycle) AS place
 FROM (SELECT cycle, CASE WHEN tag <> 'view' THEN cycle // 4 END AS counter FROM sig)"""))

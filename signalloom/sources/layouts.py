@@ -21,27 +21,27 @@ SIGNALS_2023 = {"v": "v_dir_lp", "a": "a_dir_lp", "fm": "FM_lp", "fb": "FB_dir_l
 
 
 def scan_2022(spark: SparkSession, path: str, columns: Sequence[str], series: str = "file",
-              index_type: str = "bigint") -> DataFrame:
-    """Numbered-axis layout: series, idx, ts, cycle, axis, tag and the wanted `{signal}|{axis}` columns."""
+              index_type: str = "bigint", line: str | None = None) -> DataFrame:
+    """Numbered-axis layout: series, idx, ts, cycle, axis, tag and the wanted `{signal}|{axis}` columns; the `line` on request."""
     types = {TIME_2022: "string", CYCLE_2022: "bigint", AXIS_2022: "int", TAG_2022: "string",
              **{c: "double" for c in columns}}
     names = {TIME_2022: "ts", CYCLE_2022: "cycle", AXIS_2022: "axis", TAG_2022: "tag"}
-    df = scan_signals(spark, path, types, "idx", names, index_type=index_type)
+    df = scan_signals(spark, path, types, "idx", names, index_type=index_type, line=line)
     return df.withColumn("ts", parse_time(F.col("ts"))).select(F.lit(series).alias("series"), "*")
 
 
 def scan_2023(spark: SparkSession, path: str, axes: Sequence[str] = ("X", "Y", "Z"), series: str = "file",
-              index_type: str = "bigint") -> DataFrame:
-    """Lettered-axis layout: series, idx, ts, tag, block and `{axis}1_...` columns, in file order by idx."""
+              index_type: str = "bigint", line: str | None = None) -> DataFrame:
+    """Lettered-axis layout: series, idx, ts, tag, block and `{axis}1_...` columns, in file order by idx, or by `line` on request."""
     types = {TIME_2023: "string", TAG_2023: "string", BLOCK_2023: "string",
              **{f"{a}1_{s}": "double" for a in axes for s in SIGNALS_2023.values()}}
     df = scan_signals(spark, path, types, "idx", {TIME_2023: "ts", TAG_2023: "tag", BLOCK_2023: "block"},
-                      index_type=index_type)
+                      index_type=index_type, line=line)
     return df.withColumn("ts", parse_time(F.col("ts"))).select(F.lit(series).alias("series"), "*")
 
 
-def long_2023(df: DataFrame, axes: Sequence[str] = ("X", "Y", "Z")) -> DataFrame:
-    """One row per index and axis: series, axis, cycle, ts, tag, v, a, fm, fb."""
+def long_2023(df: DataFrame, axes: Sequence[str] = ("X", "Y", "Z"), order: str = "idx") -> DataFrame:
+    """One row per index (or other order column) and axis: series, axis, cycle, ts, tag, v, a, fm, fb."""
     rows = [F.struct(F.lit(a).alias("axis"), *[named(f"{a}1_{s}").alias(n) for n, s in SIGNALS_2023.items()])
             for a in axes]
-    return df.select("series", F.col("idx").alias("cycle"), "ts", "tag", F.inline(F.array(*rows)))
+    return df.select("series", named(order).alias("cycle"), "ts", "tag", F.inline(F.array(*rows)))
