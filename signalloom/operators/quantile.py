@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signalloom.functions.scalar import named
-from signalloom.operators.series import attach, join_groups, join_written
+from signalloom.operators.series import attach, join_groups, written
 from signalloom.session import cut
 
 FINE_BINS = 1 << 16
@@ -50,14 +50,14 @@ def _select_ranks(values: DataFrame, group: list[str], probs: list[float]) -> Da
     by one. No step gathers an unbounded group, and values are never sorted as a whole.
     """
     points = F.array(*[F.lit(p) for p in probs])
-    inside, keys, state, done = values, list(group), None, None
+    inside, keys, state, done, short = values, list(group), None, None, False
     for level in range(ROUNDS + 1):
         last = level == ROUNDS
         if state is None:
             bin_key = "k0"
             inside = inside.withColumn(bin_key, _magnitude(F.col("x")))
         else:
-            inside = join_written(inside, state.select(*keys, "low", "high"), keys)
+            inside = join_groups(inside, state.select(*keys, "low", "high"), keys, short=short)
             bin_key = "x" if last else f"k{level}"
             if not last:
                 inside = inside.withColumn(bin_key, _fine(F.col("x"), F.col("low"), F.col("high")))
@@ -79,11 +79,11 @@ def _select_ranks(values: DataFrame, group: list[str], probs: list[float]) -> Da
         end = F.col("before") + F.col("rows")
         bins = (bins.withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("before")) & (r < end)))
                 .filter(F.size("ranks") > 0).drop("upto"))
-        bins = cut(bins, "bins")
+        bins, short, counts = written(bins, "bins", open=F.count_if(F.col("low") < F.col("high")))
         answer = bins.filter(F.col("low") == F.col("high")).select(*group, "n", "ranks", F.col("low").alias("x"))
         done = answer if done is None else done.unionByName(answer)
         state, keys = bins.filter(F.col("low") < F.col("high")), [*keys, bin_key]
-        if last or state.isEmpty():
+        if last or not counts["open"]:
             break
     bins = done
     found = bins.select(*group, "n", F.explode("ranks").alias("rank"), F.col("x").alias("v"))

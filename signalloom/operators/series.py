@@ -21,7 +21,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -112,12 +112,34 @@ def join_groups(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str =
     return df.join(renamed, same, how).drop(*[f"__key{i}" for i in range(len(keys))])
 
 
+def _sizes(schema: T.StructType) -> list[Column]:
+    """Aggregates for `_bytes`: the number of rows, and the length of each column of texts or arrays."""
+    long = [f for f in schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType))]
+    size = lambda f: F.octet_length(named(f.name)) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.size(named(f.name)) * 32
+    return [F.count(F.lit(1)).alias("rows"), *[F.sum(F.greatest(size(f), F.lit(0))).alias(f"long{i}") for i, f in enumerate(long)]]
+
+
+def _bytes(schema: T.StructType, found: dict[str, int | None]) -> int:
+    return 16 * found["rows"] * len(schema) + sum(found[k] or 0 for k in found if k.startswith("long"))
+
+
 def is_short(table: DataFrame) -> bool:
     """Is a written table small enough to broadcast, by its rows, its width and the length of its texts and arrays?"""
-    long = [f for f in table.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType))]
-    size = lambda f: F.octet_length(named(f.name)) if isinstance(f.dataType, (T.StringType, T.BinaryType)) else F.size(named(f.name)) * 32
-    rows, *sums = table.agg(F.count(F.lit(1)), *[F.sum(F.greatest(size(f), F.lit(0))) for f in long]).first()
-    return 16 * rows * len(table.schema) + sum(x or 0 for x in sums) <= SHORT_BYTES
+    return _bytes(table.schema, table.agg(*_sizes(table.schema)).first().asDict()) <= SHORT_BYTES
+
+
+def written(df: DataFrame, name: str = "cut", **counts: Column) -> tuple[DataFrame, bool, dict[str, int]]:
+    """`df` written to the shared folder, whether it is short, and further `counts`, all seen while writing.
+
+    So no second reading of the table is needed to learn its size.
+    """
+    wanted = [*_sizes(df.schema), *[c.alias(n) for n, c in counts.items()]]
+    seen = Observation()
+    table = cut(df.observe(seen, *wanted), name)
+    found = dict(seen.get)
+    if not {"rows", *counts} <= set(found):  # nothing was run, as the plan is known to be empty
+        found = table.agg(*wanted).first().asDict()
+    return table, _bytes(df.schema, found) <= SHORT_BYTES, {n: found[n] for n in counts}
 
 
 def join_written(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -128,11 +150,12 @@ def join_written(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str
 def attach(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a per-group table to the rows of its groups.
 
-    The table is written out and counted first. It is broadcast only when it is
+    The table is written out and counted on the way. It is broadcast only when it is
     short, so a group with most of the rows is not sent to one task; a long table
     means many groups, and then both sides are shuffled on the key.
     """
-    return join_written(df, cut(table), keys, how)
+    kept, short, _ = written(table)
+    return join_groups(df, kept, list(keys), how, short)
 
 
 def bucketed(df: DataFrame, spec: SeriesSpec) -> DataFrame:

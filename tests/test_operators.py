@@ -365,3 +365,13 @@ def test_null_series_keys_are_refused(spark):
     df = spark.createDataFrame([(None, 1), ("a", 2)], "series string, cycle bigint")
     with pytest.raises(ValueError):
         series.fit_spec(df, ["series"], "cycle")
+
+
+def test_sizes_are_seen_while_writing(spark):
+    df = spark.range(50).select("id", F.expr("repeat('x', 10)").alias("t"))
+    table, short, counts = series.written(df, "some", odd=F.count_if(F.col("id") % 2 == 1))
+    assert short and counts == {"odd": 25} and table.count() == 50
+    for nothing in (df.limit(0), df.where("id < 0"), spark.createDataFrame([], df.schema)):
+        table, short, counts = series.written(nothing, "none", odd=F.count_if(F.col("id") % 2 == 1))
+        assert short and counts == {"odd": 0} and table.count() == 0
+    assert not series.written(spark.range(200).select("id", F.expr("repeat('x', 1000000)").alias("t")), "long")[1]
