@@ -2,7 +2,10 @@
 
 The kernel of two words sums, over all common subsequences of `ORDER` letters, a decay
 per letter that their spans take in both words, divided by the words' own kernels; a
-letter put between (or left out) costs one decay and keeps the rest. Marks inside words
+letter put between (or left out) costs one decay and keeps the rest. So that strange
+letters do not weigh by their number, a word's own kernel with a landmark is the mean
+(geometric) of two: letters that the landmark has not are left out in one, and like no
+other letter in the other. Marks inside words
 are dropped, and letters that stand alone one after the other are one word. A word's
 start counts as a letter. A word enters as the `POWER`-th power of its kernel with each
 landmark word (0 below `FLOOR`), a sentence as the largest value per landmark, whitened
@@ -38,12 +41,16 @@ from pyspark.sql import functions as F
 
 from signalloom.llm.common import cut, slices
 
-ORDER, DECAY, FLOOR, POWER = 3, 0.7, 0.4, 3
+ORDER, DECAY, FLOOR, POWER = 3, 0.9, 0.4, 3
+#: Share of a landmark's neighbouring letters that a word must have, and least plain kernel with it, to be looked at further.
+NEEDED, CLOSE = 0.6, 0.03
 #: Letters of a word, or of a piece of a longer one; words of a sentence at most.
-SPAN, SENTENCE = 16, 32
+SPAN, SENTENCE = 24, 32
 LANDMARKS = 96
 #: Landmarks with a letter put in, as sentences to learn from, per toxic sentence.
-ALTERED = 0.3
+ALTERED = 1.0
+#: Letters put between all letters of a landmark to learn from.
+STRANGE = "xqzjkvwyxqzjkvwyxqzjkvwy"
 #: Distinct words whose kernels a task keeps.
 CACHE = 300_000
 
@@ -81,10 +88,10 @@ def kernel(s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return now.sum(axis=(1, 2))
 
 
-def _pairs(c: np.ndarray) -> np.ndarray:
-    """Marks of the pairs of letters next to each other or with one between, 128 bits a word."""
+def _pairs(c: np.ndarray, reach: int) -> np.ndarray:
+    """Marks of the pairs of letters at most `reach` places apart, 128 bits a word."""
     out = np.zeros((len(c), 2), np.uint64)
-    for apart in (1, 2):
+    for apart in range(1, reach + 1):
         a, b = c[:, :-apart], c[:, apart:]
         bit = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)) >> np.uint32(25)
         marks = np.where(b > 0, np.uint64(1) << (bit & np.uint32(63)).astype(np.uint64), np.uint64(0))
@@ -96,7 +103,7 @@ def _pairs(c: np.ndarray) -> np.ndarray:
 def _kernels(s: np.ndarray, t: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
     """Kernel of row at[i] of `s` with row to[i] of `t`, in blocks no wider than their words."""
     out = np.zeros(len(at), np.float32)
-    wide, high = ((x > 0).sum(axis=1) for x in (s, t))
+    wide, high = (((x > 0) * np.arange(1, x.shape[1] + 1)).max(axis=1) for x in (s, t))
     size = (np.maximum(wide[at], 1) + 3) // 4 * 8 + (np.maximum(high[to], 1) + 3) // 4
     for kind in np.unique(size):
         where = np.flatnonzero(size == kind)
@@ -107,6 +114,16 @@ def _kernels(s: np.ndarray, t: np.ndarray, at: np.ndarray, to: np.ndarray) -> np
     return out
 
 
+def _own(s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Own kernel (its root) of each row of `s` as its row of `t` sees it: strange letters left out, and all different."""
+    strange = (s > 0) & ~(s[:, :, None] == t[:, None, :]).any(axis=2)
+    alone = np.where(strange, np.uint32(0x110000) + np.arange(s.shape[1], dtype=np.uint32), s)
+    out = np.where(strange, np.uint32(0), s)
+    every = np.arange(len(s))
+    # The rest of a word stays in its place, so the gaps count in its own kernel too.
+    return np.sqrt(np.sqrt(_kernels(out, out, every, every) * _kernels(alone, alone, every, every)))
+
+
 @dataclass
 class Landmarks:
     words: list[str]
@@ -114,9 +131,9 @@ class Landmarks:
     def __post_init__(self):
         self.codes = codes([letters(w) for w in self.words])
         self.own = np.sqrt(kernel(self.codes, self.codes))
-        self.pairs = _pairs(self.codes)
-        # A word with too few of a landmark's pairs has a kernel below the floor in all but odd cases, and counts as 0.
-        self.needed = np.maximum(2, np.ceil(0.4 * np.bitwise_count(self.pairs).sum(axis=1))).astype(np.uint8)
+        self.pairs = _pairs(self.codes, 1)
+        # A word that has too few of a landmark's pairs, with up to two letters between, counts as 0.
+        self.needed = np.maximum(2, np.ceil(NEEDED * np.bitwise_count(self.pairs).sum(axis=1))).astype(np.uint8)
 
     def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word number, landmark number and kernel of all pairs at `FLOOR` or above."""
@@ -128,7 +145,7 @@ class Landmarks:
                     owner.append(n)
                     parts.append(p)
             c = codes(parts)
-            pairs = _pairs(c)
+            pairs = _pairs(c, 3)
             shared = sum(np.bitwise_count(pairs[:, None, half] & self.pairs[None, :, half]) for half in (0, 1)) >= self.needed[None, :]
             w, z = np.nonzero(shared)
             if not len(w):
@@ -137,6 +154,10 @@ class Landmarks:
             own = np.sqrt(_kernels(c, c, used, used))[back]
             value = _kernels(c, self.codes, w, z)
             value /= np.maximum(own * self.own[z], 1e-12)
+            close = value >= CLOSE
+            w, z, value, own = w[close], z[close], value[close], own[close]
+            # Seen by the landmark, a word with strange letters is nearer than by its plain kernel.
+            value *= own / np.maximum(_own(c[w], self.codes[z]), 1e-12)
             keep = value >= FLOOR
             found.append((np.asarray(owner)[w[keep]], z[keep], value[keep] ** POWER))
         if not found:
@@ -288,8 +309,9 @@ def _whitening(landmarks: list[str]) -> np.ndarray:
 
 
 def _altered(landmarks: list[str], toxic: int) -> np.ndarray:
-    """Sentences of one landmark each, with a strange letter or one of its own put in."""
-    variants = [w[:m] + c + w[m:] for w in landmarks for m, c in ((len(w) // 2, "x"), (max(1, len(w) // 3), w[max(1, len(w) // 3) - 1]))]
+    """Sentences of one landmark each, with a strange letter or one of its own put in, and with strange letters between all."""
+    variants = [w[:m] + c + w[m:] for w in landmarks for m, c in ((len(w) // 2, "x"), (max(1, len(w) // 3), w[max(1, len(w) // 3) - 1]), (len(w) // 2, "qj"))]
+    variants += ["".join(a + b for a, b in zip(w, STRANGE, strict=False)) for w in landmarks]
     rows = np.zeros((len(variants), len(landmarks)), np.float32)
     for n, z, value in zip(*Landmarks(landmarks).near([letters(v) for v in variants]), strict=True):
         rows[n, z] = max(rows[n, z], value)

@@ -89,3 +89,47 @@ def test_nothing_to_learn(frame):
     model = t.fit(frame([(1, "some text", "", ""), (2, "more", "", "")], TYPES), labels)
     assert model.landmarks is None and _scores(frame, model, ["a", None]) == [0.4999, 0.4999]
     assert t.fit(frame([], TYPES), labels).landmarks is None
+
+
+def _with(r, word, n):
+    for _ in range(n):
+        at = r.randrange(1, len(word))
+        word = word[:at] + r.choice("xqzjkhy") + word[at:]
+    return word
+
+
+def test_letters_put_in_anywhere(model):
+    """Two and three strange letters at any places, and one between all letters, leave an insult near its landmark."""
+    r = random.Random(5)
+    marks = t.Landmarks(model.landmarks)
+    said = [i for i in INSULTS if i in model.landmarks]
+    assert len(said) == len(INSULTS)
+    ways = [lambda w: _with(r, w, 2), lambda w: _with(r, w, 3), lambda w: "".join(c + r.choice("xqzjkhy") for c in w), lambda w: "x".join(w)]
+    for way in ways:
+        words = [(i, way(i)) for i in said for _ in range(50)]
+        found = {(n, model.landmarks[z]) for n, z, _ in zip(*marks.near([t.letters(w) for _, w in words]), strict=True)}
+        near = sum((n, i) in found for n, (i, _) in enumerate(words))
+        assert near >= 0.97 * len(words), near / len(words)
+
+
+def _seen(word, mark):
+    """A word's value with a landmark, from listed subsequences."""
+    out = "".join(c if c in mark else "\0" for c in word)
+    alone = "".join(c if c in mark else chr(0xE000 + i) for i, c in enumerate(word))
+    left = sum(t.DECAY ** (a[-1] - a[0] + 1 + b[-1] - b[0] + 1) for a in combinations(range(len(out)), t.ORDER) for b in combinations(range(len(out)), t.ORDER)
+               if "\0" not in (x := "".join(out[i] for i in a)) and x == "".join(out[i] for i in b))
+    own = (left * _plain(alone, alone)) ** 0.25 * _plain(mark, mark) ** 0.5
+    value = _plain(word, mark) / own if own else 0.0
+    return value**t.POWER if value >= t.FLOOR else 0.0
+
+
+def test_score_by_hand(frame, model):
+    """Whole scores from listed subsequences, without the operator's filters."""
+    texts = ["mora vexpail leti. pusa gru", "snxotfxace mora", "mora leti pusa", "dimmelhad. grumb lewort"]
+    for text, got in zip(texts, _scores(frame, model, texts), strict=True):
+        best = model.bias
+        for sentence in text.split("."):
+            rows = [[_seen(t.letters(w), t.letters(z)) for z in model.landmarks] for w in sentence.split()]
+            if rows and np.max(rows) > 0:
+                best = max(best, float(np.max(rows, axis=0) @ model.weights) + model.bias)
+        assert abs(got - 1 / (1 + np.exp(-(model.slope * best + model.shift)))) < 1e-4
