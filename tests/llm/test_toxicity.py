@@ -104,7 +104,7 @@ def test_letters_put_in_anywhere(model):
     marks = t.Landmarks(model.landmarks)
     said = [i for i in INSULTS if i in model.landmarks]
     assert len(said) == len(INSULTS)
-    ways = [lambda w: _with(r, w, 2), lambda w: _with(r, w, 3), lambda w: "".join(c + r.choice("xqzjkhy") for c in w), lambda w: "x".join(w)]
+    ways = [lambda w: _with(r, w, 2), lambda w: _with(r, w, 3), lambda w: "".join(c + r.choice("xqzjkhy") for c in w), lambda w: "q".join(w)]  # a letter that no insult holds; one of its own counts as the insult does
     for way in ways:
         words = [(i, way(i)) for i in said for _ in range(50)]
         found = {(n, model.landmarks[z]) for n, z, _ in zip(*marks.near([t.letters(w) for _, w in words]), strict=True)}
@@ -132,4 +132,4 @@ def test_score_by_hand(frame, model):
             rows = [[_seen(t.letters(w), t.letters(z)) for z in model.landmarks] for w in sentence.split()]
             if rows and np.max(rows) > 0:
                 best = max(best, float(np.max(rows, axis=0) @ model.weights) + model.bias)
-        assert abs(got - 1 / (1 + np.exp(-(model.slope * best + model.shift)))) < 1e-4
+        assert abs(got - 1 / (1 + np.exp(-np.clip(model.slope * best + model.shift, -30, 30)))) < 1e-4
