@@ -60,6 +60,42 @@ def test_doubles_and_repeated_rows(frame):
     assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
 
 
+def test_open_pairs(frame):
+    """Pairs that int8 leaves open are judged once each, inside a tile and between tiles, also where rows share an id."""
+    r = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x)
+    rows = []
+    for k in range(30):
+        one = unit(r.normal(size=24))
+        side = r.normal(size=24)
+        side = unit(side - (side @ one) * one)
+        for n, cosine in enumerate((0.9499, 0.9501, 0.955, 0.945)):
+            rows.append((100 * k + 1 + n, (cosine * one + np.sqrt(1 - cosine**2) * side).tolist(), 1, None))
+        rows.append((100 * k, one.tolist(), 1, None))
+    for tile, group in ((2048, None), (8, 1), (8, None)):
+        got = embedding.near_duplicates(frame(rows, TYPES), 0.95, tile, group).collect()
+        assert sorted((tuple(x) for x in got), key=str) == _brute(rows, 0.95)
+    one, side = [1.0] + [0.0] * 7, [0.95001, 0.31221] + [0.0] * 6
+    got = embedding.near_duplicates(frame([(1, one, 1, None), (1, [0.0] * 7 + [1.0], 1, None), (2, side, 1, None)], TYPES)).collect()
+    assert [x["n_links"] for x in got if x["vec_id"] == 2] == [1]
+
+
+def test_tiles_far_apart_are_left_out():
+    r = np.random.default_rng(3)
+    near = lambda c: embedding._unit(c + 0.02 * r.normal(size=(40, 12)))
+    a, b = embedding._unit(r.normal(size=(2, 12)))
+    mid = embedding._unit((a + b)[None, :])[0]
+    tiles = []
+    for x, c in ((near(a), a), (near(b), b), (near(mid), mid)):
+        tiles.append({"centre": c, "radius": float(np.arccos(np.clip(x @ c, -1, 1)).max()), "x": x})
+    for one in tiles:
+        for two in tiles:
+            for threshold in (0.5, 0.8, 0.95):
+                if embedding._apart(one, two, threshold):
+                    assert (one["x"] @ two["x"].T).max() < threshold
+    assert embedding._apart(tiles[0], tiles[1], 0.95)
+
+
 def test_empty(frame):
     assert embedding.near_duplicates(frame([], TYPES)).count() == 0
     assert embedding.near_duplicates(frame([(1, None, 1, None)], TYPES)).collect()[0]["kept"]
