@@ -1,7 +1,9 @@
 """Mixtures found by expectation-maximisation, held-out accuracy, odd texts."""
 
 import random
+from itertools import combinations
 
+import numpy as np
 import pytest
 
 from signalloom.llm import language
@@ -45,6 +47,35 @@ def test_mixture_proportions(model):
     assert set(model.mixture(_text(r, "fr", 200))[2]) == {"fr"}
 
 
+def _exhaustive(model, text):
+    """Languages and proportions of the best of all language sets, each by a long plain expectation-maximisation."""
+    n = np.bincount(language.grams(language.normalise(text)), minlength=language.BUCKETS)
+    at = np.flatnonzero(n)
+    p, n = model.p[at], n[at] / language.OVERLAP
+    best = None
+    for size in range(1, len(model.langs) + 1):
+        for some in combinations(range(len(model.langs)), size):
+            share = np.full(size, 1 / size)
+            for _ in range(1500):
+                joint = p[:, some] * share
+                share = (joint / joint.sum(axis=1, keepdims=True) * n[:, None]).sum(axis=0) / n.sum()
+            value = n @ np.log(p[:, some] @ share) - 0.5 * np.log(max(2.0, n.sum())) * (size - 1)
+            if share.min() >= language.LEAST and (best is None or value > best[0]):
+                best = value, {model.langs[k]: x for k, x in zip(some, share, strict=True)}
+    return best[1]
+
+
+def test_language_sets_against_all_subsets(model):
+    r = random.Random(11)
+    parts = [("en",), ("de",), ("fr",), ("en", "de"), ("de", "fr"), ("en", "fr"), ("en", "de", "fr")]
+    for k in range(42):
+        text = " ".join(_text(r, lang, r.randint(40, 160)) for lang in parts[k % len(parts)])
+        lang, _, shares = model.mixture(text)
+        want = _exhaustive(model, text)
+        assert set(shares) == set(want), (parts[k % len(parts)], shares, want)
+        assert all(abs(shares[x] - want[x]) < 0.02 for x in want) and lang == max(want, key=want.get)
+
+
 def test_odd_texts(frame, model):
     texts = [None, "", " \n", "123 +-*/ 4", "___", "q", "😀😀", "the " * 50_000, "ÜBER STRAẞE", "漢字"]
     got = {g["doc_id"]: g for g in language.predict(frame([(i, t, None, "", 0) for i, t in enumerate(texts)], TYPES), model).collect()}
