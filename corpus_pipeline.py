@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalloom.llm import decontaminate, language, minhash, mixing, suffix
-from signalloom.llm.common import cut, pick, table, word_count
+from signalloom.llm.common import cut, parted, pick, table, word_count
 from signalloom.session import scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -50,8 +50,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = labelled(docs)
     with scratch() as scope:
         found = minhash.near_duplicates(docs.select(F.col("label").alias("doc_id"), "text"), SHINGLE, SIMILARITY)
-        kept = scope.keep(found.where("kept").select(F.col("doc_id").alias("label")), "kept")
-    return docs.join(kept, "label", "left_semi").select(*COLUMNS)
+        gone = scope.keep(found.where("NOT kept").select(F.col("doc_id").alias("label")), "gone")
+    # Few go, so most rows stay where they are.
+    maybe, others = parted(docs, F.col("label"), gone)
+    return maybe.join(gone, "label", "left_anti").unionByName(others).select(*COLUMNS)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +65,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with scratch() as scope:
         found = suffix.remove_repeats(docs.select(F.col("label").alias("doc_id"), "text")).where("n_removed > 0")
         rest = scope.keep(suffix.decoded(found).select(F.col("doc_id").alias("label"), F.col("kept").alias("rest")), "rest")
-    docs = docs.join(rest, "label", "left")
+    maybe, others = parted(docs, F.col("label"), rest.select("label"))
+    docs = maybe.join(rest, "label", "left").unionByName(others, allowMissingColumns=True)
     docs = docs.where(F.col("rest").isNull() | (F.col("rest") != ""))
     shorter = F.col("rest").isNotNull()
     return docs.withColumns({"text": F.coalesce("rest", "text"), "n_chars": F.when(shorter, F.length("rest").cast("long")).otherwise(F.col("n_chars"))}).select(*COLUMNS)

@@ -36,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import cut, slices
+from signalloom.llm.common import cut, parted, slices
 from signalloom.llm.components import components
 from signalloom.llm.shingles import min_hashes, shingle_sets
+from signalloom.session import scratch
 
 HASHES, TREES = 128, 16
 DEPTHS = (3, 4, 6, 8, 12, 16, 32, 64, 128)
@@ -139,7 +140,7 @@ def regions(signed: DataFrame, most: int = REGION) -> DataFrame:
     done = rows.join(sizes.where(F.col("n") <= most), ["tree", "prefix"]).select("node", "tree", "prefix")
     large = sizes.where(F.col("n") > most)
     if large.isEmpty():
-        return cut(done, "regions")
+        return done
     rows, pieces = rows.join(large.drop("n"), ["tree", "prefix"]), []
     for depth in DEPTHS[1:]:
         deeper = rows.join(signed.select("node", "hashes"), "node").select("node", "tree", "prefix", "guide", "hashes").mapInArrow(_deeper(depth), form + ", guide long, child long")
@@ -167,7 +168,7 @@ def regions(signed: DataFrame, most: int = REGION) -> DataFrame:
     guides = split.select(F.col("guide").alias("node"), "tree", "prefix").distinct()
     split = split.select("node", "tree", "prefix")
     guides = guides.join(split, ["node", "tree", "prefix"], "left_anti")
-    return cut(done.unionByName(split).unionByName(guides), "regions")
+    return done.unionByName(split).unionByName(guides)
 
 
 def _agreement(low8: np.ndarray, mine: np.ndarray) -> np.ndarray:
@@ -337,9 +338,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, reg
     signed = cut(docs.mapInArrow(_signer(size), "doc_id long, n_shingles long, node long, hashes binary, low binary"), "signed")
     nodes = signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("hashes").alias("hashes"), F.first("low").alias("low"))
     nodes = cut(nodes, "nodes")
-    open_rows = regions(nodes, region)
+    with scratch() as scope:
+        open_rows = scope.keep(regions(nodes, region), "regions")
     needed = open_rows.select("node").distinct().join(nodes.select("node", "least"), "node").select(F.col("least").alias("doc_id"), "node").distinct()
-    texts = docs.join(needed, "doc_id").select("node", "text")
+    needed = cut(needed, "needed")
+    # Texts without partners are most of all; they are not shuffled.
+    texts = parted(docs, F.col("doc_id"), needed.select("doc_id"))[0].join(needed, "doc_id").select("node", "text")
     sets = cut(texts.mapInArrow(_setter(size), "node long, shingles array<long>"), "sets")
     low = nodes.select("node", "low")
     spread = (similarity * (1 - similarity) / HASHES) ** 0.5

@@ -34,8 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalloom.llm.common import cut, slices
+from signalloom.llm.common import cut, parted, slices
 from signalloom.llm.shingles import mix
+from signalloom.session import scratch
 
 LENGTH, GRAM = 100, 32
 SLICE = 2 << 20
@@ -439,15 +440,22 @@ def decoded(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "kept").mapInArrow(_decode, "doc_id long, kept string")
 
 
-def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scan of `docs` (doc_id, text), the texts that are the first of their kind, and the runs to remove from these."""
+def scanned(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A row for each of `docs` (doc_id, text), the texts that are the first of their kind, and the marked anchors of these."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << max(8, (total * 2 // (LENGTH - GRAM) // BUCKET).bit_length())
-    scan = cut(docs.mapInArrow(_scanner(buckets), _SCAN), "scan")
-    firsts = scan.where("sha IS NOT NULL").groupBy("doc").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("id"))
-    anchors = scan.where("bucket IS NOT NULL").select("bucket", "gram", "docs", "ordinal").repartition("bucket").sortWithinPartitions("bucket")
-    marks = scan.where("mark IS NOT NULL").select("doc", "mark").unionByName(anchors.mapInArrow(_repeat, "doc long, mark array<int>"))
-    marks = marks.groupBy("doc").agg(F.collect_list("mark").alias("marks")).join(firsts, "doc")
+    with scratch() as scope:  # all anchors go before texts are packed
+        scan = cut(docs.mapInArrow(_scanner(buckets), _SCAN), "scan")
+        whole = scope.keep(scan.where("sha IS NOT NULL").select("doc_id", "doc", "n_bytes", "sha"), "whole")
+        firsts = scope.keep(whole.groupBy("doc").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("id")), "firsts")
+        anchors = scan.where("bucket IS NOT NULL").select("bucket", "gram", "docs", "ordinal").repartition("bucket").sortWithinPartitions("bucket")
+        marks = scan.where("mark IS NOT NULL").select("doc", "mark").unionByName(anchors.mapInArrow(_repeat, "doc long, mark array<int>"))
+        marks = scope.keep(marks.groupBy("doc").agg(F.collect_list("mark").alias("marks")).join(firsts, "doc"), "marks")
+    return whole, firsts, marks
+
+
+def repeated_runs(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Runs to remove from `docs` (doc_id, text) that have marked anchors."""
     packed = docs.mapInArrow(_pack, "id long, doc long, packed binary")
     rows = cut(packed.join(marks, ["doc", "id"]).mapInArrow(_pieces, _PIECE), "pieces")
     runs = rows.where("piece IS NULL").select("doc", F.col("at").alias("start"), F.col("until").alias("stop"))
@@ -467,19 +475,21 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     if span == 0:
         ready = ready.unionByName(rows.join(F.broadcast(hot), "key", "left_semi"))
     dealt = ready.select("key", "id", "doc", "at", "piece").repartition("key").sortWithinPartitions("key")
-    return scan, firsts, runs.unionByName(dealt.mapInArrow(_sort_pieces, "doc long, start int, stop int"))
+    return runs.unionByName(dealt.mapInArrow(_sort_pieces, "doc long, start int, stop int"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes; null: all of the text), kept_sha256 for every row of `docs` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scan, firsts, runs = repeated_runs(docs)
-    firsts = cut(firsts, "firsts")
-    per_doc = runs.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("runs")).join(firsts, "doc")
-    packed = docs.mapInArrow(_pack, "id long, doc long, packed binary").join(per_doc, ["doc", "id"])
+    whole, firsts, marks = scanned(docs)
+    with scratch() as scope:  # pieces go before texts are packed again
+        runs = repeated_runs(docs, marks)
+        per_doc = scope.keep(runs.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("runs")).join(firsts, "doc"), "runs")
+    packed = parted(docs, F.coalesce("doc_id", F.lit(LAST)), per_doc.select("id"))[0]
+    packed = packed.mapInArrow(_pack, "id long, doc long, packed binary").join(per_doc, ["doc", "id"])
     shorter = packed.mapInArrow(_keep, "id long, doc long, removed long, spans long, kept binary")
     shorter = cut(shorter.withColumn("kept_sha", F.sha2("kept", 256)), "shorter").dropDuplicates(["doc", "id"]).withColumnRenamed("id", "of")
-    rows = scan.where("sha IS NOT NULL").select("doc_id", "doc", "n_bytes", "sha", F.coalesce("doc_id", F.lit(LAST)).alias("at"))
+    rows = whole.select("doc_id", "doc", "n_bytes", "sha", F.coalesce("doc_id", F.lit(LAST)).alias("at"))
     rows = rows.join(firsts, "doc").withColumn("copy", (F.col("at") != F.col("id")) & (F.col("n_bytes") >= LENGTH)).drop("id")
     rows = rows.join(shorter.withColumnRenamed("doc", "of_doc"), (F.col("doc") == F.col("of_doc")) & (F.col("at") == F.col("of")), "left")
     nothing = sha256(b"").hexdigest()
